@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lensmill.llm import bpe, calibrate, foldhash, langid, packing, repetition, topn
+from lensmill.llm import bpe, calibrate, foldhash, langid, packing, repetition, spam, topn
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,7 +77,15 @@ def p9_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(bpe.token_counts(_table(spark, sf_dir, "documents")), sizes)
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p2_shares, p3_found, p3_ranked, p4_found, p4_sample, p4_report, p5_found, p5_parts, p7_found, p7_collapsed, p8_ids, p9_packed)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.spam_pages(_table(spark, sf_dir, "documents"))
+
+
+def p10_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.scored(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {q.__name__: q for q in (p2_found, p2_shares, p3_found, p3_ranked, p4_found, p4_sample, p4_report, p5_found, p5_parts, p7_found, p7_collapsed, p8_ids, p9_packed, p10_found, p10_scored)}
 
 _RANKED = """ranked AS (
   SELECT appid, recommendationid, score, votes, row_number() OVER (PARTITION BY appid ORDER BY score DESC, votes DESC, recommendationid) AS k
