@@ -29,7 +29,7 @@ LANGUAGE_DOCUMENTS = 20
 #: Thresholds as parts of the language's median window: function words alone; with many separators; variety of words.
 FEW_FUNCTION, FEW_WITH_SEPARATORS, LITTLE_VARIETY = 0.42, 0.62, 0.43
 #: Separators a word that count as many, at least and as a multiple of the language's median.
-MANY_SEPARATORS, SEPARATOR_MULTIPLE = 0.12, 2.0
+MANY_SEPARATORS, SEPARATOR_MULTIPLE = 0.16, 2.0
 #: Share of links and their labels in a window of links; share of repeated bigrams that backs little variety.
 LINKS, REPEATED = 0.6, 0.35
 #: Share of the text that must be spam, and words or links below which a text is too short to tell.
