@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Characters handled at once; a longer text is handled alone, still whole.
 CHUNK_CHARS = 1_000_000
@@ -49,3 +51,17 @@ def powers(base: int, count: int) -> np.ndarray:
     out = np.full(max(count, 1), base, dtype=np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
+
+
+def hash_sample(rows: DataFrame, most: int) -> list:
+    """At most ``most`` different rows of ``rows``, by the hash of the whole row: the same on every run.
+
+    Rows are kept by a threshold on their hash that lets about ``most`` through, and equal ones are
+    merged where they are read, so neither the driver nor a task ever holds much more than that.
+    """
+    total = rows.count()
+    h = F.xxhash64(*rows.columns)
+    kept = rows.withColumn("__h", h)
+    if total > most:
+        kept = kept.where(F.col("__h") < int(-(2**63) + 2**64 * (1.2 * most / total)))
+    return kept.dropDuplicates(["__h"]).orderBy("__h").limit(most).drop("__h").collect()

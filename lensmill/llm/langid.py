@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lensmill.llm.batch import chunks, codepoints, mix64, powers, segment_sums
+from lensmill.llm.batch import chunks, codepoints, hash_sample, mix64, powers, segment_sums
 
 #: Buckets of the hashed n-grams: with 12 languages the matrix takes 3 MB, whatever the corpus.
 BUCKETS = 1 << 16
 #: Labelled rows the model is learned from at most, and rounds of cleaning.
-TRAIN_ROWS, ROUNDS = 20_000, 3
+TRAIN_ROWS, ROUNDS = 12_000, 3
 #: Words, or characters in scripts without spaces, of a full sentence.
 WORDS, CHARACTERS = 4, 8
 #: N-grams that count as independent evidence at most when a confidence is given.
@@ -160,6 +160,15 @@ def parts(texts: list[str]) -> Parts:
     return Parts(doc[keep], starts[:-1][keep] - offsets[doc[keep]], starts[1:][keep] - offsets[doc[keep]], words[keep], dense[keep], grams_of, bounds)
 
 
+def _only(p: Parts, keep: np.ndarray) -> Parts:
+    """The sentences ``keep`` of ``p``."""
+    sizes = np.diff(p.gram_bounds)
+    chosen = np.zeros(len(sizes), dtype=bool)
+    chosen[keep] = True
+    bounds = np.concatenate([[0], np.cumsum(sizes[keep])])
+    return Parts(p.doc[keep], p.start[keep], p.end[keep], p.words[keep], p.dense[keep], p.grams[np.repeat(chosen, sizes)], bounds)
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -179,20 +188,24 @@ class Model:
 
 def learn(texts: list[str], labels: np.ndarray, languages: Sequence[str], rounds: int = ROUNDS) -> Model:
     """A model from ``texts`` with a number of a language each; wrong labels are outvoted round by round."""
-    p = parts(texts)
-    target = labels[p.doc]
-    use = p.full
-    counts_of = np.repeat(np.arange(len(p.doc)), np.diff(p.gram_bounds))
-    model = Model(list(languages), np.zeros((BUCKETS, len(languages)), dtype=np.float32))
-    for _ in range(rounds):
-        gram_target = np.where(use, target, -1)[counts_of]
-        table = np.zeros((BUCKETS, len(languages)))
-        known = gram_target >= 0
-        np.add.at(table, (p.grams[known], gram_target[known]), 1)
-        smooth = table + 0.05
+    pieces = []  # little is kept of each chunk of texts: the n-grams of its full sentences and their label
+    for lo, hi in chunks(texts, SCORE_CHARS):
+        p = parts(texts[lo:hi])
+        keep = np.flatnonzero(p.full)
+        pieces.append((_only(p, keep), labels[lo:hi][p.doc[keep]]))
+    n = len(languages)
+    model = Model(list(languages), np.zeros((BUCKETS, n), dtype=np.float32))
+    for turn in range(rounds):
+        table = np.zeros(BUCKETS * n)
+        for p, target in pieces:
+            use = np.ones(len(target), dtype=bool)
+            if turn:
+                target, sure = model.score(p)
+                use = sure > 0.5
+            of = np.repeat(np.where(use, target, -1), np.diff(p.gram_bounds))
+            table += np.bincount(p.grams[of >= 0].astype(np.int64) * n + of[of >= 0], minlength=BUCKETS * n)
+        smooth = table.reshape(BUCKETS, n) + 0.05
         model.log_p = np.log(smooth / smooth.sum(axis=0)).astype(np.float32)
-        target, sure = model.score(p)
-        use = p.full & (sure > 0.5)
     return model
 
 
@@ -204,11 +217,10 @@ def label_names(codes: DataFrame) -> dict[str, str]:
     return names
 
 
-def trained(rows: DataFrame, id_col: str, label_col: str, text_col: str, names: dict[str, str], most: int = TRAIN_ROWS) -> Model:
-    """Learned from at most ``most`` rows whose label names a language, taken in hash order of their id and text."""
+def trained(rows: DataFrame, label_col: str, text_col: str, names: dict[str, str], most: int = TRAIN_ROWS) -> Model:
+    """Learned from at most ``most`` rows whose label names a language, taken by hash."""
     label = F.lower(F.trim(F.col(label_col)))
-    sample = rows.where(label.isin(list(names)) & (F.length(text_col) >= 12)).select(label.alias("label"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
-    got = sample.orderBy("h").limit(most).collect()
+    got = hash_sample(rows.where(label.isin(list(names)) & (F.length(text_col) >= 12)).select(label.alias("label"), F.col(text_col).alias("text")), most)
     languages = sorted(set(names.values()))
     number = {k: i for i, k in enumerate(languages)}
     return learn([r.text for r in got], np.array([number[names[r.label]] for r in got], dtype=np.int64), languages)
@@ -223,7 +235,7 @@ def languages_of(rows: DataFrame, id_col: str, label_col: str, text_col: str, co
     """
     spark = rows.sparkSession
     names = label_names(codes)
-    model = spark.sparkContext.broadcast(trained(rows, id_col, label_col, text_col, names, most))
+    model = spark.sparkContext.broadcast(trained(rows, label_col, text_col, names, most))
     kind = rows.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
