@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lensmill.llm import gbt
-from lensmill.llm.batch import chunks, codepoints, mix64, powers, segment_sums
+from lensmill.llm.batch import chunks, codepoints, hash_sample, mix64, powers, segment_sums
 
 #: Documents with fewer letters have no share worth measuring: theirs is null.
 LEAST_LETTERS = 30
@@ -141,10 +141,9 @@ def _made(texts: list[str]) -> list[str]:
     return out
 
 
-def trained(rows: DataFrame, id_col: str, text_col: str, most: int = TRAIN_ROWS) -> gbt.Trees:
-    """Trees for the share of repeated letters, trained on at most ``most`` rows (in hash order of their id) and as many made texts."""
-    source = rows.where(F.length(text_col) >= LEAST_LETTERS).select(F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
-    texts = [r[0] for r in source.orderBy("h").limit(most).collect()]
+def trained(rows: DataFrame, text_col: str, most: int = TRAIN_ROWS) -> gbt.Trees:
+    """Trees for the share of repeated letters, trained on at most ``most`` texts (taken by hash) and as many made ones."""
+    texts = [r[0] for r in hash_sample(rows.where(F.length(text_col) >= LEAST_LETTERS).select(text_col), most)]
     texts += _made(texts)
     labelled = [(t, share) for t in texts if (share := exact_share(t)) is not None]
     x, _ = statistics([t for t, _ in labelled])
@@ -159,7 +158,7 @@ def repetition(rows: DataFrame, id_col: str, text_col: str, screen: float = SCRE
     by one, repeated ids and null ids included.
     """
     spark = rows.sparkSession
-    trees = spark.sparkContext.broadcast(trained(rows, id_col, text_col, most))
+    trees = spark.sparkContext.broadcast(trained(rows, text_col, most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = trees.value
