@@ -60,3 +60,20 @@ def checked_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str =
     spread = big.withColumn(salt, F.floor(F.rand(7) * SALTS).cast("int"))
     copies = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return spread.join(copies, [*on, salt], how).drop(salt)
+
+
+def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """``rows`` with their place from 0 in the order of a unique column, without bringing them into one task.
+
+    Rows are range partitioned and sorted; only the number of rows of each partition goes to the
+    driver. The sorted rows are cut, so that places and counts come from the same partitions.
+    """
+    spark = rows.sparkSession
+    ranged = cut(rows.repartitionByRange(partitions(spark), order).sortWithinPartitions(order))
+    placed = ranged.select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__i"))
+    counts = sorted((r[0], r[1]) for r in placed.groupBy("__p").agg(F.count("*")).collect())
+    before, total = {}, 0
+    for p, n in counts:
+        before[p], total = total, total + n
+    offset = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("__p")) if before else F.lit(0)
+    return placed.withColumn(name, F.col("__i") + offset).drop("__p", "__i")

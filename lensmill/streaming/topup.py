@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from lensmill.schema import CAPTURE
@@ -13,7 +14,7 @@ _SNAPSHOT = "snapshot_unix"
 
 def capture_stream(spark: SparkSession, path: str, files_at_once: int = 100) -> DataFrame:
     """The capture files below ``path`` as they arrive; the checkpoint remembers which were read."""
-    schema = CAPTURE.add(_SNAPSHOT, "bigint") if _SNAPSHOT not in CAPTURE.names else CAPTURE
+    schema = T.StructType([*CAPTURE.fields, T.StructField(_SNAPSHOT, T.LongType())])
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).option("recursiveFileLookup", "true").parquet(path)
 
 
@@ -23,28 +24,24 @@ def newest_first(batch: DataFrame) -> DataFrame:
     return batch.where("recommendationid is not null").withColumn("__k", F.row_number().over(order)).where("__k = 1").drop("__k")
 
 
-def upsert(batch: DataFrame, epoch: int, table: str) -> None:
-    """Merge a batch into a table of latest copies, once per epoch.
+def take_in(batch: DataFrame, epoch: int, table: str) -> None:
+    """Write a batch's latest copies as epoch ``epoch`` of a table.
 
-    The table is kept as numbered versions: epoch n reads version n - 1 and writes version n, so a
-    batch that is replayed after a failure overwrites what it wrote before and nothing counts twice.
+    A batch that is replayed after a failure overwrites what it wrote before, so nothing counts
+    twice. Epochs are merged when read; nothing old is rewritten.
     """
-    spark = batch.sparkSession
-    fresh = newest_first(batch)
-    if epoch > 0:
-        old = spark.read.schema(batch.schema).parquet(f"{table}/v{epoch - 1:08d}")
-        fresh = newest_first(old.unionByName(fresh))
-    fresh.write.mode("overwrite").parquet(f"{table}/v{epoch:08d}")
+    newest_first(batch).write.mode("overwrite").parquet(f"{table}/epoch={epoch:08d}")
 
 
 def run_topup(spark: SparkSession, source: str, table: str, checkpoint: str) -> StreamingQuery:
     """Take in everything that is there and stop; run it again to take in what came since."""
     stream = capture_stream(spark, source)
-    return stream.writeStream.foreachBatch(lambda df, n: upsert(df, n, table)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(lambda df, n: take_in(df, n, table)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest(spark: SparkSession, table: str, epoch: int) -> DataFrame:
-    return spark.read.parquet(f"{table}/v{epoch:08d}")
+def latest(spark: SparkSession, table: str) -> DataFrame:
+    """The latest copy of each review over all epochs."""
+    return newest_first(spark.read.option("basePath", table).parquet(f"{table}/epoch=*").drop("epoch"))
 
 
 def once_within(stream: DataFrame, key: str, event_time: str, delay: str = "7 days") -> DataFrame:
