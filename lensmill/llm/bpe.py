@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lensmill.llm.batch import chunks, mix64, powers, segment_sums
+from lensmill.shared import spread
 
 #: Where the public tokenizers lie, and the vocabulary used unless another is named.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -214,7 +215,7 @@ def encoded(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kind = documents.schema[id_col].dataType.simpleString()
     slim = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return spread(slim).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def token_counts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:

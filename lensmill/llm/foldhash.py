@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lensmill.llm.batch import chunks, codepoints, mix64, segment_sums
-from lensmill.shared import SALTS, checked_join
+from lensmill.shared import SALTS, checked_join, spread
 
 #: Texts with fewer kept letters and digits than this are no case.
 LEAST_KEPT = 30
@@ -217,7 +217,7 @@ def formatting_pairs(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     several texts may belong to several records. Only colliding rows carry their texts through a
     shuffle; a record that very many share is spread by salts.
     """
-    source = rows.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    source = spread(rows.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")))
     keys = source.mapInArrow(_hashed_keys, "id string, h bigint, kept bigint, fields boolean")
     shared = keys.groupBy(*_KEY).agg(F.min("id").alias("first_id"), F.max("id").alias("__last")).where("first_id < __last").drop("__last")
     texts = source.mapInArrow(_hashed, "id string, text string, h bigint, kept bigint, fields boolean")

@@ -42,7 +42,7 @@ def train(x: np.ndarray, y: np.ndarray, monotone: list[int], trees: int = 60, de
     the middle of their values, so the constraint holds for whole trees and hence for their sum.
     """
     n, k = x.shape
-    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(k)]
+    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) if n else np.zeros(0) for f in range(k)]
     codes = np.stack([np.searchsorted(edges[f], x[:, f], side="left") for f in range(k)], axis=1)
     feature, threshold, left, right, value, roots = [], [], [], [], [], []
     base = float(y.mean()) if n else 0.0

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lensmill.llm.batch import chunks, codepoints, hash_sample, mix64, powers, segment_sums
+from lensmill.shared import spread
 
 #: Buckets of the hashed n-grams: with 12 languages the matrix takes 3 MB, whatever the corpus.
 BUCKETS = 1 << 16
@@ -177,7 +178,7 @@ class Model:
     def score(self, p: Parts) -> tuple[np.ndarray, np.ndarray]:
         """Best language (its number) and confidence of each sentence."""
         best, sure = np.zeros(len(p.doc), dtype=np.int64), np.zeros(len(p.doc))
-        if not len(p.doc):
+        if not len(p.doc) or not self.languages:
             return best, sure
         sums = np.add.reduceat(self.log_p[p.grams], p.gram_bounds[:-1], axis=0).astype(np.float64)
         grams = np.maximum(np.diff(p.gram_bounds), 1)
@@ -277,7 +278,7 @@ def languages_of(rows: DataFrame, id_col: str, label_col: str, text_col: str, co
 
     said = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.lower(F.trim(F.col(label_col)))] if names else F.lit(None).cast("string")
     slim = rows.select(F.col(id_col).alias("id"), said.alias("label"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, f"id {kind}, label string, start bigint, end bigint, language string, confidence double, sentences bigint")
+    return spread(slim).mapInArrow(run, f"id {kind}, label string, start bigint, end bigint, language string, confidence double, sentences bigint")
 
 
 def unlabelled(rows: DataFrame, id_col: str, label_col: str, text_col: str, codes: DataFrame, most: int = TRAIN_ROWS, least: float = SURE) -> DataFrame:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lensmill.shared import cut
+
 #: Items that are packed together in one task; its leftover space is at most one container a size.
 CHUNK_ITEMS = 50_000
 
@@ -98,6 +100,7 @@ def packed(items: DataFrame, capacities: Sequence[int], id_col: str = "doc_id",
     about ``chunk_items``, which are packed independently, so no task grows with the input. A null
     size counts as 0. ``container`` is unique over all chunks; repeated ids are packed each.
     """
+    items = cut(items.select(id_col, size_col))  # sizes may be dear to compute, and are read twice
     largest = max(capacities)
     sized = items.select(F.col(id_col).alias("id"), F.greatest(F.coalesce(F.col(size_col), F.lit(0)), F.lit(0)).cast("bigint").alias("size"))
     last = F.greatest(F.ceil(F.col("size") / largest) - 1, F.lit(0))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lensmill.llm import gbt
 from lensmill.llm.batch import chunks, codepoints, hash_sample, mix64, powers, segment_sums
+from lensmill.shared import spread
 
 #: Documents with fewer letters have no share worth measuring: theirs is null.
 LEAST_LETTERS = 30
@@ -176,7 +177,7 @@ def repetition(rows: DataFrame, id_col: str, text_col: str, screen: float = SCRE
 
     kind = rows.schema[id_col].dataType.simpleString()
     slim = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, f"id {kind}, share double, exact boolean")
+    return spread(slim).mapInArrow(run, f"id {kind}, share double, exact boolean")
 
 
 def repetitive(rows: DataFrame, id_col: str, text_col: str, found: float = FOUND) -> DataFrame:

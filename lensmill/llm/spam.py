@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lensmill.shared import spread
+
 #: Characters of a window, about; a line is cut at spaces beyond one and a half of it.
 WINDOW = 240
 #: A function word is at most so many letters long and in this share of its language's documents; single characters of dense scripts need more.
@@ -140,7 +142,7 @@ def is_spam(w: Window, t: Thresholds) -> bool:
         return True
     if w.words < 3:
         return False
-    if w.function < t.function[w.language] and (w.function * 2 < t.function[w.language] or w.variety < 2 * t.variety[w.language] or w.separators >= t.separators[w.language]):
+    if w.function < t.function[w.language] and (w.function * 1.5 < t.function[w.language] or w.variety < 2 * t.variety[w.language] or w.separators >= t.separators[w.language]):
         return True
     if w.function < t.with_separators[w.language] and w.separators >= t.separators[w.language]:
         return True
@@ -149,7 +151,7 @@ def is_spam(w: Window, t: Thresholds) -> bool:
 
 def _clean(documents: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     lang = F.lower(F.trim(F.col(lang_col)))
-    return documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.when(lang.rlike("^[a-z]{2}$"), lang).alias("lang"))
+    return spread(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.when(lang.rlike("^[a-z]{2}$"), lang).alias("lang")))
 
 
 def _short_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,18 +186,25 @@ def function_words(slim: DataFrame) -> tuple[dict[str, int], list[str]]:
 
 
 def thresholds(slim: DataFrame, lexicon: dict[str, int], languages: list[str]) -> Thresholds:
-    """Thresholds of each language from the median of its windows of at least 12 words, over all documents."""
+    """Thresholds of each language from its median document.
+
+    A document counts once, with the means of its windows of at least 12 words, under the language
+    most of them are in; so a few endless pages do not move the medians.
+    """
     names = ("function", "separators", "variety")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
             for text in batch["text"].to_pylist():
-                for part in windows(text) if text else ():
-                    w = measure(part, lexicon, len(languages))
-                    if w.words >= 12 and w.link_share < LINKS:
-                        for k, value in enumerate((w.function, w.separators, w.variety)):
-                            counts[w.language, k, min(BINS - 1, int(value * BINS))] += 1
+                measured = [measure(part, lexicon, len(languages)) for part in (windows(text) if text else ())]
+                plain = [w for w in measured if w.words >= 12 and w.link_share < LINKS]
+                if plain:
+                    language = Counter(w.language for w in plain).most_common(1)[0][0]
+                    own = [w for w in plain if w.language == language]
+                    for k, name in enumerate(names):
+                        mean = sum(getattr(w, name) for w in own) / len(own)
+                        counts[language, k, min(BINS - 1, int(mean * BINS))] += 1
         keys = list(counts)
         columns = [pa.array([k[i] for k in keys], pa.int64()) for i in range(3)]
         yield pa.RecordBatch.from_arrays([*columns, pa.array([counts[k] for k in keys], pa.int64())], names=["language", "what", "bin", "n"])
