@@ -70,8 +70,11 @@ def hashing_forward(encoder: Encoder) -> Callable[[list[str]], np.ndarray]:
         seed = int.from_bytes(hashlib.sha256(word.encode()).digest()[:8], "little")
         return np.random.default_rng(seed).standard_normal(encoder.dimensions)
 
+    known: dict[str, np.ndarray] = {}
+
     def forward(texts: list[str]) -> np.ndarray:
-        known: dict[str, np.ndarray] = {}
+        if len(known) > 50_000:
+            known.clear()
         out = []
         for text in texts:
             words = (encoder.prefix + text).lower().split()[: encoder.most_tokens] or [""]

@@ -77,3 +77,17 @@ def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
         before[p], total = total, total + n
     offset = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("__p")) if before else F.lit(0)
     return placed.withColumn(name, F.col("__i") + offset).drop("__p", "__i")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over enough tasks for work that is heavy per row.
+
+    A scan of a few files gives fewer tasks than there are cores; such an input is small and is
+    dealt out at random. A large scan, or whatever has been shuffled already, is left as it is, so
+    no large table moves.
+    """
+    execution = rows._jdf.queryExecution()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in execution.executedPlan().toString() or execution.toRdd().getNumPartitions() >= 2 * cores:
+        return rows
+    return rows.repartition(3 * cores, F.rand(11))
