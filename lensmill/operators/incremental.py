@@ -9,12 +9,12 @@ the ledger of what has been processed.
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lensmill.operators.commits import Commits
 from lensmill.shared import checked_join
 
 _KEY = ["__part", "__key", "__version"]
@@ -106,20 +106,10 @@ class TopUp:
     """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path)
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm
+        self.spark, self.path, self.markers = spark, path.rstrip("/"), Commits(spark, path)
 
     def commits(self) -> list[dict]:
-        fs, jvm = self._fs()
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits")
-        if not fs.exists(folder):
-            return []
-        rows = self.spark.read.text(f"{self.path}/commits").collect()
-        return sorted((json.loads(r[0]) for r in rows), key=lambda c: c["number"])
+        return self.markers.all()
 
     def ledger(self) -> DataFrame:
         """Pairs of committed runs: ``__part, __key, __version``."""
@@ -153,13 +143,4 @@ class TopUp:
         return self.spark.read.schema(rows.schema).parquet(f"{self.path}/output/run={run}")
 
     def _commit(self, what: dict) -> None:
-        """Create the marker by a rename, which either happens whole or not at all."""
-        fs, jvm = self._fs()
-        path = jvm.org.apache.hadoop.fs.Path
-        aside, final = path(f"{self.path}/.commit-{what['run']}"), path(f"{self.path}/commits/{what['number']:08d}.json")
-        out = fs.create(aside, True)
-        out.write(bytearray(json.dumps(what).encode()))
-        out.close()
-        fs.mkdirs(path(f"{self.path}/commits"))
-        if fs.exists(final) or not fs.rename(aside, final):
-            raise RuntimeError(f"run {what['number']} was committed by another writer")
+        self.markers.add(what)

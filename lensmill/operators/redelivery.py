@@ -8,14 +8,17 @@ matched.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lensmill.shared import partitions
+from lensmill.operators.commits import Commits
+from lensmill.shared import cut, partitions
 
 #: Width of a time bucket in seconds.
 BUCKET_SECONDS = 90 * 86_400
@@ -148,3 +151,75 @@ def exactly_once(rows: DataFrame, key: str, time: str, bucket_seconds: int = BUC
     order = F.struct(F.col(time).isNull(), F.col(time), F.xxhash64(*rows.columns))
     kept = several.groupBy(F.col(key).alias("__key")).agg(F.min_by(F.struct(*rows.columns), order).alias("__row")).select("__row.*")
     return single.unionByName(kept)
+
+
+def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bloom filter segments of identifiers that come by shard and bucket: ``shard, bucket, bits``, packed, none larger than ``SEGMENT_BITS``."""
+    for batch in batches:
+        shards, buckets, hashes = batch["shard"].to_numpy(), batch["bucket"].to_numpy(), batch["h"].to_numpy().view(np.uint64)
+        for s, b in sorted(set(zip(shards.tolist(), buckets.tolist()))):
+            own = hashes[(shards == s) & (buckets == b)]
+            for lo in range(0, len(own), SEGMENT_IDS):
+                part = own[lo : lo + SEGMENT_IDS]
+                bloom = BloomFilter(bits=min(SEGMENT_BITS, 1 << max(10, int(len(part) * 10).bit_length())), ids=len(part))
+                bloom.add(part)
+                bits = np.packbits(bloom.segments[0]).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([b], pa.int64()), pa.array([bits], pa.binary())], names=["shard", "bucket", "bits"])
+
+
+def _probe(ids: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
+    """Which stored buckets may know each identifier of a shard."""
+    hashes = ids["h"].to_numpy().astype(np.int64).view(np.uint64)
+    found = []
+    for bucket, own in filters.groupby("bucket")["bits"]:
+        maybe = np.zeros(len(hashes), dtype=bool)
+        for bits in own:
+            bloom = BloomFilter(bits=len(bits) * 8)
+            bloom.segments = [np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).astype(bool)]
+            maybe |= bloom.might_contain(hashes)
+        found.append(pd.DataFrame({"id": ids["id"].to_numpy(dtype=object)[maybe], "bucket": np.int64(bucket)}))
+    return pd.concat(found) if found else pd.DataFrame({"id": np.zeros(0, dtype=object), "bucket": np.zeros(0, dtype=np.int64)})
+
+
+class Deliveries:
+    """Takes in batches of messages and lets each identifier through once, over all batches ever.
+
+    Kept in one folder: identifiers in Parquet, partitioned by time bucket, and their Bloom filters by
+    shard and bucket. A batch reads all filters of its shards but only those partitions of identifiers
+    that a filter points to. Like any run, a batch counts once its marker is there; a batch that
+    failed is taken in again whole. ``shards`` is fixed when the folder is made, such that the
+    identifiers of a batch fit a task when divided by it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, time: str, shards: int = 256, bucket_seconds: int = BUCKET_SECONDS):
+        self.spark, self.path, self.markers = spark, path.rstrip("/"), Commits(spark, path)
+        self.key, self.time, self.shards, self.bucket_seconds = key, time, shards, bucket_seconds
+
+    def _stored(self, what: str, schema: str) -> DataFrame:
+        runs = [f"{self.path}/{what}/run={c['run']}" for c in self.markers.all() if c["rows"]]
+        if not runs:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.option("basePath", f"{self.path}/{what}").schema(f"{schema}, run string").parquet(*runs).drop("run")
+
+    def accept(self, batch: DataFrame) -> DataFrame:
+        """The messages of ``batch`` whose identifier is new, one copy each; they are known from now on."""
+        first = exactly_once(batch.where(F.col(self.key).isNotNull()), self.key, self.time, self.bucket_seconds)
+        bucket = F.coalesce(F.floor(F.col(self.time) / self.bucket_seconds), F.lit(-1)).cast("bigint")
+        h = F.xxhash64(F.col(self.key).cast("string"))
+        ids = cut(first.select(F.col(self.key).cast("string").alias("id"), h.alias("h"), bucket.alias("bucket"), F.pmod(h, F.lit(self.shards)).cast("int").alias("shard")))
+        filters = self._stored("filters", "shard int, bucket bigint, bits binary")
+        maybe = cut(ids.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(_probe, "id string, bucket bigint"))
+        asked = [r[0] for r in maybe.select("bucket").distinct().collect()]  # there are few buckets
+        stored = self._stored("ids", "id string, bucket bigint").where(F.col("bucket").isin(asked)) if asked else self.spark.createDataFrame([], "id string, bucket bigint")
+        known = cut(maybe.join(stored, ["id", "bucket"], "left_semi").select("id").distinct())
+        fresh = ids.join(known, "id", "left_anti")
+        run = uuid.uuid4().hex
+        rows = fresh.count()
+        if rows:
+            fresh.select("id", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/ids/run={run}")
+            ordered = fresh.repartition(partitions(self.spark), "shard").sortWithinPartitions("shard", "bucket")
+            ordered.mapInArrow(_filters, "shard int, bucket bigint, bits binary").write.parquet(f"{self.path}/filters/run={run}")
+        out = first.join(fresh.select(F.col("id").alias(self.key)), self.key, "left_semi")
+        out.write.parquet(f"{self.path}/accepted/run={run}")
+        self.markers.add({"run": run, "number": len(self.markers.all()), "rows": rows})
+        return self.spark.read.schema(batch.schema).parquet(f"{self.path}/accepted/run={run}")

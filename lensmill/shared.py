@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,11 +26,6 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder for a table written between two stages."""
-    return f"{shared_dir(spark).rstrip('/')}/lensmill/{name}-{uuid.uuid4().hex}"
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of ``df`` in the shared folder: survives the loss of executors."""
     shared_dir(df.sparkSession)

@@ -61,3 +61,27 @@ def test_exactly_once_keeps_the_first_copy_and_all_columns(spark):
 def test_empty(spark):
     assert redelivery.repeated_ids(make(spark, []), "recommendationid", "snapshot_unix").count() == 0
     assert redelivery.exactly_once(make(spark, []), "recommendationid", "snapshot_unix").count() == 0
+
+
+def test_batches_let_each_identifier_through_once(spark, tmp_path):
+    width = redelivery.BUCKET_SECONDS
+    store = redelivery.Deliveries(spark, f"file://{tmp_path}/store", "recommendationid", "snapshot_unix", shards=4)
+    take = lambda rows: sorted((r.recommendationid, r.snapshot_unix) for r in store.accept(make(spark, rows)).collect())
+    assert take([("a", 1), ("a", 2), ("b", 3 * width), (None, 1)]) == [("a", 1), ("b", 3 * width)]
+    assert take([("a", 9 * width), ("c", 5), ("c", 6), ("d", None)]) == [("c", 5), ("d", None)]
+    assert take([("a", 1), ("b", 1), ("c", 1), ("d", 1)]) == []
+    assert take([]) == []
+    many = [(f"m{i}", i * 1_000) for i in range(3_000)]
+    assert len(take(many)) == 3_000 and take(many[:50] + [("new", 1)]) == [("new", 1)]
+
+
+def test_a_batch_that_failed_is_taken_in_again(spark, tmp_path, monkeypatch):
+    store = redelivery.Deliveries(spark, f"file://{tmp_path}/store", "recommendationid", "snapshot_unix", shards=2)
+    monkeypatch.setattr(store.markers, "add", lambda what: (_ for _ in ()).throw(OSError("lost")))
+    try:
+        store.accept(make(spark, [("a", 1)]))
+    except OSError:
+        pass
+    monkeypatch.undo()
+    assert store.accept(make(spark, [("a", 1)])).count() == 1
+    assert store.accept(make(spark, [("a", 1)])).count() == 0
