@@ -93,8 +93,10 @@ def pending_keys(rows: DataFrame, runs: DataFrame, ledger: DataFrame | None = No
 def pending_reviews(rows: DataFrame, runs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """The pending reviews themselves, each once: its latest copy by update time, then snapshot, with all columns."""
     order = F.struct(F.coalesce("timestamp_updated", "timestamp_created", F.lit(0)), F.coalesce("snapshot_unix", F.lit(0)), F.hash(*rows.columns))
-    latest = rows.groupBy("appid", "recommendationid").agg(F.max_by(F.struct(*rows.columns), order).alias("__row"))
-    return latest.join(pending_keys(rows, runs, ledger), ["appid", "recommendationid"], "left_semi").select("__row.*")
+    # only pending rows are shuffled whole; keys match null to null
+    keys = pending_keys(rows, runs, ledger).select(F.col("appid").alias("__a"), F.col("recommendationid").alias("__r"))
+    wanted = rows.join(keys, F.col("appid").eqNullSafe(F.col("__a")) & F.col("recommendationid").eqNullSafe(F.col("__r")), "left_semi")
+    return wanted.groupBy("appid", "recommendationid").agg(F.max_by(F.struct(*rows.columns), order).alias("__row")).select("__row.*")
 
 
 class TopUp:

@@ -68,10 +68,9 @@ def latest_by_id(copies: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     Only the needed ``columns`` are shuffled. Rows with a null id are left out.
     """
-    order = [F.coalesce("timestamp_updated", "timestamp_created", F.lit(0)), F.coalesce("snapshot_unix", F.lit(0))]
+    order = [F.coalesce("timestamp_updated", "timestamp_created", F.lit(0)).alias("__updated"), F.coalesce("snapshot_unix", F.lit(0)).alias("__snapshot")]
     carried = [c for c in columns if c != "recommendationid"]
-    row = F.struct(*carried)
-    best = copies.where("recommendationid is not null").groupBy("recommendationid").agg(F.max_by(row, F.struct(*order, row)).alias("__row"))
+    best = copies.where("recommendationid is not null").groupBy("recommendationid").agg(F.max(F.struct(*order, *carried)).alias("__row"))
     return best.select("recommendationid", *[F.col(f"__row.{c}").alias(c) for c in carried])
 
 
