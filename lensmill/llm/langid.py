@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lensmill.llm.batch import chunks, codepoints, hash_sample, mix64, powers, segment_sums
@@ -210,6 +210,11 @@ def learn(texts: list[str], labels: np.ndarray, languages: Sequence[str], rounds
     return model
 
 
+def _named(label_col: str) -> Column:
+    """A label in lower case without outer white space, by Unicode."""
+    return F.lower(F.regexp_replace(label_col, r"(?U)^\s+|\s+$", ""))
+
+
 def label_names(codes: DataFrame) -> dict[str, str]:
     """What a label may say (in lower case) and the language it then names; the table is small and fixed."""
     names = {}
@@ -220,7 +225,7 @@ def label_names(codes: DataFrame) -> dict[str, str]:
 
 def trained(rows: DataFrame, label_col: str, text_col: str, names: dict[str, str], most: int = TRAIN_ROWS) -> Model:
     """Learned from at most ``most`` rows whose label names a language, taken by hash."""
-    label = F.lower(F.trim(F.col(label_col)))
+    label = _named(label_col)
     got = hash_sample(rows.where(label.isin(list(names)) & (F.length(text_col) >= 12)).select(label.alias("label"), F.col(text_col).alias("text")), most)
     languages = sorted(set(names.values()))
     number = {k: i for i, k in enumerate(languages)}
@@ -276,7 +281,7 @@ def languages_of(rows: DataFrame, id_col: str, label_col: str, text_col: str, co
                     names=["id", "label", "start", "end", "language", "confidence", "sentences"],
                 )
 
-    said = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.lower(F.trim(F.col(label_col)))] if names else F.lit(None).cast("string")
+    said = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[_named(label_col)] if names else F.lit(None).cast("string")
     slim = rows.select(F.col(id_col).alias("id"), said.alias("label"), F.col(text_col).alias("text"))
     return spread(slim).mapInArrow(run, f"id {kind}, label string, start bigint, end bigint, language string, confidence double, sentences bigint")
 
