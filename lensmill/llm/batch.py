@@ -63,5 +63,5 @@ def hash_sample(rows: DataFrame, most: int) -> list:
     h = F.xxhash64(*rows.columns)
     kept = rows.withColumn("__h", h)
     if total > most:
-        kept = kept.where(F.col("__h") < int(-(2**63) + 2**64 * (1.2 * most / total)))
+        kept = kept.where(F.col("__h") <= min(2**63 - 1, -(2**63) + 2**64 * 6 * most // (5 * total)))
     return kept.dropDuplicates(["__h"]).orderBy("__h").limit(most).drop("__h").collect()
