@@ -88,3 +88,17 @@ def test_formats():
     assert show.provenance([]) == "descriptions" and show.provenance([1, 2]) == "fitted:1+2"
     assert "mixture" in show.built_from(["a", "b"])
     assert show.title("", 7) == "App 7" and show.hours(59) == "59 min" and show.hours(180) == "3 h"
+
+
+def test_sql_functions_agree_with_the_columns(spark):
+    from lensmill.functions.register import register
+
+    assert "mcnemar_p" in register(spark)
+    rows = spark.createDataFrame([(24, 47, 12, 2), (0, 12, 7, 7), (12, 12, 9, 7), (0, 0, 0, 0), (5, 9, 3, 0)], "hits int, n int, gained int, lost int")
+    rows.createOrReplaceTempView("verdicts")
+    low, high = stats.wilson(F.col("hits"), F.col("n"))
+    want = rows.select(low, high, stats.mcnemar(F.col("gained"), F.col("lost")), stats.rate(F.col("hits"), F.col("n")), stats.ratio(F.col("hits"), F.col("n"))).collect()
+    got = spark.sql("SELECT wilson_low(hits, n), wilson_high(hits, n), mcnemar_p(gained, lost), rate(hits, n), ratio(hits, n) FROM verdicts").collect()
+    for g, w in zip(got, want):
+        assert [None if x is None else round(x, 12) for x in g] == [None if x is None else round(x, 12) for x in w]
+    assert spark.sql("SELECT year_month(-1), not_blank(' \n'), not_blank('a'), text_key('good game')").first()[:3] == ("1969-12", False, True)
