@@ -9,19 +9,20 @@ from pyspark.sql import functions as F
 
 from lensmill.shared import partitions
 
-#: A group is heavy with at least this many rows and at least 1/MOST_HEAVY of all rows.
+#: Rows from which a group is heavy, and how many of the largest are treated so at most.
 HEAVY_ROWS = 100_000
-#: So there are at most this many heavy groups, whatever the size of the input.
 MOST_HEAVY = 1_000
 #: Salts over which a heavy group is spread.
 SALTS = 32
 
 
 def heavy_groups(rows: DataFrame, group: str, heavy_rows: int = HEAVY_ROWS) -> list:
-    """The groups that one task should not hold, by exact counts; at most ``MOST_HEAVY`` of them."""
-    counts = rows.groupBy(group).agg(F.count("*").alias("n"))
-    limit = max(heavy_rows, -(-rows.count() // MOST_HEAVY))
-    return [r[0] for r in counts.where(F.col("n") >= limit).select(group).collect()]
+    """The groups that one task should not hold, by exact counts: the ``MOST_HEAVY`` largest of at least ``heavy_rows``.
+
+    Any other group has under ``heavy_rows`` rows or under 1/``MOST_HEAVY`` of all.
+    """
+    counts = rows.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") >= heavy_rows)
+    return [r[0] for r in counts.orderBy(F.desc("n")).limit(MOST_HEAVY).collect()]
 
 
 def top_n(items: DataFrame, group: str, order: Sequence[Column], n: int, heavy: list) -> DataFrame:
