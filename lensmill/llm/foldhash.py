@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lensmill.llm.batch import chunks, codepoints, mix64, segment_sums
-from lensmill.shared import SALTS, checked_join, cut, spread
+from lensmill.shared import checked_join, cut, spread
 
 #: Texts with fewer kept letters and digits than this are no case.
 LEAST_KEPT = 30
+#: Rows of one record that are compared in one task at most, about.
+ROWS_PER_SALT = 10_000
 _P = (1 << 31) - 1
 _BASES = (1_000_003_319, 1_700_000_429)
 #: Characters that end a field, and those that join a label to its value.
@@ -220,13 +222,14 @@ def formatting_pairs(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     source = spread(rows.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")))
     keys = source.mapInArrow(_hashed_keys, "id string, h bigint, kept bigint, fields boolean")
     # both are read more than once and dear to make; members are only the rows whose hashes collide
-    shared = cut(keys.groupBy(*_KEY).agg(F.min("id").alias("first_id"), F.max("id").alias("__last")).where("first_id < __last").drop("__last"))
+    shared = cut(keys.groupBy(*_KEY).agg(F.min("id").alias("first_id"), F.max("id").alias("__last"), F.ceil(F.count("*") / ROWS_PER_SALT).cast("int").alias("salts")).where("first_id < __last").drop("__last"))
     texts = source.mapInArrow(_hashed, "id string, text string, h bigint, kept bigint, fields boolean")
     members = cut(checked_join(texts, shared, _KEY, "inner").distinct())
-    firsts = members.where("id = first_id").groupBy(*_KEY).agg(F.min("text").alias("first_text"))
-    copies = firsts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = members.withColumn("__salt", F.pmod(F.xxhash64("id", "text"), F.lit(SALTS)).cast("int"))
+    firsts = members.where("id = first_id").groupBy(*_KEY).agg(F.min("text").alias("first_text"), F.first("salts").alias("salts"))
+    copies = firsts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    salted = members.withColumn("__salt", F.pmod(F.xxhash64("id", "text"), F.col("salts")).cast("int"))
     compared = salted.join(copies, [*_KEY, "__salt"]).select("id", "first_id", "text", "first_text").mapInArrow(_verified, "id string, first_id string, other string")
+    compared = cut(compared)
     same = compared.where("other is null").select("first_id", "id")
     apart = compared.where("other is not null").select("other", "id")
     again = apart.join(apart.groupBy("other").agg(F.min("id").alias("first_id")), "other").select("first_id", "id")
