@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lensmill.shared import spread
+from lensmill.shared import cut, spread
 
 #: Characters of a window, about; a line is cut at spaces beyond one and a half of it.
 WINDOW = 240
@@ -172,7 +172,7 @@ def function_words(slim: DataFrame) -> tuple[dict[str, int], list[str]]:
     A document holds a bounded number of different short words, so at most a few thousand a language
     can be in a third of its documents; language codes have two letters. The result is small.
     """
-    counts = slim.mapInArrow(_short_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = cut(slim.mapInArrow(_short_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     totals = counts.where("word = ''").select("lang", F.col("n").alias("total")).where(F.col("total") >= LANGUAGE_DOCUMENTS)
     dense = F.col("word").rlike(r"^[぀-ヿ㐀-鿿]$")
     common = counts.where("word <> ''").join(F.broadcast(totals), "lang").where(F.col("n") >= F.col("total") * F.when(dense, COMMON_DENSE).otherwise(COMMON))
