@@ -137,16 +137,17 @@ class Thresholds:
     variety: list[float]
 
 
-def is_spam(w: Window, t: Thresholds) -> bool:
-    if w.link_share >= LINKS:
-        return True
-    if w.words < 3:
-        return False
-    if w.function < t.function[w.language] and (w.function * 1.5 < t.function[w.language] or w.variety < 2 * t.variety[w.language] or w.separators >= t.separators[w.language]):
-        return True
-    if w.function < t.with_separators[w.language] and w.separators >= t.separators[w.language]:
-        return True
-    return w.content >= 12 and w.variety < t.variety[w.language] and w.repeated >= REPEATED
+#: What is kept of each window, and the type of its column; a window takes some 40 bytes.
+_KEPT = {"size": np.int32, "words": np.int32, "language": np.int32, "content": np.int32, "function": np.float32, "variety": np.float32, "repeated": np.float32, "separators": np.float32, "link_share": np.float32}
+
+
+def spam_windows(w: dict[str, np.ndarray], t: Thresholds) -> np.ndarray:
+    """Which of the windows are spam; ``w`` has an array for each statistic."""
+    at = lambda name: np.array([*getattr(t, name), 0.0])[w["language"]]
+    few = (w["function"] < at("function")) & ((w["function"] * 1.5 < at("function")) | (w["variety"] < 2 * at("variety")) | (w["separators"] >= at("separators")))
+    listed = (w["function"] < at("with_separators")) & (w["separators"] >= at("separators"))
+    same = (w["content"] >= 12) & (w["variety"] < at("variety")) & (w["repeated"] >= REPEATED)
+    return (w["link_share"] >= LINKS) | (w["words"] >= 3) & (few | listed | same)
 
 
 def _clean(documents: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
@@ -185,33 +186,57 @@ def function_words(slim: DataFrame) -> tuple[dict[str, int], list[str]]:
     return lexicon, languages
 
 
-def thresholds(slim: DataFrame, lexicon: dict[str, int], languages: list[str]) -> Thresholds:
+def measured(slim: DataFrame, lexicon: dict[str, int], languages: list[str]) -> DataFrame:
+    """``id, n_words, n_links`` of each document and the statistics of its windows as arrays. Cut: it is read twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[measure(part, lexicon, len(languages)) for part in (windows(text) if text else ())] for text in batch["text"].to_pylist()]
+            offsets = pa.array(np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum([len(f) for f in found], dtype=np.int64)]), pa.int32())
+            flat = [w for f in found for w in f]
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.array([getattr(w, name) for w in flat], dtype=kind))) for name, kind in _KEPT.items()]
+            sums = [pa.array([sum(getattr(w, name) for w in f) for f in found], pa.int64()) for name in ("words", "links")]
+            yield pa.RecordBatch.from_arrays([batch["id"], *sums, *lists], names=["id", "n_words", "n_links", *_KEPT])
+
+    kind = slim.schema["id"].dataType.simpleString()
+    columns = ", ".join(f"{name} array<{'int' if t is np.int32 else 'float'}>" for name, t in _KEPT.items())
+    return cut(slim.mapInArrow(run, f"id {kind}, n_words bigint, n_links bigint, {columns}"))
+
+
+def _windows_of(batch: pa.RecordBatch) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The statistics of all windows of a batch end to end, and the number of the document each belongs to."""
+    sizes = batch["size"].value_lengths().to_numpy(zero_copy_only=False)
+    return {name: batch[name].flatten().to_numpy() for name in _KEPT}, np.repeat(np.arange(batch.num_rows), sizes)
+
+
+def thresholds(table: DataFrame, languages: list[str]) -> Thresholds:
     """Thresholds of each language from its median document.
 
     A document counts once, with the means of its windows of at least 12 words, under the language
     most of them are in; so a few endless pages do not move the medians.
     """
     names = ("function", "separators", "variety")
+    many = max(1, len(languages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts = np.zeros((many, len(names), BINS), dtype=np.int64)
         for batch in batches:
-            for text in batch["text"].to_pylist():
-                measured = [measure(part, lexicon, len(languages)) for part in (windows(text) if text else ())]
-                plain = [w for w in measured if w.words >= 12 and w.link_share < LINKS]
-                if plain:
-                    language = Counter(w.language for w in plain).most_common(1)[0][0]
-                    own = [w for w in plain if w.language == language]
-                    for k, name in enumerate(names):
-                        mean = sum(getattr(w, name) for w in own) / len(own)
-                        counts[language, k, min(BINS - 1, int(mean * BINS))] += 1
-        keys = list(counts)
-        columns = [pa.array([k[i] for k in keys], pa.int64()) for i in range(3)]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array([counts[k] for k in keys], pa.int64())], names=["language", "what", "bin", "n"])
-
-    table = slim.mapInArrow(run, "language bigint, what bigint, bin bigint, n bigint").groupBy("language", "what", "bin").agg(F.sum("n").alias("n"))
-    hist = np.zeros((max(1, len(languages)), len(names), BINS))
-    for r in table.collect():
+            w, doc = _windows_of(batch)
+            plain = (w["words"] >= 12) & (w["link_share"] < LINKS)
+            key, inverse, n = np.unique(doc[plain] * many + w["language"][plain], return_inverse=True, return_counts=True)
+            order = np.lexsort((key, -n, key // many))  # the language of most windows first, of each document
+            first = np.ones(len(order), dtype=bool)
+            first[1:] = key[order][1:] // many != key[order][:-1] // many
+            chosen = order[first]
+            for k, name in enumerate(names):
+                mean = np.bincount(inverse, weights=w[name][plain], minlength=len(key))[chosen] / n[chosen]
+                np.add.at(counts, (key[chosen] % many, k, np.minimum(BINS - 1, (mean * BINS).astype(np.int64))), 1)
+        at = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in at), pa.array(counts[at], pa.int64())], names=["language", "what", "bin", "n"])
+
+    added = table.mapInArrow(run, "language bigint, what bigint, bin bigint, n bigint").groupBy("language", "what", "bin").agg(F.sum("n").alias("n"))
+    hist = np.zeros((many, len(names), BINS))
+    for r in added.collect():
         hist[r.language, r.what, r.bin] = r.n
     total = hist.sum(axis=2)
     overall = hist.sum(axis=0)
@@ -227,28 +252,25 @@ def scored(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null, empty and blank texts have share 0, as have texts too short to tell. Every row comes out,
     repeated and null ids included. A null or unusual language label does no harm: the language of
-    each window is that of the function words it has.
+    each window is that of the function words it has. Texts are read twice: for the function words
+    and for the statistics of windows, from which both thresholds and decisions are made.
     """
     slim = _clean(documents, id_col, text_col, lang_col)
     lexicon, languages = function_words(slim)
-    limits = thresholds(slim, lexicon, languages)
+    table = measured(slim, lexicon, languages)
+    limits = thresholds(table, languages)
     kind = documents.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shares, words, links = [], [], []
-            for text in batch["text"].to_pylist():
-                size = bad = n = k = 0
-                for part in windows(text) if text else ():
-                    w = measure(part, lexicon, len(languages))
-                    size, n, k = size + w.size, n + w.words, k + w.links
-                    bad += w.size if is_spam(w, limits) else 0
-                shares.append(bad / size if size and (n >= LEAST_WORDS or k >= LEAST_LINKS) else 0.0)
-                words.append(n)
-                links.append(k)
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(shares, pa.float64()), pa.array(words, pa.int64()), pa.array(links, pa.int64())], names=["id", "spam_share", "words", "links"])
-
-    return slim.mapInArrow(run, f"id {kind}, spam_share double, words bigint, links bigint").withColumnRenamed("id", id_col)
+            w, doc = _windows_of(batch)
+            size = np.bincount(doc, weights=w["size"], minlength=batch.num_rows)
+            bad = np.bincount(doc, weights=w["size"] * spam_windows(w, limits), minlength=batch.num_rows)
+            enough = (batch["n_words"].to_numpy() >= LEAST_WORDS) | (batch["n_links"].to_numpy() >= LEAST_LINKS)
+            share = np.where(enough & (size > 0), bad / np.maximum(size, 1), 0.0)
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(share), batch["n_words"], batch["n_links"]], names=["id", "spam_share", "words", "links"])
+
+    return table.mapInArrow(run, f"id {kind}, spam_share double, words bigint, links bigint").withColumnRenamed("id", id_col)
 
 
 def spam_pages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
