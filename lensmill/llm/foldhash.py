@@ -8,6 +8,7 @@ whose hashes collide are then compared with two pointers that skip over dropped
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -185,13 +186,13 @@ def canonical(text: str) -> str:
     return "\x00".join(sorted(filter(None, map(form, _pieces(text))))) if is_fields(text) else form(text)
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hashed(batches: Iterator[pa.RecordBatch], least: int = LEAST_KEPT) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, column = batch["id"], batch["text"]
         texts = column.to_pylist()
         for lo, hi in chunks(texts):
             h, kept, fields = fold_hashes(texts[lo:hi])
-            keep = np.flatnonzero(kept >= LEAST_KEPT)
+            keep = np.flatnonzero(kept >= least)
             at = pa.array(keep + lo)
             arrays = [ids.take(at), column.take(at), pa.array(h[keep]), pa.array(kept[keep]), pa.array(fields[keep])]
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "text", "h", "kept", "fields"])
@@ -202,6 +203,26 @@ def _hashed_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["id", "h", "kept", "fields"])
 
 
+def _hashed_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _hashed(batches, 0)
+
+
+def _digested_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of all texts, short ones included, with 128 bits of a digest that tell whether texts are the very same."""
+    for batch in _hashed(batches, 0):
+        digests = b"".join(hashlib.blake2b(t.encode(), digest_size=16).digest() for t in batch["text"].to_pylist())
+        d = np.frombuffer(digests, dtype=np.int64).reshape(-1, 2)
+        arrays = [*(batch[c] for c in ("id", *_KEY)), pa.array(d[:, 0]), pa.array(d[:, 1])]
+        yield pa.RecordBatch.from_arrays(arrays, names=["id", *_KEY, "d0", "d1"])
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pairs = zip(batch["text"].to_pylist(), batch["first_text"].to_pylist())
+        other = [None if same_record(a, b) else canonical(a) for a, b in pairs]
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("id", *_KEY)), pa.array(other, pa.string())], names=["id", *_KEY, "other"])
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         same = [same_record(a, b) for a, b in zip(batch["text"].to_pylist(), batch["first_text"].to_pylist())]
@@ -236,6 +257,34 @@ def formatting_pairs(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return same.unionByName(again).where("id > first_id").distinct()
 
 
+def records(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``h, kept, fields, first_id, ids, copies``: one row for each record, those of one row and short ones included.
+
+    ``copies`` counts the rows that have the record, ``ids`` their distinct ids, of which
+    ``first_id`` is the smallest. Null texts are no record; a row with a null id is a copy, but no
+    id. An id with several texts belongs to several records. Keys whose rows all have the very same
+    text need no comparison; the rows of the others carry their texts through a shuffle as in
+    ``formatting_pairs``.
+    """
+    source = spread(rows.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")))
+    keys = source.mapInArrow(_digested_keys, "id string, h bigint, kept bigint, fields boolean, d0 bigint, d1 bigint")
+    each = [f(d).alias(f"{name}_{d}") for d in ("d0", "d1") for name, f in (("min", F.min), ("max", F.max))]
+    again = [f(f"{name}_{d}").alias(f"{name}_{d}") for d in ("d0", "d1") for name, f in (("min", F.min), ("max", F.max))]
+    per_id = keys.groupBy(*_KEY, "id").agg(F.count("*").alias("n"), *each)
+    groups = cut(per_id.groupBy(*_KEY).agg(F.min("id").alias("first_id"), F.count("id").alias("ids"), F.sum("n").alias("copies"), *again))
+    alike = F.expr("min_d0 = max_d0 and min_d1 = max_d1")
+    columns = [*_KEY, "first_id", "ids", "copies"]
+    mixed = groups.where(~alike).select(*_KEY, F.ceil(F.col("copies") / ROWS_PER_SALT).cast("int").alias("salts"))
+    texts = source.mapInArrow(_hashed_all, "id string, text string, h bigint, kept bigint, fields boolean")
+    members = cut(checked_join(texts, mixed, _KEY, "inner"))
+    firsts = members.groupBy(*_KEY).agg(F.min("text").alias("first_text"), F.first("salts").alias("salts"))
+    copies = firsts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    salted = members.withColumn("__salt", F.pmod(F.xxhash64("id", "text"), F.col("salts")).cast("int"))
+    compared = salted.join(copies, [*_KEY, "__salt"]).select("id", *_KEY, "text", "first_text").mapInArrow(_compared, "id string, h bigint, kept bigint, fields boolean, other string")
+    told = compared.groupBy(*_KEY, "other", "id").agg(F.count("*").alias("n")).groupBy(*_KEY, "other").agg(F.min("id").alias("first_id"), F.count("id").alias("ids"), F.sum("n").alias("copies"))
+    return groups.where(alike).select(*columns).unionByName(told.select(*columns))
+
+
 def collapsed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per record that has several ids: ``first_id`` and ``copies``, the number of its ids."""
-    return formatting_pairs(rows, id_col, text_col).groupBy("first_id").agg((F.count("*") + 1).alias("copies"))
+    """One row per record of at least 30 letters and digits that has several ids: ``first_id`` and ``copies``, the number of its ids."""
+    return records(rows, id_col, text_col).where((F.col("kept") >= LEAST_KEPT) & (F.col("ids") > 1)).select("first_id", F.col("ids").alias("copies"))

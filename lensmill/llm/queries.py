@@ -64,7 +64,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return foldhash.collapsed(_table(spark, sf_dir, "capture"), "recommendationid", "review")
+    """Every record of the reviews once, with its smallest id and its numbers of ids and of copies."""
+    return foldhash.records(_table(spark, sf_dir, "capture"), "recommendationid", "review")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

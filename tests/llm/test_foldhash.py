@@ -71,6 +71,25 @@ def test_pairs(spark, collide, monkeypatch):
         assert {r.first_id: r.copies for r in foldhash.collapsed(frame, "rid", "review").collect()} == {"f1": 3, "h000": 201, "long1": 2}
 
 
+def test_records_are_whole(spark):
+    rows = [("a", TEXT), ("a", TEXT), ("a", FIELDS), ("b", TEXT.upper()), ("c", " | ".join(reversed(FIELDS.split("\n")))), ("d", "gg"), ("e", "GG!"), ("f", "alone"), ("g", None), (None, "Alone."), (None, "nobody"), ("h", "!"), ("i", "")]
+    expected = defaultdict(list)
+    for i, t in rows:
+        if t is not None:
+            expected[foldhash.canonical(t), foldhash.is_fields(t)].append(i)
+    expected = sorted((min(filter(None, v), default="-"), len(set(v) - {None}), len(v)) for v in expected.values())
+    frame = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "rid string, review string, text string, h int").repartition(3)
+    assert sorted((r.first_id or "-", r.ids, r.copies) for r in foldhash.records(frame, "rid", "review").collect()) == expected
+    assert expected == [("-", 0, 1), ("a", 2, 2), ("a", 2, 3), ("d", 2, 2), ("f", 1, 2), ("h", 2, 2)]
+
+
+def test_colliding_records_are_told_apart():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"id": ["b", "c"], "h": [1, 1], "kept": [9, 9], "fields": [False, False], "text": [TEXT.upper(), FIELDS], "first_text": [TEXT, TEXT]})
+    assert [r["other"] for r in next(iter(foldhash._compared(iter([batch])))).to_pylist()] == [None, foldhash.canonical(FIELDS)]
+
+
 def test_collisions_are_told_apart():
     import pyarrow as pa
 
