@@ -39,17 +39,20 @@ def normalise(a: Column) -> Column:
 
 @dataclass(frozen=True)
 class Encoder:
-    """A registered text encoder: its width, how token vectors are pooled, and a prefix for every text."""
+    """A registered text encoder: its width, how token vectors are pooled, a prefix for every text, and the tokens it reads (None: all)."""
 
     name: str
     dimensions: int
     pooling: str = "mean"
     prefix: str = ""
-    most_tokens: int = 512
+    most_tokens: int | None = 512
 
 
-#: No encoder weights ship with the library. ``hashing`` is a deterministic stand-in with the same interface.
-ENCODERS = {e.name: e for e in (Encoder("hashing", 64), Encoder("hashing-wide", 768, "cls", "query: "))}
+#: No encoder weights ship with the library. ``hashing`` is a deterministic stand-in with the same interface; it reads all
+#: words of a text and pools their mean, since a word's hash, unlike a trained first token, says nothing of the others.
+ENCODERS = {e.name: e for e in (Encoder("hashing", 64, most_tokens=None), Encoder("hashing-wide", 768, "mean", "query: ", None))}
+#: Words whose vectors are held at once.
+WORDS_AT_ONCE = 512
 
 
 def pool(hidden: np.ndarray, mask: np.ndarray, pooling: str) -> np.ndarray:
@@ -78,8 +81,12 @@ def hashing_forward(encoder: Encoder) -> Callable[[list[str]], np.ndarray]:
         out = []
         for text in texts:
             words = (encoder.prefix + text).lower().split()[: encoder.most_tokens] or [""]
-            hidden = np.stack([known[w] if w in known else known.setdefault(w, vector(w)) for w in words])[None]
-            out.append(pool(hidden, np.ones((1, len(words))), encoder.pooling)[0])
+            if encoder.pooling == "cls":
+                words = words[:1]
+            total = np.zeros(encoder.dimensions)
+            for at in range(0, len(words), WORDS_AT_ONCE):
+                total += np.stack([known[w] if w in known else known.setdefault(w, vector(w)) for w in words[at : at + WORDS_AT_ONCE]]).sum(axis=0)
+            out.append(pool(total[None, None] / len(words), np.ones((1, 1)), "mean")[0])
         return np.stack(out) if out else np.zeros((0, encoder.dimensions), dtype=np.float32)
 
     return forward

@@ -32,6 +32,23 @@ def test_pooling():
     assert V.pool(hidden, np.array([[1, 1]]), "cls")[0] == pytest.approx([0.6, 0.8])
 
 
+@pytest.mark.parametrize("name", sorted(V.ENCODERS))
+def test_encoders_read_the_whole_text(name):
+    model = V.hashing_forward(V.ENCODERS[name])
+    a, b, c, d = model(["good map", "bad story", "word " * 600 + "map", "word " * 600 + "story"])
+    assert a @ b < 0.9 and not np.array_equal(c, d)
+    assert np.linalg.norm([a, b, c, d], axis=1) == pytest.approx(np.ones(4), abs=1e-6)
+
+
+def test_reviews_do_not_all_get_one_category():
+    from lensmill.cli import description_anchors
+    from lensmill.schema import CATEGORIES
+
+    texts = [f"{label} {label}" for _, label in CATEGORIES]
+    x = V.hashing_forward(V.ENCODERS["hashing-wide"])(texts)
+    assert len(set((x @ description_anchors("hashing-wide").vectors.T).argmax(axis=1).tolist())) > 10
+
+
 def examples(n, slot=1):
     x = np.zeros((n, K))
     x[:, 2] = 1
