@@ -180,3 +180,13 @@ def sampled(pool: DataFrame, targets: DataFrame, seed: int = 1) -> DataFrame:
     extra = rest.withColumn("k", rank).where("k <= missing").select("app_id", "id").distinct()
     whole = drawn.select("app_id", "id").unionByName(extra)
     return items.join(whole, ["app_id", "id"], "left_semi")
+
+
+def draw_report(pool: DataFrame, targets: DataFrame, seed: int = 1) -> DataFrame:
+    """``cell_report`` with ``drawn``, the items of each cell that the sample of ``sampled`` holds, for all target rows.
+
+    A cell with a gap is always drawn short, as a sample never holds more than there is; a cell
+    drawn one short by rounding has no gap.
+    """
+    drawn = sampled(pool, targets, seed).groupBy("app_id", "category").agg(F.count("*").alias("drawn"))
+    return cell_report(pool, targets).join(drawn, ["app_id", "category"], "left").withColumn("drawn", F.coalesce("drawn", F.lit(0).cast("bigint")))

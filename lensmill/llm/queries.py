@@ -36,7 +36,8 @@ def _sampling(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calibrate.cell_report(*_sampling(spark, sf_dir)).where("gap > 0").select("app_id", "predicted")
+    """Cells that the calibrated draw left short of what is wanted, and that hold too few items for it."""
+    return calibrate.draw_report(*_sampling(spark, sf_dir)).where("drawn < wanted and gap > 0").select("app_id", "predicted")
 
 
 def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,6 +52,21 @@ def test_gaps(spark):
     assert got == {(1, "bugs"): (2, 2, 0), (1, "story"): (1, 0, 1), (1, "price"): (0, 0, 0), (2, "bugs"): (5, 0, 5), (1, "audio"): (0, 0, 0)}
 
 
+def test_found_cells_come_from_the_draw(spark, tmp_path, monkeypatch):
+    from lensmill.llm import queries
+
+    rows = [(f"{c}{i}", 1, c, "x") for c, n in (("bugs", 30), ("story", 3), ("price", 8)) for i in range(n)] + [("bugs0", 1, "Story ", "x")]
+    pool(spark, rows).write.parquet(f"{tmp_path}/sampled_review.parquet")
+    cells = [(1, "bugs", 0.5, 0, 20, 9), (1, "story", 0.3, 0, 20, 9), (1, " STORY", 0.0, 2, 20, 9), (1, "price", 0.1, 9, 20, 9), (1, "audio", 0.0, 0, 20, 9), (None, "bugs", 0.5, 0, 20, 9), (2, "bugs", 0.5, 0, 20, 9)]
+    spark.createDataFrame(cells, TARGET).write.parquet(f"{tmp_path}/sample_target.parquet")
+    draws, real = [], calibrate.sampled
+    monkeypatch.setattr(calibrate, "sampled", lambda *a: draws.append(a) or real(*a))
+    got = [tuple(r) for r in queries.p4_found(spark, str(tmp_path)).collect()]
+    assert len(draws) == 1 and sorted(got, key=str) == [(1, "price"), (1, "story"), (2, "bugs"), (None, "bugs")]
+    report = {(r.app_id, r.predicted): (r.wanted, r.available, r.drawn) for r in calibrate.draw_report(*queries._sampling(spark, str(tmp_path))).collect()}
+    assert report[1, "bugs"][:2] == (10, 30) and 9 <= report[1, "bugs"][2] <= 14 and report[1, "price"] == (9, 8, 8) and report[1, "story"] == (6, 4, 4) and report[2, "bugs"] == (10, 0, 0)
+
+
 def test_sample_has_the_shares_and_is_repeatable(spark):
     rows = [(f"{a}-{c}-{i}", a, c, "x") for a in (1, 2) for c, n in (("bugs", 300), ("story", 40), ("price", 8)) for i in range(n)]
     rows += [("1-bugs-0", 1, "story", "x"), ("1-bugs-0", 1, "bugs", "x"), ("9", 3, "bugs", "x")]
