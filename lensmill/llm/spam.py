@@ -2,10 +2,11 @@
 
 A document is cut into windows of about a sentence or two, never across a blank line. A window is
 spam by thresholds on its link-text ratio, its share of function words, its separator density and
-how few different words it keeps repeating (top words and n-grams, repeated lines). The function
-words and all thresholds come from the corpus itself, language by language: from document
-frequencies and from the median window of each language, counted over all documents. A document is
-spam if more than half of its text lies in such windows.
+how few different words it keeps repeating. Over the whole document, the share of lines said before
+and that of its top word find what no window can see: one long line said again and again. The
+function words and all thresholds come from the corpus itself, language by language: from document
+frequencies and from the median document of each language, counted over all documents. A document
+is spam if more than half of its text lies in such windows or lines.
 """
 
 from __future__ import annotations
@@ -36,8 +37,10 @@ MANY_SEPARATORS, SEPARATOR_MULTIPLE = 0.16, 2.0
 LINKS, REPEATED = 0.6, 0.35
 #: Share of the text that must be spam, and words or links below which a text is too short to tell.
 FOUND, LEAST_WORDS, LEAST_LINKS = 0.5, 8, 2
-#: Bins of the histograms from which medians are read.
-BINS = 200
+#: A document whose lines said before make up ``FOUND`` of it is spam if its top content word has so many times the share it has in the median document of the language.
+TOP_MULTIPLE = 2.0
+#: Bins of the histograms from which medians are read; top words have small shares and wider bins.
+BINS, TOP_SCALE = 200, 5
 
 _DENSE = "぀-ヿ㐀-鿿豈-﫿"
 _WORD = re.compile(rf"[{_DENSE}]|(?:(?![{_DENSE}])[^\W\d_])+")
@@ -84,7 +87,7 @@ class Window:
     variety: float  # different content words a content word
     content: int
     repeated: float  # share of bigrams that occur again
-    top: float  # share of the most frequent content word
+    counts: Counter  # of content words
     separators: float  # a word
     link_share: float  # of links and their labels
 
@@ -124,17 +127,41 @@ def measure(text: str, lexicon: dict[str, int], languages: int) -> Window:
     counts = Counter(content)
     return Window(
         size, n, links, best, hits[best] / n if n and languages else 0.0, len(counts) / len(content) if content else 1.0, len(content),
-        sum(v for v in pairs.values() if v > 1) / (n - 1) if n > 1 else 0.0, max(counts.values()) / n if counts else 0.0,
+        sum(v for v in pairs.values() if v > 1) / (n - 1) if n > 1 else 0.0, counts,
         len(_SEPARATOR.findall(body)) / n if n else 0.0, linked / size if size else 0.0,
     )
 
 
+def said_again(text: str) -> float:
+    """Share of the text, by visible characters, in lines that were said before in it; case and spaces do not matter."""
+    seen: set[str] = set()
+    again = total = 0
+    for line in text.splitlines():
+        parts = line.lower().split()
+        if parts:
+            size, key = sum(map(len, parts)), " ".join(parts)
+            total += size
+            if key in seen:
+                again += size
+            seen.add(key)
+    return again / total if total else 0.0
+
+
+def top_share(found: list[Window]) -> float:
+    """Share of the most frequent content word among all words of a document."""
+    counts: Counter = Counter()
+    for w in found:
+        counts.update(w.counts)
+    return max(counts.values()) / sum(w.words for w in found) if counts else 0.0
+
+
 @dataclass
 class Thresholds:
     function: list[float]
     with_separators: list[float]
     separators: list[float]
     variety: list[float]
+    top: list[float]
 
 
 #: What is kept of each window, and the type of its column; a window takes some 40 bytes.
@@ -187,7 +214,7 @@ def function_words(slim: DataFrame) -> tuple[dict[str, int], list[str]]:
 
 
 def measured(slim: DataFrame, lexicon: dict[str, int], languages: list[str]) -> DataFrame:
-    """``id, n_words, n_links`` of each document and the statistics of its windows as arrays. Cut: it is read twice."""
+    """``id, n_words, n_links, top, again`` of each document and the statistics of its windows as arrays. Cut: it is read twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,11 +223,12 @@ def measured(slim: DataFrame, lexicon: dict[str, int], languages: list[str]) ->
             flat = [w for f in found for w in f]
             lists = [pa.ListArray.from_arrays(offsets, pa.array(np.array([getattr(w, name) for w in flat], dtype=kind))) for name, kind in _KEPT.items()]
             sums = [pa.array([sum(getattr(w, name) for w in f) for f in found], pa.int64()) for name in ("words", "links")]
-            yield pa.RecordBatch.from_arrays([batch["id"], *sums, *lists], names=["id", "n_words", "n_links", *_KEPT])
+            whole = [pa.array([top_share(f) for f in found], pa.float32()), pa.array([said_again(text) if text else 0.0 for text in batch["text"].to_pylist()], pa.float32())]
+            yield pa.RecordBatch.from_arrays([batch["id"], *sums, *whole, *lists], names=["id", "n_words", "n_links", "top", "again", *_KEPT])
 
     kind = slim.schema["id"].dataType.simpleString()
     columns = ", ".join(f"{name} array<{'int' if t is np.int32 else 'float'}>" for name, t in _KEPT.items())
-    return cut(slim.mapInArrow(run, f"id {kind}, n_words bigint, n_links bigint, {columns}"))
+    return cut(slim.mapInArrow(run, f"id {kind}, n_words bigint, n_links bigint, top float, again float, {columns}"))
 
 
 def _windows_of(batch: pa.RecordBatch) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -213,9 +241,9 @@ def thresholds(table: DataFrame, languages: list[str]) -> Thresholds:
     """Thresholds of each language from its median document.
 
     A document counts once, with the means of its windows of at least 12 words, under the language
-    most of them are in; so a few endless pages do not move the medians.
+    most of them are in, and its top word with its share of the whole; so a few endless pages do not move the medians.
     """
-    names = ("function", "separators", "variety")
+    names = ("function", "separators", "variety", "top")
     many = max(1, len(languages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +257,10 @@ def thresholds(table: DataFrame, languages: list[str]) -> Thresholds:
             first[1:] = key[order][1:] // many != key[order][:-1] // many
             chosen = order[first]
             for k, name in enumerate(names):
-                mean = np.bincount(inverse, weights=w[name][plain], minlength=len(key))[chosen] / n[chosen]
+                if name == "top":
+                    mean = batch["top"].to_numpy()[key[chosen] // many] * TOP_SCALE
+                else:
+                    mean = np.bincount(inverse, weights=w[name][plain], minlength=len(key))[chosen] / n[chosen]
                 np.add.at(counts, (key[chosen] % many, k, np.minimum(BINS - 1, (mean * BINS).astype(np.int64))), 1)
         at = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in at), pa.array(counts[at], pa.int64())], names=["language", "what", "bin", "n"])
@@ -243,12 +274,13 @@ def thresholds(table: DataFrame, languages: list[str]) -> Thresholds:
     hist = np.where((total >= LANGUAGE_DOCUMENTS)[:, :, None], hist, overall[None])
     half = np.cumsum(hist, axis=2) * 2 >= hist.sum(axis=2, keepdims=True)
     median = (half.argmax(axis=2) + 0.5) / BINS
-    f, s, v = median[:, 0], median[:, 1], median[:, 2]
-    return Thresholds((FEW_FUNCTION * f).tolist(), (FEW_WITH_SEPARATORS * f).tolist(), np.maximum(MANY_SEPARATORS, SEPARATOR_MULTIPLE * s).tolist(), (LITTLE_VARIETY * v).tolist())
+    f, s, v, top = median.T
+    return Thresholds((FEW_FUNCTION * f).tolist(), (FEW_WITH_SEPARATORS * f).tolist(), np.maximum(MANY_SEPARATORS, SEPARATOR_MULTIPLE * s).tolist(), (LITTLE_VARIETY * v).tolist(), (TOP_MULTIPLE * top / TOP_SCALE).tolist())
 
 
 def scored(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``<id_col>, spam_share, words, links``: how much of each text lies in spam windows.
+    """``<id_col>, spam_share, words, links``: how much of each text lies in spam windows, or in
+    lines said before if these make up most of it and a top word stands out.
 
     Null, empty and blank texts have share 0, as have texts too short to tell. Every row comes out,
     repeated and null ids included. A null or unusual language label does no harm: the language of
@@ -267,7 +299,11 @@ def scored(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             size = np.bincount(doc, weights=w["size"], minlength=batch.num_rows)
             bad = np.bincount(doc, weights=w["size"] * spam_windows(w, limits), minlength=batch.num_rows)
             enough = (batch["n_words"].to_numpy() >= LEAST_WORDS) | (batch["n_links"].to_numpy() >= LEAST_LINKS)
-            share = np.where(enough & (size > 0), bad / np.maximum(size, 1), 0.0)
+            share = bad / np.maximum(size, 1)
+            again, by_language = batch["again"].to_numpy(), np.zeros((batch.num_rows, len(limits.top)))
+            np.add.at(by_language, (doc, w["language"]), w["words"])
+            stuffed = (again > FOUND) & (batch["top"].to_numpy() >= np.array(limits.top)[by_language.argmax(axis=1)])
+            share = np.where(enough & (size > 0), np.where(stuffed, np.maximum(share, again), share), 0.0)
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(share), batch["n_words"], batch["n_links"]], names=["id", "spam_share", "words", "links"])
 
     return table.mapInArrow(run, f"id {kind}, spam_share double, words bigint, links bigint").withColumnRenamed("id", id_col)

@@ -60,6 +60,23 @@ def test_honest_documents_and_odd_rows(shares):
     assert ids.count(2_004) == 1 and None not in ids
 
 
+def test_long_lines_said_again(spark):
+    rng = random.Random(5)
+    rows = [(i, honest(rng, rng.randint(3, 12)), "en") for i in range(100)]
+    line = "If you came for the {0} then this is the place that has the {0} you look for, and it is a {0} for all who like a {0} at the end of the day"
+    long = line + ", so take the {0} from me and the {0} of my clan, as this {0} is the {0} that was in the past and will be the {0} for as long as there is a map to play on"
+    notes = honest(rng, 60).replace(". ", ".\n")
+    special = ["\n".join([line.format("gold farm")] * 9), "\n".join([long.format("gold farm")] * 6), notes + "\n" + notes + "\n" + notes, honest(rng, 30) + "\n" + "\n".join([line.format("gold farm")] * 3)]
+    rows += [(1_000 + k, t, "en") for k, t in enumerate(special)]
+    got = {r.doc_id: r.spam_share for r in spam.scored(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert got[1_000] > 0.5 and got[1_001] > 0.5, got
+    assert max(v for k, v in got.items() if k < 1_000 or k > 1_001) < 0.5
+
+
+def test_said_again():
+    assert spam.said_again("") == 0 and spam.said_again("a b\nA  B\n\ncd") == pytest.approx(1 / 3)
+
+
 def test_windows_make_up_the_whole_text():
     rng = random.Random(1)
     for text in (honest(rng, 40), "x" * 5_000, "a\n\nb\n" * 100, "", "one line"):
