@@ -33,6 +33,8 @@ LANGUAGE_DOCUMENTS = 20
 FEW_FUNCTION, FEW_WITH_SEPARATORS, LITTLE_VARIETY = 0.42, 0.62, 0.43
 #: Separators a word that count as many, at least and as a multiple of the language's median.
 MANY_SEPARATORS, SEPARATOR_MULTIPLE = 0.16, 2.0
+#: Times as many are needed where a language has no function words.
+SEPARATORS_ALONE = 1.5
 #: Share of links and their labels in a window of links; share of repeated bigrams that backs little variety.
 LINKS, REPEATED = 0.6, 0.35
 #: Share of the text that must be spam, and words or links below which a text is too short to tell.
@@ -82,7 +84,7 @@ class Window:
     size: int  # visible characters
     words: int
     links: int
-    language: int  # number of the language whose function words it has most of
+    language: int  # number of the language whose function words it has most of; the number of languages if its own has none
     function: float  # share of words that are function words of that language
     variety: float  # different content words a content word
     content: int
@@ -169,12 +171,16 @@ _KEPT = {"size": np.int32, "words": np.int32, "language": np.int32, "content": n
 
 
 def spam_windows(w: dict[str, np.ndarray], t: Thresholds) -> np.ndarray:
-    """Which of the windows are spam; ``w`` has an array for each statistic."""
-    at = lambda name: np.array([*getattr(t, name), 0.0])[w["language"]]
+    """Which of the windows are spam; ``w`` has an array for each statistic.
+
+    Where a language has no function words, no rule asks for them, and separators must stand out more.
+    """
+    at = lambda name: np.array(getattr(t, name))[w["language"]]
+    known = w["language"] < len(t.function) - 1
     few = (w["function"] < at("function")) & ((w["function"] * 1.5 < at("function")) | (w["variety"] < 2 * at("variety")) | (w["separators"] >= at("separators")))
-    listed = (w["function"] < at("with_separators")) & (w["separators"] >= at("separators"))
+    listed = np.where(known, w["function"] < at("with_separators"), w["separators"] >= SEPARATORS_ALONE * at("separators")) & (w["separators"] >= at("separators"))
     same = (w["content"] >= 12) & (w["variety"] < at("variety")) & (w["repeated"] >= REPEATED)
-    return (w["link_share"] >= LINKS) | (w["words"] >= 3) & (few | listed | same)
+    return (w["link_share"] >= LINKS) | (w["words"] >= 3) & (known & few | listed | same)
 
 
 def _clean(documents: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
@@ -215,10 +221,15 @@ def function_words(slim: DataFrame) -> tuple[dict[str, int], list[str]]:
 
 def measured(slim: DataFrame, lexicon: dict[str, int], languages: list[str]) -> DataFrame:
     """``id, n_words, n_links, top, again`` of each document and the statistics of its windows as arrays. Cut: it is read twice."""
+    known = set(languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [[measure(part, lexicon, len(languages)) for part in (windows(text) if text else ())] for text in batch["text"].to_pylist()]
+            for lang, f in zip(batch["lang"].to_pylist(), found):
+                if lang and lang not in known:
+                    for w in f:
+                        w.language = len(languages)
             offsets = pa.array(np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum([len(f) for f in found], dtype=np.int64)]), pa.int32())
             flat = [w for f in found for w in f]
             lists = [pa.ListArray.from_arrays(offsets, pa.array(np.array([getattr(w, name) for w in flat], dtype=kind))) for name, kind in _KEPT.items()]
@@ -244,7 +255,7 @@ def thresholds(table: DataFrame, languages: list[str]) -> Thresholds:
     most of them are in, and its top word with its share of the whole; so a few endless pages do not move the medians.
     """
     names = ("function", "separators", "variety", "top")
-    many = max(1, len(languages))
+    many = len(languages) + 1  # the last: documents of languages without function words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((many, len(names), BINS), dtype=np.int64)
@@ -275,6 +286,7 @@ def thresholds(table: DataFrame, languages: list[str]) -> Thresholds:
     half = np.cumsum(hist, axis=2) * 2 >= hist.sum(axis=2, keepdims=True)
     median = (half.argmax(axis=2) + 0.5) / BINS
     f, s, v, top = median.T
+    f[-1] = 0.0
     return Thresholds((FEW_FUNCTION * f).tolist(), (FEW_WITH_SEPARATORS * f).tolist(), np.maximum(MANY_SEPARATORS, SEPARATOR_MULTIPLE * s).tolist(), (LITTLE_VARIETY * v).tolist(), (TOP_MULTIPLE * top / TOP_SCALE).tolist())
 
 
@@ -284,7 +296,8 @@ def scored(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null, empty and blank texts have share 0, as have texts too short to tell. Every row comes out,
     repeated and null ids included. A null or unusual language label does no harm: the language of
-    each window is that of the function words it has. Texts are read twice: for the function words
+    each window is that of the function words it has. Documents whose label names a language with
+    too few documents for function words are judged by separators, links and variety alone. Texts are read twice: for the function words
     and for the statistics of windows, from which both thresholds and decisions are made.
     """
     slim = _clean(documents, id_col, text_col, lang_col)

@@ -73,6 +73,21 @@ def test_long_lines_said_again(spark):
     assert max(v for k, v in got.items() if k < 1_000 or k > 1_001) < 0.5
 
 
+def test_rare_languages_have_no_function_words(spark):
+    rng = random.Random(6)
+    rows = [(i, honest(rng, rng.randint(3, 12)), "en") for i in range(100)]
+    finnish = ["kartta", "tarina", "musiikki", "kauppa", "peli", "vihollinen", "tallennus", "valikko", "taso", "kaveri"]
+    verbs = ["oli helppo oppia mutta vaikea lopettaa", "toimii vanhalla koneella todella hyvin", "vie aivan liian kauan aikaa", "kaipaa vielä muutaman kuukauden työtä", "yllätti minut täysin jo alussa"]
+    rows += [(1_000 + i, " ".join(f"{rng.choice(finnish)} {rng.choice(verbs)}.".capitalize() for _ in range(12)), "fi") for i in range(9)]
+    special = [", ".join(rng.choice(finnish) for _ in range(60)), "\n".join(f"- https://www.kauppa{i}.test/peli/{i}" for i in range(12)), " ".join(["halpa kauppa"] * 40)]
+    rows += [(2_000 + k, t, "fi") for k, t in enumerate(special)]
+    got = {r.doc_id: r.spam_share for r in spam.scored(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert max(v for k, v in got.items() if k < 2_000) < 0.5, got
+    assert min(v for k, v in got.items() if k >= 2_000) > 0.5, got
+    alone = spark.createDataFrame(rows[100:], "doc_id bigint, text string, lang string")
+    assert {r.doc_id for r in spam.spam_pages(alone).collect()} == {2_000, 2_001, 2_002}
+
+
 def test_said_again():
     assert spam.said_again("") == 0 and spam.said_again("a b\nA  B\n\ncd") == pytest.approx(1 / 3)
 
