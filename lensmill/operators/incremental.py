@@ -71,9 +71,16 @@ def _processed(seen: DataFrame) -> DataFrame:
 
 
 def _reread(seen: DataFrame) -> DataFrame:
-    """The part of the source that a top-up reads again: apps without a mark whole, else whatever
-    lies above the mark or was delivered since the oldest open transaction began."""
-    return seen.where("__mark is null or __version > __mark or snapshot_unix >= __low or snapshot_unix is null")
+    """The part of the source that a top-up reads again: apps without a mark or without a run's end
+    whole, else whatever lies above the mark or was delivered since the oldest open transaction began."""
+    return seen.where("__mark is null or __low is null or __version > __mark or snapshot_unix >= __low or snapshot_unix is null")
+
+
+def _without(rows: DataFrame, ledger: DataFrame) -> DataFrame:
+    """``rows`` whose (key, version) is not in the ledger; a null app or id matches itself."""
+    done = ledger.select(*[F.col(k).alias(f"{k}_done") for k in _KEY])
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_done")) for k in _KEY]
+    return rows.join(done, same, "left_anti")
 
 
 def pending_keys(rows: DataFrame, runs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
@@ -87,7 +94,7 @@ def pending_keys(rows: DataFrame, runs: DataFrame, ledger: DataFrame | None = No
     seen = _versioned(keys, runs)
     done = _processed(seen) if ledger is None else ledger
     candidates = _reread(seen).select("appid", "recommendationid", *_KEY).distinct()
-    return candidates.join(done, _KEY, "left_anti").select("appid", "recommendationid").distinct()
+    return _without(candidates, done).select("appid", "recommendationid").distinct()
 
 
 def pending_reviews(rows: DataFrame, runs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
@@ -130,7 +137,7 @@ class TopUp:
         version = F.greatest(F.coalesce("timestamp_created", F.lit(0)), F.coalesce("timestamp_updated", F.lit(0)))
         source = rows if not done else rows.where((F.col("snapshot_unix") >= done[-1]["low_water"]) | F.col("snapshot_unix").isNull())
         keyed = source.select("*", F.col("appid").alias("__part"), F.col("recommendationid").alias("__key"), version.alias("__version"))
-        fresh = keyed.join(self.ledger(), _KEY, "left_anti")
+        fresh = _without(keyed, self.ledger())
         order = F.struct("__version", F.coalesce("snapshot_unix", F.lit(0)), F.hash(*rows.columns))
         latest = fresh.groupBy("__part", "__key").agg(F.max_by(F.struct(*rows.columns), order).alias("__row"))
         run = uuid.uuid4().hex

@@ -32,6 +32,17 @@ def test_empty_tables_and_nulls(spark):
     assert pending(spark, [(None, None, None, None, None), (None, None, None, None, None)], [(None, 5, 5)]) == {(None, None)}
 
 
+def test_null_run_ends_and_keys(spark, tmp_path):
+    rows = [(1, "old", 50, 50, 90), (1, "new", 150, 150, 90), (2, None, 50, 50, 90), (2, None, 60, 60, 80), (2, "done", 50, 50, 90)]
+    # app 1 has a mark, but no run end: nothing counts as delivered; app 2 rereads from 80, as a crawl was open
+    assert pending(spark, rows, [(1, 100, None), (2, 100, 110)], [(1, 2, 80, None)]) == {(1, "old"), (1, "new")}
+    top_up = incremental.TopUp(spark, f"file://{tmp_path}/state")
+    frame = spark.createDataFrame([(1, None, 5, 5, 90, "a"), (None, "x", 5, 5, 90, "b"), (1, "y", None, None, None, "c")], ROWS)
+    assert top_up.run(frame).count() == 3
+    assert top_up.run(frame).count() == 0
+    assert [r.extra for r in top_up.run(frame.unionByName(spark.createDataFrame([(1, None, 9, 9, 95, "d")], ROWS))).collect()] == ["d"]
+
+
 def test_low_water_is_the_oldest_open_transaction(spark):
     runs = incremental.last_runs(spark.createDataFrame([(1, 100, 110), (2, 7, 8)], MARKS), spark.createDataFrame([(1, 1, 80, None), (2, 1, 90, 300), (3, 1, 50, 60), (4, 1, 120, None), (5, 2, 3, 4)], CRAWLS))
     assert {r.app_id: r.low_water for r in runs.collect()} == {1: 80, 2: 9}
