@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import shutil
 import time
 from pathlib import Path
 
@@ -27,31 +28,54 @@ def session() -> SparkSession:
     return SparkSession.builder.appName("lensmill").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
+def _broken(state: planning.CrawlState, app: int, url_to, snapshot: int | None) -> tuple[int, int, int] | None:
+    """Number, snapshot and stated total of the app's latest crawl if that broke off and asked for the same as this one."""
+    latest = state.read("crawl").where(F.col("app_id") == app).orderBy(F.desc("id")).first()
+    if latest is None or latest.finished_unix is not None or snapshot not in (None, latest.snapshot_unix) or latest.params_url != url_to(latest.snapshot_unix):
+        return None
+    return latest.id, latest.snapshot_unix, latest.valve_total
+
+
 def crawl(spark: SparkSession, root: str, app: int, folder: str | None = None, base: str | None = None, top_up: bool = False, snapshot: int | None = None) -> dict:
-    """Plan windows by counting, walk them, write the shards and advance the watermark once all are in."""
+    """Plan windows by counting, walk them, write the shards and advance the watermark once all are in.
+
+    A crawl that broke off is taken up again with its snapshot and its windows that are not done.
+    """
     spark.dataSource.register(ReviewPages)
     page_of = (lambda q: stored_pages(folder)(app, q)) if folder else (lambda q: fetch(q.url(base or "", app)))
     state = planning.CrawlState(spark, f"file://{Path(root).absolute()}/state")
     mark = state.watermark(app) if top_up else None
-    start, end = planning.topup_start(mark), snapshot or int(time.time())
-    stated = count(page_of)
-    crawl_id = state.start_crawl(app, end, ReviewQuery().url(base or "https://store.invalid", app), stated)
-    windows = planning.split_windows(start, end, lambda a, b: count(page_of, (a, b)))
-    state.put_shards(crawl_id, windows)
-    target = f"{root}/appid={app}/snapshot={end}"
+    start = planning.topup_start(mark)
+    url_to = lambda end: ReviewQuery(window=(start, end)).url(base or "https://store.invalid", app)
+    broken = _broken(state, app, url_to, snapshot)
+    if broken:
+        crawl_id, end, stated = broken
+    else:
+        end, stated = snapshot or int(time.time()), count(page_of)
+        crawl_id = state.start_crawl(app, end, url_to(end), stated)
+    windows = [(r.start_date, r.end_date, r.expected) for r in state.shards(crawl_id)]
+    if not windows:
+        windows = planning.split_windows(start, end, lambda a, b: count(page_of, (a, b)))
+        state.put_shards(crawl_id, windows)
+    target, staged = f"{root}/appid={app}/snapshot={end}", Path(root).absolute() / f"state/pages/crawl-{crawl_id}"
     if windows:
-        source = spark.read.format("review_pages").option("app", str(app)).option("windows", json.dumps(windows))
-        pages = source.option("folder", folder).load() if folder else source.option("base", base).load()
-        parsed = reviews.parsed(pages).dropDuplicates(["recommendationid"])
+        pending = [(r.idx, r.start_date, r.end_date, r.expected) for r in state.pending(crawl_id).collect()]
+        if pending:
+            source = spark.read.format("review_pages").option("app", str(app)).option("tally", "true").option("windows", json.dumps([w[1:] for w in pending]))
+            (source.option("folder", folder) if folder else source.option("base", base)).load().write.mode("append").parquet(f"file://{staged}")
+        pages = spark.read.parquet(f"file://{staged}")
+        walked = {(r.window_start, r.window_end): r for r in pages.where("raw_json is null").collect()}
+        for i, a, b, _ in pending:
+            t = walked[a, b]
+            state.mark(crawl_id, i, "done", t.row_count, t.pages, t.stop_reason, t.max_created)
+        parsed = reviews.parsed(pages.where("raw_json is not null").select("appid", "raw_json")).dropDuplicates(["recommendationid"])
         parsed.drop("appid").write.option("compression", "zstd").mode("overwrite").parquet(f"{target}/capture.parquet")
-        got = spark.read.parquet(f"{target}/capture.parquet")
-        unique, newest = got.agg(F.count("*"), F.max("timestamp_created")).first()
-        for i, (_, _, n) in enumerate(windows):
-            state.mark(crawl_id, i, "done", n, -(-n // 100), "exhausted", newest)
+        unique = spark.read.parquet(f"{target}/capture.parquet").count()
     else:
         unique = 0
     state.finish(app, crawl_id, end)
     files.write_crawl(f"{target}/crawl.json", app, end, unique, stated, mark, shards=len(windows), complete=True)
+    shutil.rmtree(staged, ignore_errors=True)
     return {"unique": unique, "windows": len(windows), "coverage": show.coverage(unique / stated if stated and not mark else None)}
 
 

@@ -140,6 +140,10 @@ class CrawlState:
         old = self.read("shard")
         self._write("shard", old.join(fresh.select("crawl_id", "idx"), ["crawl_id", "idx"], "left_anti").unionByName(fresh))
 
+    def shards(self, crawl_id: int) -> list:
+        """All windows of a crawl in order."""
+        return self.read("shard").where(F.col("crawl_id") == crawl_id).orderBy("idx").collect()
+
     def pending(self, crawl_id: int) -> DataFrame:
         """Windows not done, the fullest first; what was running when a run died is pending again."""
         mine = self.read("shard").where((F.col("crawl_id") == crawl_id) & (F.col("status") != "done"))

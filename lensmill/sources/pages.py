@@ -153,6 +153,7 @@ class _Reader(DataSourceReader):
         self.folder, self.base = options.get("folder"), options.get("base")
         self.windows = json.loads(options.get("windows", "[[0, 4102444800, 0]]"))
         self.pace = float(options.get("pace", "0.25"))
+        self.tally = options.get("tally") == "true"
 
     def partitions(self) -> list[InputPartition]:
         # the fullest first, so that the longest walk does not start last
@@ -165,22 +166,35 @@ class _Reader(DataSourceReader):
         else:
             pace = Pace(self.pace)
             page_of = lambda q: fetch(q.url(self.base, self.app), pace)
-        rows, _, short = walk_again(page_of, (partition.start, partition.end), partition.expected)
+        fetched = []
+
+        def counted(q: ReviewQuery) -> dict:
+            fetched.append(q)
+            return page_of(q)
+
+        rows, why, short = walk_again(counted, (partition.start, partition.end), partition.expected)
         if short:
             raise RuntimeError(f"window {partition.start} to {partition.end} stays short of {partition.expected}")
         for r in rows:
-            yield self.app, json.dumps(r, ensure_ascii=False)
+            yield self.app, json.dumps(r, ensure_ascii=False), *([None] * 6 if self.tally else ())
+        if self.tally:
+            newest = max((r["timestamp_created"] for r in rows if isinstance(r.get("timestamp_created"), int)), default=None)
+            yield self.app, None, partition.start, partition.end, len(rows), len(fetched), why, newest
 
 
 class ReviewPages(DataSource):
-    """``appid, raw_json`` of the reviews of one app. Options: app, folder or base, windows (JSON), pace."""
+    """``appid, raw_json`` of the reviews of one app. Options: app, folder or base, windows (JSON), pace.
+
+    With ``tally`` "true" each window ends with a row without ``raw_json`` that says how it was walked.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "review_pages"
 
     def schema(self) -> str:
-        return "appid bigint, raw_json string"
+        tally = ", window_start bigint, window_end bigint, row_count bigint, pages bigint, stop_reason string, max_created bigint"
+        return "appid bigint, raw_json string" + (tally if self.options.get("tally") == "true" else "")
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)

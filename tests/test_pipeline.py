@@ -86,3 +86,28 @@ def test_brief_and_files(tmp_path, capsys):
         (tmp_path / f"appid=1/snapshot={snapshot}/capture.parquet").mkdir(parents=True)
         (tmp_path / f"appid=1/snapshot={snapshot}/capture.parquet/part-0.parquet").write_bytes(content)
     assert files.snapshot_of(tmp_path, 1).name == "snapshot=5"
+
+
+def test_a_broken_crawl_is_taken_up_with_what_was_fetched(spark, tmp_path, monkeypatch):
+    rows = [{"recommendationid": f"{i:03d}", "review": "x", "timestamp_created": 1_700_000_000 + i} for i in range(130)]
+    pages, root = tmp_path / "pages", str(tmp_path / "out")
+    pages.mkdir()
+    (pages / "5.json").write_text(json.dumps([*rows, {"review": "no id", "timestamp_created": 1_700_000_000}]))
+    windows, marked, real = [(1_700_000_000, 1_700_000_099, 101), (1_700_000_100, 1_700_000_200, 30)], [], cli.planning.CrawlState.mark
+    monkeypatch.setattr(cli.planning, "split_windows", lambda *a: windows)
+
+    def breaks(self, *a):
+        if marked:
+            raise OSError("broken off")
+        marked.append(real(self, *a))
+
+    monkeypatch.setattr(cli.planning.CrawlState, "mark", breaks)
+    with pytest.raises(OSError):
+        cli.crawl(spark, root, 5, folder=str(pages), snapshot=1_705_000_000)
+    monkeypatch.setattr(cli.planning.CrawlState, "mark", real)
+    assert cli.crawl(spark, root, 5, folder=str(pages))["unique"] == 130
+    state = cli.planning.CrawlState(spark, f"file://{root}/state")
+    assert [(r.id, r.snapshot_unix, r.finished_unix) for r in state.read("crawl").collect()] == [(1, 1_705_000_000, 1_705_000_000)]
+    assert [(r.status, r.expected, r.row_count, r.pages, r.stop_reason, r.max_created) for r in state.shards(1)] == [("done", 101, 100, 3, "exhausted", 1_700_000_099), ("done", 30, 30, 2, "exhausted", 1_700_000_129)]
+    cli.crawl(spark, root, 5, folder=str(pages), snapshot=1_706_000_000)
+    assert state.read("crawl").count() == 2
