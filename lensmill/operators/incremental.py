@@ -14,8 +14,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lensmill.bloom import screened_join
 from lensmill.operators.commits import Commits
-from lensmill.shared import checked_join
+from lensmill.shared import checked_join, cut
 
 _KEY = ["__part", "__key", "__version"]
 
@@ -70,61 +71,75 @@ def _processed(seen: DataFrame) -> DataFrame:
     return by_then.select("__part", "__key", F.col("__mark").alias("__version")).distinct()
 
 
-def _reread(seen: DataFrame) -> DataFrame:
-    """The part of the source that a top-up reads again: apps without a mark or without a run's end
-    whole, else whatever lies above the mark or was delivered since the oldest open transaction began."""
-    return seen.where("__mark is null or __low is null or __version > __mark or snapshot_unix >= __low or snapshot_unix is null")
+#: The part of the source that a top-up reads again: apps without a mark or without a run's end whole,
+#: else whatever lies above the mark or was delivered since the oldest open transaction began.
+_REREAD = "__mark is null or __low is null or __version > __mark or snapshot_unix >= __low or snapshot_unix is null"
 
 
-def _without(rows: DataFrame, ledger: DataFrame) -> DataFrame:
-    """``rows`` whose (key, version) is not in the ledger; a null app or id matches itself."""
+def _without(pairs: DataFrame, ledger: DataFrame) -> DataFrame:
+    """``pairs`` whose (key, version) is not in the ledger, nor older than what it has of the key; a null app or id matches itself."""
     done = ledger.select(*[F.col(k).alias(f"{k}_done") for k in _KEY])
-    same = [F.col(k).eqNullSafe(F.col(f"{k}_done")) for k in _KEY]
-    return rows.join(done, same, "left_anti")
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_done")) for k in _KEY[:2]]
+    return pairs.join(done, [*same, F.col("__version") <= F.col("__version_done")], "left_anti")
 
 
 def pending_keys(rows: DataFrame, runs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """``appid, recommendationid`` of every review with a pending version, once each.
 
-    ``ledger`` has ``__part, __key, __version``; without one it is derived from the source. Null
-    times are not above a mark; a null ``snapshot_unix`` never counts as delivered before the run's
-    end; rows with a null id or app are kept under that null and come out once.
+    ``ledger`` has ``__part, __key, __version``. Without one it is derived from the source (see
+    ``ledger_of_past_runs``): all its pairs of a key have the mark as their version, so the anti-join
+    of pairs is done in the one aggregation that brings the pairs of a key together, and the source
+    is read once: a key is pending if a version read again lies above the mark, or if the ledger side
+    has no pair of it. Null times are not above a mark; a null ``snapshot_unix`` never counts as
+    delivered before the run's end; rows with a null id or app are kept under that null and come out once.
     """
     keys = rows.select("appid", "recommendationid", "timestamp_created", "timestamp_updated", "snapshot_unix")
     seen = _versioned(keys, runs)
-    done = _processed(seen) if ledger is None else ledger
-    candidates = _reread(seen).select("appid", "recommendationid", *_KEY).distinct()
-    return _without(candidates, done).select("appid", "recommendationid").distinct()
+    if ledger is not None:
+        return _without(seen.where(_REREAD).select("appid", "recommendationid", *_KEY).distinct(), ledger).select("appid", "recommendationid").distinct()
+    again, done = F.coalesce(F.expr(_REREAD), F.lit(False)), F.coalesce(F.expr("__mark is not null and snapshot_unix <= __end"), F.lit(False))
+    met = seen.where(again | done).groupBy("appid", "recommendationid").agg(
+        F.max(again).alias("again"), F.max(again & F.coalesce(F.expr("__mark is null or __version > __mark"), F.lit(False))).alias("above"), F.max(done).alias("done")
+    )
+    return met.where("above or (again and not done)").select("appid", "recommendationid")
 
 
 def pending_reviews(rows: DataFrame, runs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """The pending reviews themselves, each once: its latest copy by update time, then snapshot, with all columns."""
+    """The pending reviews themselves, each once: its latest copy by update time, then snapshot, with all columns.
+
+    Only rows that may be pending, by a filter over the pending keys, are shuffled whole.
+    """
     order = F.struct(F.coalesce("timestamp_updated", "timestamp_created", F.lit(0)), F.coalesce("snapshot_unix", F.lit(0)), F.hash(*rows.columns))
-    # only pending rows are shuffled whole; keys match null to null
-    keys = pending_keys(rows, runs, ledger).select(F.col("appid").alias("__a"), F.col("recommendationid").alias("__r"))
-    wanted = rows.join(keys, F.col("appid").eqNullSafe(F.col("__a")) & F.col("recommendationid").eqNullSafe(F.col("__r")), "left_semi")
+    wanted = screened_join(rows, cut(pending_keys(rows, runs, ledger)), ["appid", "recommendationid"])
     return wanted.groupBy("appid", "recommendationid").agg(F.max_by(F.struct(*rows.columns), order).alias("__row")).select("__row.*")
 
 
 class TopUp:
     """Exactly-once incremental runs over a growing source, kept in one folder.
 
-    A run writes its output and its ledger entries under a new run id and only then a commit marker
-    of a few bytes. Runs without a marker count as never made: a run that failed is repeated whole,
-    and nothing it wrote is read. Committed (key, version) pairs are never given out again.
+    A run writes its output under a new run id, its ledger entries from what it wrote, and only then
+    a commit marker of a few bytes. Runs without a marker count as never made: a run that failed is
+    repeated whole, and nothing it wrote is read. A committed (key, version) pair is never given out
+    again, nor is a version older than the key's newest one. Every ``compact_every`` runs the ledger
+    is written anew with one pair a key. A transaction that never finishes keeps the rereading where
+    it began (the ledger removes the overlap) unless it has been open for longer than ``open_for``.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, compact_every: int = 16, open_for: int | None = None):
         self.spark, self.path, self.markers = spark, path.rstrip("/"), Commits(spark, path)
+        self.compact_every, self.open_for = compact_every, open_for
 
     def commits(self) -> list[dict]:
         return self.markers.all()
 
     def ledger(self) -> DataFrame:
-        """Pairs of committed runs: ``__part, __key, __version``."""
-        runs = [f"{self.path}/ledger/run={c['run']}" for c in self.commits()]
+        """Pairs of committed runs: ``__part, __key, __version``, the newest of each key since the last compaction and all since."""
+        done = self.commits()
+        bases = [c["run"] for c in done if c.get("base")]
+        since = done[[c["run"] for c in done].index(bases[-1]) + 1 :] if bases else done
+        paths = [f"{self.path}/ledger-base/run={r}" for r in bases[-1:]] + [f"{self.path}/ledger/run={c['run']}" for c in since]
         schema = "__part bigint, __key string, __version bigint"
-        return self.spark.read.schema(schema).parquet(*runs) if runs else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def low_water(self) -> int | None:
         """Oldest transaction open at the last committed run; rows before it need no rereading."""
@@ -134,22 +149,29 @@ class TopUp:
     def run(self, rows: DataFrame, transactions: DataFrame | None = None) -> DataFrame:
         """Take in what is pending in ``rows``, commit it and return it: one row per pending review."""
         done = self.commits()
-        version = F.greatest(F.coalesce("timestamp_created", F.lit(0)), F.coalesce("timestamp_updated", F.lit(0)))
+        version = F.greatest(F.coalesce("timestamp_created", F.lit(0)), F.coalesce("timestamp_updated", F.lit(0))).cast("bigint")
+        keys = (F.col("appid").cast("bigint").alias("__part"), F.col("recommendationid").alias("__key"), version.alias("__version"))
         source = rows if not done else rows.where((F.col("snapshot_unix") >= done[-1]["low_water"]) | F.col("snapshot_unix").isNull())
-        keyed = source.select("*", F.col("appid").alias("__part"), F.col("recommendationid").alias("__key"), version.alias("__version"))
-        fresh = _without(keyed, self.ledger())
+        fresh = _without(source.select("*", *keys), self.ledger())
         order = F.struct("__version", F.coalesce("snapshot_unix", F.lit(0)), F.hash(*rows.columns))
         latest = fresh.groupBy("__part", "__key").agg(F.max_by(F.struct(*rows.columns), order).alias("__row"))
         run = uuid.uuid4().hex
         latest.select("__row.*").write.parquet(f"{self.path}/output/run={run}")
-        fresh.select(*_KEY).distinct().write.parquet(f"{self.path}/ledger/run={run}")
+        # the source is evaluated once: the ledger is made from what was written
+        taken = self.spark.read.schema(rows.schema).parquet(f"{self.path}/output/run={run}")
+        taken.select(*keys).write.parquet(f"{self.path}/ledger/run={run}")
+        base = len(done) % self.compact_every == self.compact_every - 1
+        if base:
+            whole = self.ledger().unionByName(taken.select(*keys))
+            whole.groupBy("__part", "__key").agg(F.max("__version").alias("__version")).write.parquet(f"{self.path}/ledger-base/run={run}")
         end = rows.agg(F.max("snapshot_unix")).first()[0] or 0
         low = end
         if transactions is not None:
-            low = transactions.where(F.col("finished_unix").isNull() | (F.col("finished_unix") > end)).agg(F.min("snapshot_unix")).first()[0]
+            open_ = F.col("finished_unix").isNull() if self.open_for is None else F.col("finished_unix").isNull() & (F.col("snapshot_unix") >= end - self.open_for)
+            low = transactions.where(open_ | (F.col("finished_unix") > end)).agg(F.min("snapshot_unix")).first()[0]
             low = end if low is None else min(low, end)
-        self._commit({"run": run, "number": len(done), "low_water": low})
-        return self.spark.read.schema(rows.schema).parquet(f"{self.path}/output/run={run}")
+        self._commit({"run": run, "number": len(done), "low_water": low, "base": base})
+        return taken
 
     def _commit(self, what: dict) -> None:
         self.markers.add(what)

@@ -1,9 +1,9 @@
 """Keeping one copy of messages that were delivered at least once.
 
-Identifiers are sharded by hash. Within a shard they are read in time order, with one Bloom filter
-per time bucket: an identifier that no filter knows is definitely new and needs no lookup. Only the
-possible repeats are verified, against the stored identifiers of just the buckets whose filters
-matched.
+Identifiers are brought together by hash shard, once. Within a shard they are read in time order,
+with one Bloom filter per time bucket: an identifier that no filter knows is definitely new and
+needs no lookup. Only the possible repeats are verified, against the shard's stored identifiers of
+just the buckets whose filters matched.
 """
 
 from __future__ import annotations
@@ -14,181 +14,158 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lensmill.arrays import hash_spans
+from lensmill.bloom import Bloom, screened_join, split
 from lensmill.operators.commits import Commits
 from lensmill.shared import cut, partitions
 
 #: Width of a time bucket in seconds.
 BUCKET_SECONDS = 90 * 86_400
-#: Hash shards a shuffle partition holds.
-SHARDS_PER_PARTITION = 4
-#: Bits of one Bloom filter segment (a power of two) and how many ids fill it: 10 bits an id.
-SEGMENT_BITS = 1 << 20
-SEGMENT_IDS = SEGMENT_BITS // 10
-PROBES = 7
-
-
-class BloomFilter:
-    """A Bloom filter that grows by whole segments, so that its error stays bounded at any size.
-
-    >>> f = BloomFilter(); f.add(np.array([1, 2], dtype=np.uint64)); f.might_contain(np.array([1, 9], dtype=np.uint64)).tolist()
-    [True, False]
-    """
-
-    def __init__(self, bits: int = SEGMENT_BITS, ids: int = SEGMENT_IDS, probes: int = PROBES):
-        self.bits, self.ids, self.probes = bits, ids, probes
-        self.segments: list[np.ndarray] = []
-        self.left = 0
-
-    def _positions(self, hashes: np.ndarray) -> np.ndarray:
-        """The probe positions of each hash by double hashing, one row per probe."""
-        a = hashes.astype(np.uint64)
-        b = (a ^ (a >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
-        steps = np.arange(self.probes, dtype=np.uint64)[:, None]
-        return ((a[None, :] + steps * b[None, :]) >> np.uint64(17)) & np.uint64(self.bits - 1)
-
-    def might_contain(self, hashes: np.ndarray) -> np.ndarray:
-        found = np.zeros(len(hashes), dtype=bool)
-        at = self._positions(hashes) if self.segments else None
-        for segment in self.segments:
-            found |= segment[at].all(axis=0)
-        return found
-
-    def add(self, hashes: np.ndarray) -> None:
-        while len(hashes):
-            if not self.left:
-                self.segments.append(np.zeros(self.bits, dtype=bool))
-                self.left = self.ids
-            now, hashes = hashes[: self.left], hashes[self.left :]
-            self.segments[-1][self._positions(now)] = True
-            self.left -= len(now)
+#: Identifiers of a shard, about: a task holds one shard at a time. And shards a shuffle partition holds at least.
+SHARD_IDS, SHARDS_PER_PARTITION = 500_000, 4
+#: Bits an identifier has in the stored filters, and probes: so few foreign ones pass that a batch asks for few buckets.
+STORED_BITS, STORED_PROBES = 24, 10
+#: Identifiers of one stored filter at most.
+FILTER_IDS = 1 << 16
 
 
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Collapse equal (id, bucket) rows inside each batch, so that a hot identifier is not shuffled row by row."""
     for batch in batches:
         table = pa.Table.from_batches([batch])
-        yield from table.group_by(["id", "h", "bucket"]).aggregate([("n", "sum")]).rename_columns(["id", "h", "bucket", "n"]).combine_chunks().to_batches()
+        yield from table.group_by(["id", "bucket"]).aggregate([("n", "sum")]).rename_columns(["id", "bucket", "n"]).combine_chunks().to_batches()
+
+
+def _hashes(ids: pa.Array) -> np.ndarray:
+    """64-bit hashes of the strings of an array without nulls."""
+    ids = ids.cast(pa.large_string())
+    offsets = np.frombuffer(ids.buffers()[1], dtype=np.int64)[ids.offset : ids.offset + len(ids) + 1]
+    data = np.frombuffer(ids.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    return hash_spans(data, offsets[:-1] - offsets[0], offsets[1:] - offsets[0])
 
 
-def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Give every row the buckets in which it may have been seen before (``maybe``), by shard and in time order."""
-    filters: dict[int, BloomFilter] = {}
+def repeats_of_shard(ids: pa.Array, buckets: np.ndarray, n: np.ndarray) -> pa.Table:
+    """``id, copies`` of the identifiers of one shard, in bucket order, that have more than one row.
+
+    The filters of older buckets screen each bucket; what they may know is looked up in those
+    buckets only, by hash, and told apart by the identifiers themselves.
+    """
+    hashes = _hashes(ids)
+    suspect = n > 1
+    bounds = np.append(np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]]), len(buckets)) if len(buckets) else np.zeros(1, dtype=np.int64)
+    older: list[tuple[int, int, Bloom]] = []
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        fresh, inverse, counts = np.unique(hashes[lo:hi], return_inverse=True, return_counts=True)
+        again = counts > 1
+        for a, b, known in older:
+            maybe = known.might_contain(fresh)
+            if maybe.any():
+                found = np.isin(hashes[a:b], fresh[maybe])
+                suspect[a:b] |= found
+                again |= maybe & np.isin(fresh, hashes[a:b][found])
+        suspect[lo:hi] |= again[inverse]
+        older.append((lo, hi, Bloom.of(fresh)))
+    at = pa.array(np.flatnonzero(suspect))
+    counted = pa.table({"id": ids.take(at), "n": n[suspect]}).group_by("id").aggregate([("n", "sum")])
+    return counted.filter(pa.compute.greater(counted["n_sum"], 1)).select(["id", "n_sum"]).rename_columns(["id", "copies"])
+
+
+def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``repeats_of_shard`` for each shard of a partition that is sorted by shard and bucket."""
+    held: list[pa.RecordBatch] = []
     shard = None
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if held:
+            table = pa.Table.from_batches(held).combine_chunks()
+            n = table["n"].to_numpy().astype(np.int64)
+            yield from repeats_of_shard(table["id"].combine_chunks(), table["bucket"].to_numpy(), n).combine_chunks().to_batches()
+            held.clear()
+
     for batch in batches:
         shards = batch["shard"].to_numpy()
-        buckets, hashes = batch["bucket"].to_numpy(), batch["h"].to_numpy().view(np.uint64)
-        for s in np.unique(shards):
-            if s != shard:
-                filters, shard = {}, s
-            rows = np.flatnonzero(shards == s)
-            own, hs = buckets[rows], hashes[rows]
-            maybe: list[list[int]] = [[] for _ in rows]
-            for b in np.unique(own):
-                here = np.flatnonzero(own == b)
-                for old, known in filters.items():
-                    for i in here[known.might_contain(hs[here])]:
-                        maybe[i].append(int(old))
-                _, first, copy = np.unique(hs[here], return_index=True, return_inverse=True)
-                repeat = np.ones(len(here), dtype=bool)
-                repeat[first] = False
-                for i in here[repeat]:
-                    if int(b) not in maybe[i]:
-                        maybe[i].append(int(b))
-                filters.setdefault(int(b), BloomFilter()).add(hs[here[first]])
-            out = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([out["id"], out["bucket"], out["n"], pa.array(maybe, pa.list_(pa.int64()))], names=["id", "bucket", "n", "maybe"])
+        bounds = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1).tolist(), len(shards)]
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            if hi > lo:
+                if shards[lo] != shard:
+                    yield from done()
+                    shard = shards[lo]
+                held.append(batch.slice(lo, hi - lo))
+    yield from done()
 
 
 def sharded(rows: DataFrame, key: str, time: str, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
-    """The stored identifiers: ``id, h, bucket, n, shard``, brought together by hash shard.
+    """The stored identifiers, ``id, bucket, n, shard``, brought together by hash shard and sorted by shard and bucket.
 
     A null time falls into bucket -1. Rows with a null identifier are no messages and are left out.
     """
-    spark = rows.sparkSession
-    count = partitions(spark)
-    shards = count * SHARDS_PER_PARTITION
+    count = partitions(rows.sparkSession)
+    shards = max(count * SHARDS_PER_PARTITION, -(-rows.count() // SHARD_IDS))
     keyed = rows.where(F.col(key).isNotNull()).select(
-        F.col(key).cast("string").alias("id"),
-        F.xxhash64(F.col(key).cast("string")).alias("h"),
-        F.coalesce(F.floor(F.col(time) / bucket_seconds), F.lit(-1)).cast("bigint").alias("bucket"),
-        F.lit(1).cast("bigint").alias("n"),
+        F.col(key).cast("string").alias("id"), F.coalesce(F.floor(F.col(time) / bucket_seconds), F.lit(-1)).cast("int").alias("bucket"), F.lit(1).alias("n")
     )
-    combined = keyed.mapInArrow(_combine, "id string, h bigint, bucket bigint, n bigint")
-    return combined.withColumn("shard", F.pmod(F.col("h"), F.lit(shards)).cast("int")).repartition(count, "shard")
-
-
-def screened(stored: DataFrame) -> DataFrame:
-    """``id, bucket, n, maybe``: the rows of each (id, bucket) and the buckets in which the filters may know it."""
-    ordered = stored.sortWithinPartitions("shard", "bucket")
-    return ordered.mapInArrow(_screen, "id string, bucket bigint, n bigint, maybe array<bigint>")
+    shard = F.pmod(F.xxhash64("id"), F.lit(shards))
+    combined = keyed.mapInArrow(_combine, "id string, bucket int, n bigint").repartition(count, shard)
+    return combined.withColumn("shard", shard.cast("int")).sortWithinPartitions("shard", "bucket")
 
 
 def repeated_ids(rows: DataFrame, key: str, time: str, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
     """``id, copies`` of every identifier with more than one row; exact.
 
-    Definitely new rows only serve as stored identifiers. A possible repeat asks for its id in its
-    own bucket and in the buckets whose filters matched; the rows found there are counted.
+    All rows of an identifier lie in one shard, so one shuffle of identifiers does; a task holds the
+    identifiers of one shard, whose number follows from the number of rows.
     """
-    stored = sharded(rows, key, time, bucket_seconds)
-    suspects = screened(stored).where((F.size("maybe") > 0) | (F.col("n") > 1))
-    asked = suspects.select("id", F.explode(F.array_union(F.array("bucket"), "maybe")).alias("bucket")).distinct()
-    found = stored.select("id", "bucket", "n").join(asked, ["id", "bucket"], "left_semi")
-    return found.groupBy("id").agg(F.sum("n").alias("copies")).where("copies > 1")
+    return sharded(rows, key, time, bucket_seconds).mapInArrow(_repeats, "id string, copies bigint")
 
 
 def exactly_once(rows: DataFrame, key: str, time: str, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
     """One copy of each message with all its columns: the earliest by ``time``, ties by the row's hash.
 
-    Messages proven new pass without a lookup; only repeated ones are grouped. Rows with a null
-    identifier cannot be told apart and all pass.
+    Messages proven new pass without a lookup and without a shuffle; only those that may be repeated
+    are grouped. Rows with a null identifier cannot be told apart and all pass.
     """
-    repeated = repeated_ids(rows, key, time, bucket_seconds).select(F.col("id").alias(key))
-    single = rows.join(repeated, key, "left_anti")
-    several = rows.join(repeated, key, "left_semi")
+    repeated = cut(repeated_ids(rows, key, time, bucket_seconds).select(F.col("id").cast(rows.schema[key].dataType).alias(key)))
+    single, several = split(rows.where(F.col(key).isNotNull()), repeated, [key])
     order = F.struct(F.col(time).isNull(), F.col(time), F.xxhash64(*rows.columns))
     kept = several.groupBy(F.col(key).alias("__key")).agg(F.min_by(F.struct(*rows.columns), order).alias("__row")).select("__row.*")
-    return single.unionByName(kept)
+    return single.unionByName(kept).unionByName(rows.where(F.col(key).isNull()))
 
 
 def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bloom filter segments of identifiers that come by shard and bucket: ``shard, bucket, bits``, packed, none larger than ``SEGMENT_BITS``."""
+    """Bloom filters of identifiers that come by shard and bucket: ``shard, bucket, bits``, packed, of at most ``FILTER_IDS`` each."""
     for batch in batches:
         shards, buckets, hashes = batch["shard"].to_numpy(), batch["bucket"].to_numpy(), batch["h"].to_numpy().view(np.uint64)
         for s, b in sorted(set(zip(shards.tolist(), buckets.tolist()))):
             own = hashes[(shards == s) & (buckets == b)]
-            for lo in range(0, len(own), SEGMENT_IDS):
-                part = own[lo : lo + SEGMENT_IDS]
-                bloom = BloomFilter(bits=min(SEGMENT_BITS, 1 << max(10, int(len(part) * 10).bit_length())), ids=len(part))
-                bloom.add(part)
-                bits = np.packbits(bloom.segments[0]).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([b], pa.int64()), pa.array([bits], pa.binary())], names=["shard", "bucket", "bits"])
+            for lo in range(0, len(own), FILTER_IDS):
+                bits = Bloom.of(own[lo : lo + FILTER_IDS], STORED_BITS, STORED_PROBES).packed.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([b], pa.int32()), pa.array([bits], pa.binary())], names=["shard", "bucket", "bits"])
 
 
 def _probe(ids: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
     """Which stored buckets may know each identifier of a shard."""
     hashes = ids["h"].to_numpy().astype(np.int64).view(np.uint64)
-    found = []
+    found = [pd.DataFrame({"id": np.zeros(0, dtype=object), "shard": np.zeros(0, dtype=np.int32), "bucket": np.zeros(0, dtype=np.int32)})]
     for bucket, own in filters.groupby("bucket")["bits"]:
         maybe = np.zeros(len(hashes), dtype=bool)
         for bits in own:
-            bloom = BloomFilter(bits=len(bits) * 8)
-            bloom.segments = [np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).astype(bool)]
-            maybe |= bloom.might_contain(hashes)
-        found.append(pd.DataFrame({"id": ids["id"].to_numpy(dtype=object)[maybe], "bucket": np.int64(bucket)}))
-    return pd.concat(found) if found else pd.DataFrame({"id": np.zeros(0, dtype=object), "bucket": np.zeros(0, dtype=np.int64)})
+            maybe |= Bloom(len(bits) * 8, 1, STORED_PROBES, np.frombuffer(bits, dtype=np.uint8)).might_contain(hashes)
+        found.append(pd.DataFrame({"id": ids["id"].to_numpy(dtype=object)[maybe], "shard": ids["shard"].to_numpy()[maybe], "bucket": np.int32(bucket)}))
+    return pd.concat(found)
 
 
 class Deliveries:
     """Takes in batches of messages and lets each identifier through once, over all batches ever.
 
-    Kept in one folder: identifiers in Parquet, partitioned by time bucket, and their Bloom filters by
-    shard and bucket. A batch reads all filters of its shards but only those partitions of identifiers
-    that a filter points to. Like any run, a batch counts once its marker is there; a batch that
-    failed is taken in again whole. ``shards`` is fixed when the folder is made, such that the
-    identifiers of a batch fit a task when divided by it.
+    Kept in one folder: identifiers in Parquet, partitioned by time bucket and shard, and their Bloom
+    filters by shard and bucket. A batch reads all filters but only those (bucket, shard) partitions
+    of identifiers that a filter points to. Like any run, a batch counts once its marker is there; a
+    batch that failed is taken in again whole. ``shards`` is fixed when the folder is made, such that
+    the identifiers of a batch fit a task when divided by it.
     """
 
     def __init__(self, spark: SparkSession, path: str, key: str, time: str, shards: int = 256, bucket_seconds: int = BUCKET_SECONDS):
@@ -201,25 +178,35 @@ class Deliveries:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.option("basePath", f"{self.path}/{what}").schema(f"{schema}, run string").parquet(*runs).drop("run")
 
+    def matching(self, asked: list[tuple[int, int]]) -> DataFrame:
+        """The stored identifiers of the given (bucket, shard) partitions; no other partition is read."""
+        stored = self._stored("ids", "id string, bucket int, shard int")
+        shards: dict[int, list[int]] = {}
+        for bucket, shard in asked:
+            shards.setdefault(bucket, []).append(shard)
+        wanted = F.lit(False)
+        for bucket, own in shards.items():
+            wanted = wanted | ((F.col("bucket") == bucket) & F.col("shard").isin(own))
+        return stored.where(wanted)
+
     def accept(self, batch: DataFrame) -> DataFrame:
         """The messages of ``batch`` whose identifier is new, one copy each; they are known from now on."""
         first = exactly_once(batch.where(F.col(self.key).isNotNull()), self.key, self.time, self.bucket_seconds)
-        bucket = F.coalesce(F.floor(F.col(self.time) / self.bucket_seconds), F.lit(-1)).cast("bigint")
+        bucket = F.coalesce(F.floor(F.col(self.time) / self.bucket_seconds), F.lit(-1)).cast("int")
         h = F.xxhash64(F.col(self.key).cast("string"))
-        ids = cut(first.select(F.col(self.key).cast("string").alias("id"), h.alias("h"), bucket.alias("bucket"), F.pmod(h, F.lit(self.shards)).cast("int").alias("shard")))
-        filters = self._stored("filters", "shard int, bucket bigint, bits binary")
-        maybe = cut(ids.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(_probe, "id string, bucket bigint"))
-        asked = [r[0] for r in maybe.select("bucket").distinct().collect()]  # there are few buckets
-        stored = self._stored("ids", "id string, bucket bigint").where(F.col("bucket").isin(asked)) if asked else self.spark.createDataFrame([], "id string, bucket bigint")
-        known = cut(maybe.join(stored, ["id", "bucket"], "left_semi").select("id").distinct())
-        fresh = ids.join(known, "id", "left_anti")
+        ids = cut(first.select(F.col(self.key).alias("key"), F.col(self.key).cast("string").alias("id"), h.alias("h"), bucket.alias("bucket"), F.pmod(h, F.lit(self.shards)).cast("int").alias("shard")))
+        filters = self._stored("filters", "shard int, bucket int, bits binary")
+        maybe = cut(ids.select("id", "h", "shard").groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(_probe, "id string, shard int, bucket int"))
+        asked = [(r[0], r[1]) for r in maybe.select("bucket", "shard").distinct().collect()]  # at most shards x buckets
+        known = cut(maybe.join(self.matching(asked), ["id", "bucket", "shard"], "left_semi").select("id").distinct())
+        fresh = cut(ids.join(known, "id", "left_anti"))
         run = uuid.uuid4().hex
         rows = fresh.count()
         if rows:
-            fresh.select("id", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/ids/run={run}")
-            ordered = fresh.repartition(partitions(self.spark), "shard").sortWithinPartitions("shard", "bucket")
-            ordered.mapInArrow(_filters, "shard int, bucket bigint, bits binary").write.parquet(f"{self.path}/filters/run={run}")
-        out = first.join(fresh.select(F.col("id").alias(self.key)), self.key, "left_semi")
-        out.write.parquet(f"{self.path}/accepted/run={run}")
+            ordered = fresh.repartition(partitions(self.spark), "shard").sortWithinPartitions("bucket", "shard")
+            ordered.select("id", "bucket", "shard").write.partitionBy("bucket", "shard").parquet(f"{self.path}/ids/run={run}")
+            ordered.mapInArrow(_filters, "shard int, bucket int, bits binary").write.parquet(f"{self.path}/filters/run={run}")
+        taken = ids.join(known, "id", "left_semi").select(F.col("key").alias(self.key))
+        screened_join(first, cut(taken), [self.key], "left_anti").write.parquet(f"{self.path}/accepted/run={run}")
         self.markers.add({"run": run, "number": len(self.markers.all()), "rows": rows})
         return self.spark.read.schema(batch.schema).parquet(f"{self.path}/accepted/run={run}")

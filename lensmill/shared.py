@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows a side may have to be broadcast; at 64 bytes a row this is about 6 MB.
 BROADCAST_ROWS = 100_000
@@ -16,9 +18,11 @@ SALTS = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a local one only where that is unset."""
+    """The folder all executors share (``spark.checkpoint.dir``). Where that is unset, a local one on a single machine; on a cluster an error."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         known = "file://" + os.path.join(tempfile.gettempdir(), "lensmill-checkpoints")
         spark.conf.set("spark.checkpoint.dir", known)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -51,7 +55,9 @@ def checked_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str =
     if at_most(small, rows):
         return big.join(F.broadcast(small), list(on), how)
     salt = "__salt"
-    spread = big.withColumn(salt, F.floor(F.rand(7) * SALTS).cast("int"))
+    # by the row itself: a task that is run again gives every row the same salt
+    plain = [f.name for f in big.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    spread = big.withColumn(salt, F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int"))
     copies = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return spread.join(copies, [*on, salt], how).drop(salt)
 

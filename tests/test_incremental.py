@@ -82,3 +82,38 @@ def test_two_writers_cannot_commit_the_same_run(spark, tmp_path):
     one._commit({"run": "x", "number": 0, "low_water": 0})
     with pytest.raises(RuntimeError):
         two._commit({"run": "y", "number": 0, "low_water": 0})
+
+
+def test_older_versions_of_a_processed_review_are_not_new(spark, tmp_path):
+    top_up = incremental.TopUp(spark, f"file://{tmp_path}/state")
+    first = spark.createDataFrame([(1, "a", 5, 20, 10, "newest")], ROWS)
+    assert top_up.run(first).count() == 1
+    late = spark.createDataFrame([(1, "a", 5, 9, 11, "older, delivered later"), (1, "a", None, None, 12, "no times"), (1, "b", 1, 1, 11, "")], ROWS)
+    assert [r.recommendationid for r in top_up.run(late).collect()] == ["b"]
+
+
+def test_the_ledger_is_compacted(spark, tmp_path):
+    top_up = incremental.TopUp(spark, f"file://{tmp_path}/state", compact_every=2)
+    for version in range(5):
+        rows = spark.createDataFrame([(1, "a", 1, 10 + version, 10 + version, ""), (1, f"b{version}", 1, 1, 10 + version, "")], ROWS)
+        assert top_up.run(rows).count() == 2 and top_up.run(rows).count() == 0
+    assert top_up.ledger().where("__key = 'a'").count() == 1 and top_up.ledger().count() == 6
+
+
+def test_abandoned_transactions_do_not_hold_the_low_water(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", 1, 1, 1_000, "")], ROWS)
+    crawls = spark.createDataFrame([(1, 1, 10, None), (2, 1, 950, None), (3, 1, 990, 2_000)], CRAWLS)
+    kept, dropped = incremental.TopUp(spark, f"file://{tmp_path}/one"), incremental.TopUp(spark, f"file://{tmp_path}/two", open_for=100)
+    kept.run(rows, crawls), dropped.run(rows, crawls)
+    assert (kept.low_water(), dropped.low_water()) == (10, 950)
+
+
+def test_the_source_is_read_once_and_a_stored_ledger_agrees(spark, tmp_path):
+    data = [(i % 5, f"r{i % 70}", i % 50, (i * 7) % 60, (i * 13) % 90, "") for i in range(400)]
+    spark.createDataFrame(data, ROWS).coalesce(1).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    runs = incremental.last_runs(spark.createDataFrame([(0, 30, 40), (1, 0, 5), (2, 45, None), (3, 20, 60)], MARKS), spark.createDataFrame([(1, 3, 50, None)], CRAWLS))
+    derived = incremental.pending_keys(rows, runs)
+    assert derived._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    stored = incremental.pending_keys(rows, runs, incremental.ledger_of_past_runs(rows, runs))
+    assert sorted(derived.collect()) == sorted(stored.collect())

@@ -2,9 +2,6 @@ from __future__ import annotations
 
 from collections import Counter
 
-import numpy as np
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lensmill.operators import redelivery
@@ -12,25 +9,6 @@ from lensmill.operators import redelivery
 SCHEMA = "recommendationid string, snapshot_unix bigint, id string, bucket string"
 
 
-def test_bloom_filters_never_miss_and_rarely_err():
-    rng = np.random.default_rng(0)
-    known, others = rng.integers(0, 2**63, 300_000).astype(np.uint64), rng.integers(0, 2**63, 50_000).astype(np.uint64)
-    bloom = redelivery.BloomFilter()
-    bloom.add(known)
-    assert len(bloom.segments) == 3
-    assert bloom.might_contain(known).all()
-    assert bloom.might_contain(others).mean() < 0.05
-
-
-@settings(max_examples=25, deadline=None)
-@given(st.lists(st.integers(0, 2**64 - 1), max_size=200), st.lists(st.integers(0, 2**64 - 1), max_size=50))
-def test_bloom_filters_hold_what_was_added(known, more):
-    bloom = redelivery.BloomFilter(bits=1 << 10, ids=100)
-    for part in (known, more):
-        bloom.add(np.array(part, dtype=np.uint64))
-    assert bloom.might_contain(np.array(known + more, dtype=np.uint64)).all()
-
-
 def make(spark, rows):
     return spark.createDataFrame([(i, t, "clash", "clash") for i, t in rows], SCHEMA)
 
@@ -58,6 +36,26 @@ def test_exactly_once_keeps_the_first_copy_and_all_columns(spark):
     assert sorted(map(str, ((r[0], r[1]) for r in got.collect()))) == sorted(map(str, [("a", 2), ("b", 9), (None, 1), (None, 1), ("c", 4)]))
 
 
+def test_one_shuffle_of_identifiers_does(spark):
+    plan = redelivery.repeated_ids(make(spark, [("a", 1)]), "recommendationid", "snapshot_unix")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "clash" not in plan
+
+
+def test_only_possible_repeats_are_shuffled_whole(spark):
+    rows = spark.range(20_000).select(F.col("id").cast("string").alias("recommendationid"), F.col("id").alias("snapshot_unix"))
+    got = redelivery.exactly_once(rows.unionByName(rows.limit(50)), "recommendationid", "snapshot_unix")
+    assert got.count() == 20_000
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_a_batch_reads_only_partitions_that_a_filter_points_to(spark, tmp_path):
+    store = redelivery.Deliveries(spark, f"file://{tmp_path}/store", "recommendationid", "snapshot_unix", shards=8)
+    store.accept(make(spark, [(f"m{i}", i) for i in range(500)]))
+    scan = store.matching([(0, 3)])
+    assert {(r.bucket, r.shard) for r in scan.collect()} == {(0, 3)}
+    assert store.matching([]).count() == 0 and "PartitionFilters: [" in scan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_empty(spark):
     assert redelivery.repeated_ids(make(spark, []), "recommendationid", "snapshot_unix").count() == 0
     assert redelivery.exactly_once(make(spark, []), "recommendationid", "snapshot_unix").count() == 0
