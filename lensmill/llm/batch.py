@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lensmill.arrays import mix64, powers, segment_sums  # noqa: F401  (used with these everywhere here)
+
 #: Characters handled at once; a longer text is handled alone, still whole.
 CHUNK_CHARS = 1_000_000
 
@@ -32,36 +34,22 @@ def codepoints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.concatenate([[0], np.cumsum(lengths)])
 
 
-def segment_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sums of ``values`` between consecutive ``starts`` (the last of which is the end); empty segments give 0."""
-    total = np.concatenate([np.zeros(1, dtype=values.dtype), np.cumsum(values, dtype=values.dtype)])
-    return total[starts[1:]] - total[starts[:-1]]
-
-
-def mix64(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64 on uint64."""
-    x = x.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def powers(base: int, count: int) -> np.ndarray:
-    """``base ** i`` modulo 2**64 for i below ``count``."""
-    out = np.full(max(count, 1), base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def hash_sample(rows: DataFrame, most: int) -> list:
+def hash_sample(rows: DataFrame, most: int, by: str | None = None) -> list:
     """At most ``most`` different rows of ``rows``, by the hash of the whole row: the same on every run.
 
     Rows are kept by a threshold on their hash that lets about ``most`` through, and equal ones are
-    merged where they are read, so neither the driver nor a task ever holds much more than that.
+    merged where they are read, so neither the driver nor a task ever holds much more than that. With
+    ``by`` every value of that column (there are few) gets an equal part of the sample, as far as it has rows.
     """
-    total = rows.count()
     h = F.xxhash64(*rows.columns)
-    kept = rows.withColumn("__h", h)
-    if total > most:
-        kept = kept.where(F.col("__h") <= min(2**63 - 1, -(2**63) + 2**64 * 6 * most // (5 * total)))
-    return kept.dropDuplicates(["__h"]).orderBy("__h").limit(most).drop("__h").collect()
+    keep = lambda total, most: min(2**63 - 1, -(2**63) + 2**64 * 6 * most // (5 * max(total, most)))
+    if by is None:
+        kept = rows.withColumn("__h", h).where(F.col("__h") <= keep(rows.count(), most))
+        return kept.dropDuplicates(["__h"]).orderBy("__h").limit(most).drop("__h").collect()
+    sizes = {r[0]: r[1] for r in rows.groupBy(by).count().collect() if r[0] is not None}  # narrow: only this column is read
+    each = max(1, most // max(1, len(sizes)))
+    limits = F.create_map(*[F.lit(x) for v, n in sizes.items() for x in (v, keep(n, 2 * each))]) if sizes else F.lit(None)
+    kept = rows.where(F.col(by).isNotNull()).withColumn("__h", h).where(F.col("__h") <= limits[F.col(by)]) if sizes else rows.limit(0).withColumn("__h", h)
+    # at most a few times ``most`` rows come this far
+    nth = F.row_number().over(Window.partitionBy(by).orderBy("__h"))
+    return kept.dropDuplicates(["__h"]).withColumn("__k", nth).where(F.col("__k") <= each).orderBy("__h").drop("__h", "__k").collect()

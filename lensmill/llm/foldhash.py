@@ -16,13 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lensmill.bloom import bloom_of
 from lensmill.llm.batch import chunks, codepoints, mix64, segment_sums
-from lensmill.shared import checked_join, cut, spread
+from lensmill.shared import cut, spread
 
 #: Texts with fewer kept letters and digits than this are no case.
 LEAST_KEPT = 30
-#: Rows of one record that are compared in one task at most, about.
-ROWS_PER_SALT = 10_000
+#: Rows of one record from which it is split, and the number of parts all records together are split into at most.
+ROWS_PER_SALT, MOST_PARTS = 10_000, 100_000
+#: Characters of a text that a comparison folds at once.
+FOLD_AT_ONCE = 1 << 16
 _P = (1 << 31) - 1
 _BASES = (1_000_003_319, 1_700_000_429)
 #: Characters that end a field, and those that join a label to its value.
@@ -128,27 +131,28 @@ def is_fields(text: str) -> bool:
     return len(pieces) >= 2 and all(":" in p or "：" in p for p in pieces)
 
 
-def _folded(text: str) -> list[int]:
-    return fold_table()[np.fromiter(map(ord, text), dtype=np.int64, count=len(text))].tolist()
-
-
 def same_text(a: str, b: str) -> bool:
-    """Whether two texts keep the same folded characters, by two pointers that skip the dropped ones."""
+    """Whether two texts keep the same folded characters.
+
+    Two pointers run over the raw characters, a block at a time, and skip what folding drops; no
+    more than the kept characters of one block of each are ever held.
+    """
     if a == b:
         return True
-    x, y = _folded(a), _folded(b)
-    i = j = 0
+    table = fold_table()
+    raw = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for t in (a, b)]
+    at, held = [0, 0], [raw[0][:0], raw[1][:0]]
     while True:
-        while i < len(x) and not x[i]:
-            i += 1
-        while j < len(y) and not y[j]:
-            j += 1
-        if i == len(x) or j == len(y):
-            return i == len(x) and j == len(y)
-        if x[i] != y[j]:
+        for k in (0, 1):
+            while not len(held[k]) and at[k] < len(raw[k]):
+                block = table[raw[k][at[k] : at[k] + FOLD_AT_ONCE]]
+                held[k], at[k] = block[block > 0], at[k] + FOLD_AT_ONCE
+        n = min(len(held[0]), len(held[1]))
+        if not n:
+            return len(held[0]) == len(held[1])
+        if not np.array_equal(held[0][:n], held[1][:n]):
             return False
-        i += 1
-        j += 1
+        held = [held[0][n:], held[1][n:]]
 
 
 def same_record(a: str, b: str) -> bool:
@@ -186,13 +190,16 @@ def canonical(text: str) -> str:
     return "\x00".join(sorted(filter(None, map(form, _pieces(text))))) if is_fields(text) else form(text)
 
 
-def _hashed(batches: Iterator[pa.RecordBatch], least: int = LEAST_KEPT) -> Iterator[pa.RecordBatch]:
+def _hashed(batches: Iterator[pa.RecordBatch], least: int = LEAST_KEPT, wanted=None) -> Iterator[pa.RecordBatch]:
+    """Texts with their keys; only those that keep ``least`` characters and whose hash ``wanted`` lets through."""
     for batch in batches:
         ids, column = batch["id"], batch["text"]
         texts = column.to_pylist()
         for lo, hi in chunks(texts):
             h, kept, fields = fold_hashes(texts[lo:hi])
             keep = np.flatnonzero(kept >= least)
+            if wanted is not None:
+                keep = keep[wanted(h[keep].view(np.uint64))]
             at = pa.array(keep + lo)
             arrays = [ids.take(at), column.take(at), pa.array(h[keep]), pa.array(kept[keep]), pa.array(fields[keep])]
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "text", "h", "kept", "fields"])
@@ -203,10 +210,6 @@ def _hashed_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["id", "h", "kept", "fields"])
 
 
-def _hashed_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _hashed(batches, 0)
-
-
 def _digested_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keys of all texts, short ones included, with 128 bits of a digest that tell whether texts are the very same."""
     for batch in _hashed(batches, 0):
@@ -231,6 +234,39 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _KEY = ["h", "kept", "fields"]
+_TEXTS = "id string, text string, h bigint, kept bigint, fields boolean, salt int, salts int"
+
+
+def _colliding(source: DataFrame, keys: DataFrame, least: int) -> DataFrame:
+    """``id, text, h, kept, fields, salt, salts`` of the rows of ``source`` whose hash is among ``keys`` (``h, n``, cut).
+
+    A Bloom filter of the keys turns down all other rows where they are read, but for about one in a
+    hundred, so only colliding texts ever leave the scan, at any number of keys. A key of very many
+    rows (``n``) is split into parts; there are at most ``MOST_PARTS`` of these in all. Cut.
+    """
+    spark = source.sparkSession
+    total = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    part = max(ROWS_PER_SALT, -(-total // MOST_PARTS))
+    heavy = sorted((r.h, -(-r.n // part)) for r in keys.where(F.col("n") > part).groupBy("h").agg(F.sum("n").alias("n")).collect())
+    sent = spark.sparkContext.broadcast((bloom_of(keys), np.array([h for h, _ in heavy], dtype=np.int64), np.array([k for _, k in heavy], dtype=np.int32)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom, hot, parts = sent.value
+        for batch in _hashed(batches, least, bloom.might_contain):
+            salts = np.ones(batch.num_rows, dtype=np.int32)
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, batch["h"].to_numpy()), len(hot) - 1)
+                salts = np.where(hot[at] == batch["h"].to_numpy(), parts[at], salts)
+            salt = (np.arange(batch.num_rows) % salts).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(salt), pa.array(salts)], names=[*batch.schema.names, "salt", "salts"])
+
+    return cut(source.mapInArrow(run, _TEXTS))
+
+
+def _with_first(members: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``members`` beside the first text of their key; a split key's first is repeated once for each of its parts."""
+    copies = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return members.drop("salts").join(copies, [*_KEY, "salt"])
 
 
 def formatting_pairs(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -242,15 +278,12 @@ def formatting_pairs(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     source = spread(rows.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")))
     keys = source.mapInArrow(_hashed_keys, "id string, h bigint, kept bigint, fields boolean")
-    # both are read more than once and dear to make; members are only the rows whose hashes collide
-    shared = cut(keys.groupBy(*_KEY).agg(F.min("id").alias("first_id"), F.max("id").alias("__last"), F.ceil(F.count("*") / ROWS_PER_SALT).cast("int").alias("salts")).where("first_id < __last").drop("__last"))
-    texts = source.mapInArrow(_hashed, "id string, text string, h bigint, kept bigint, fields boolean")
-    members = cut(checked_join(texts, shared, _KEY, "inner").distinct())
-    firsts = members.where("id = first_id").groupBy(*_KEY).agg(F.min("text").alias("first_text"), F.first("salts").alias("salts"))
-    copies = firsts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    salted = members.withColumn("__salt", F.pmod(F.xxhash64("id", "text"), F.col("salts")).cast("int"))
-    compared = salted.join(copies, [*_KEY, "__salt"]).select("id", "first_id", "text", "first_text").mapInArrow(_verified, "id string, first_id string, other string")
-    compared = cut(compared)
+    # read more than once and dear to make
+    shared = cut(keys.groupBy(*_KEY).agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).where("first < last").select("h", "n"))
+    members = _colliding(source, shared, LEAST_KEPT)
+    firsts = members.groupBy(*_KEY).agg(F.min(F.struct("id", "text")).alias("f"), F.max("id").alias("last"), F.first("salts").alias("salts")).where("f.id < last")
+    compared = _with_first(members, firsts.select(*_KEY, "salts", F.col("f.id").alias("first_id"), F.col("f.text").alias("first_text")))
+    compared = cut(compared.select("id", "first_id", "text", "first_text").mapInArrow(_verified, "id string, first_id string, other string"))
     same = compared.where("other is null").select("first_id", "id")
     apart = compared.where("other is not null").select("other", "id")
     again = apart.join(apart.groupBy("other").agg(F.min("id").alias("first_id")), "other").select("first_id", "id")
@@ -274,13 +307,10 @@ def records(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     groups = cut(per_id.groupBy(*_KEY).agg(F.min("id").alias("first_id"), F.count("id").alias("ids"), F.sum("n").alias("copies"), *again))
     alike = F.expr("min_d0 = max_d0 and min_d1 = max_d1")
     columns = [*_KEY, "first_id", "ids", "copies"]
-    mixed = groups.where(~alike).select(*_KEY, F.ceil(F.col("copies") / ROWS_PER_SALT).cast("int").alias("salts"))
-    texts = source.mapInArrow(_hashed_all, "id string, text string, h bigint, kept bigint, fields boolean")
-    members = cut(checked_join(texts, mixed, _KEY, "inner"))
-    firsts = members.groupBy(*_KEY).agg(F.min("text").alias("first_text"), F.first("salts").alias("salts"))
-    copies = firsts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    salted = members.withColumn("__salt", F.pmod(F.xxhash64("id", "text"), F.col("salts")).cast("int"))
-    compared = salted.join(copies, [*_KEY, "__salt"]).select("id", *_KEY, "text", "first_text").mapInArrow(_compared, "id string, h bigint, kept bigint, fields boolean, other string")
+    mixed = cut(groups.where(~alike).select(*_KEY, F.col("copies").alias("n")))
+    members = _colliding(source, mixed, 0)
+    firsts = members.groupBy(*_KEY).agg(F.min("text").alias("first_text"), F.first("salts").alias("salts")).join(mixed.select(*_KEY), _KEY, "left_semi")
+    compared = _with_first(members, firsts).select("id", *_KEY, "text", "first_text").mapInArrow(_compared, "id string, h bigint, kept bigint, fields boolean, other string")
     told = compared.groupBy(*_KEY, "other", "id").agg(F.count("*").alias("n")).groupBy(*_KEY, "other").agg(F.min("id").alias("first_id"), F.count("id").alias("ids"), F.sum("n").alias("copies"))
     return groups.where(alike).select(*columns).unionByName(told.select(*columns))
 

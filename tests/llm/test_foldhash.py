@@ -61,9 +61,6 @@ def test_pairs(spark, collide, monkeypatch):
     hot = [(f"h{i:03d}", TEXT.upper() if i % 2 else TEXT + "." * (i % 5)) for i in range(200)]
     rows = [*hot, ("h001", TEXT), ("f1", FIELDS), ("f2", " | ".join(reversed(FIELDS.split("\n")))), ("e1", "short"), ("e2", "short"), ("n", None), (None, TEXT), ("z", ""), ("two", TEXT), ("two", FIELDS), ("long1", "word " * 40_000), ("long2", "WORD" * 40_000)]
     frame = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "rid string, review string, text string, h int")
-    if collide:
-        members = foldhash._verified
-        assert members is not None
     got = [(r.first_id, r.id) for r in foldhash.formatting_pairs(frame, "rid", "review").collect()]
     assert len(got) == len(set(got))
     if not collide:
@@ -98,5 +95,37 @@ def test_collisions_are_told_apart():
     assert out[0]["other"] is None and out[1]["other"] == foldhash.canonical(FIELDS)
 
 
+@pytest.mark.parametrize("at_once", [1, 7, 1 << 16])
+def test_comparison_by_blocks(monkeypatch, at_once):
+    monkeypatch.setattr(foldhash, "FOLD_AT_ONCE", at_once)
+    assert foldhash.same_text(TEXT, "..." + TEXT.upper().replace(" ", "  ...  "))
+    assert not foldhash.same_text(TEXT, TEXT + "x") and not foldhash.same_text("x" + TEXT, TEXT) and foldhash.same_text("!", "") and not foldhash.same_text("", "a")
+
+
+def test_only_colliding_texts_leave_the_scan(spark, monkeypatch, tmp_path):
+    """At any number of keys: the rows are screened where they are read, with no exchange between."""
+    spark.range(3_000).selectExpr("cast(id as string) as rid", "concat('the quick brown fox jumps over the lazy dog, number ', cast(id % 2990 as string)) as review").write.parquet(f"{tmp_path}/t")
+    seen = []
+    real = foldhash.cut
+
+    def cut(df):
+        plan, out = df._jdf.queryExecution().executedPlan().toString(), real(df)
+        seen.append((plan, df.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(foldhash, "cut", cut)
+    monkeypatch.setattr(foldhash, "spread", lambda df: df)
+    assert foldhash.formatting_pairs(spark.read.parquet(f"{tmp_path}/t"), "rid", "review").count() == 10
+    (_, _, keys), (texts, columns, members), _ = seen
+    assert keys == 10 and "text" in columns and "Exchange" not in texts and 20 <= members < 20 + 3_000 * 0.05
+
+
+def test_a_record_of_very_many_rows_is_split(spark, monkeypatch):
+    monkeypatch.setattr(foldhash, "ROWS_PER_SALT", 50)
+    rows = spark.range(500).selectExpr("format_string('%04d', id) as rid", f"concat('{TEXT}', repeat('!', cast(id % 7 as int))) as review")
+    got = [(r.first_id, r.id) for r in foldhash.formatting_pairs(rows, "rid", "review").collect()]
+    assert len(got) == 499 and {a for a, _ in got} == {"0000"}
+
+
 def test_empty(spark):
     assert foldhash.formatting_pairs(spark.createDataFrame([], "rid string, review string"), "rid", "review").count() == 0
