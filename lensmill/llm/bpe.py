@@ -1,7 +1,8 @@
 """Encoding a corpus with a public byte-level BPE vocabulary.
 
-Two tiers: whole pre-tokens that are in the vocabulary are resolved through a minimal perfect hash,
-for a whole batch at once; the others are merged with a heap over linked bytes.
+Texts are cut into pre-tokens by arrays of character classes, all texts of a batch at once. Two tiers
+then: whole pre-tokens that are in the vocabulary are resolved through a minimal perfect hash; the
+others are merged with a heap over linked bytes.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import itertools
 import os
 from collections.abc import Iterator
 
@@ -18,7 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lensmill.llm.batch import chunks, mix64, powers, segment_sums
+from lensmill.arrays import hash_spans
+from lensmill.llm.batch import chunks, codepoints, mix64, segment_sums
 from lensmill.shared import spread
 
 #: Where the public tokenizers lie, and the vocabulary used unless another is named.
@@ -29,18 +32,56 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Misses a worker remembers; only saves time.
 MEMO = 200_000
 _BASE = 0x9E3779B97F4A7C15 | 1
+#: Endings that stay with an apostrophe before them, of one letter and of two.
+_ENDINGS, _LONG_ENDINGS = "stmd", ("re", "ve", "ll")
+_LETTER, _NUMBER, _SPACE = 1, 2, 3
 
 
-def _byte_values() -> np.ndarray:
-    return mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-
-
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hashes of the byte spans ``data[starts:ends]``, which must be adjacent and cover ``data``."""
-    lengths = ends - starts
-    rank = np.arange(len(data)) - np.repeat(starts, lengths)
-    terms = _byte_values()[data] * powers(_BASE, int(lengths.max()) if len(lengths) else 1)[rank]
-    return mix64(segment_sums(terms, np.append(starts, len(data))) + lengths.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+@functools.cache
+def character_classes() -> np.ndarray:
+    """Class of each code point as ``PATTERN`` sees it: letter, number, white space, or 0."""
+    table = np.zeros(0x110000, dtype=np.uint8)
+    everything = "".join(map(chr, range(0x110000)))
+    for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
+        for m in regex.finditer(pattern, everything):
+            table[m.start() : m.end()] = kind
+    return table
+
+
+def pretoken_starts(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether a pre-token of ``PATTERN`` starts at each code point of texts that lie end to end.
+
+    A pre-token is a run of one class. Of a run of white space that something follows, the last
+    character stands alone, and if that is a blank it opens the run that follows. A lone apostrophe
+    without a blank before it takes its ending with it.
+    """
+    n = len(flat)
+    kind = character_classes()[flat]
+    begins = np.zeros(n + 1, dtype=bool)
+    begins[offsets[:-1]] = True
+    begins[n] = True
+    run = begins[:-1].copy()
+    run[1:] |= kind[1:] != kind[:-1]
+    blank_before = np.zeros(n, dtype=bool)
+    blank_before[1:] = flat[:-1] == 32
+    blank_before &= ~begins[:-1]
+    space = kind == _SPACE
+    last = space & ~begins[1:]  # the last white space before something else
+    last[:-1] &= ~space[1:]
+    starts = run & (space | ~blank_before) | last
+    next_run = np.append(run[1:], True)
+    mark = np.flatnonzero((flat == 39) & starts & next_run & ~begins[1:])
+    if len(mark):
+        ahead = np.concatenate([flat, np.zeros(3, dtype=flat.dtype)])
+        inside = np.concatenate([~run & (kind == _LETTER), np.zeros(3, dtype=bool)])  # goes on with the same letters
+        one, two = ahead[mark + 1], ahead[mark + 2]
+        single = np.isin(one, [ord(c) for c in _ENDINGS])
+        double = inside[mark + 2] & np.logical_or.reduce([(one == ord(a)) & (two == ord(b)) for a, b in _LONG_ENDINGS])
+        starts[mark[single | double] + 1] = False
+        for which, size in ((single, 2), (double, 3)):
+            at = mark[which] + size
+            starts[at[inside[at]]] = True
+    return starts
 
 
 class PerfectHash:
@@ -88,12 +129,11 @@ class PerfectHash:
 
 
 class Encoder:
-    """A byte-level BPE encoder over a rank file (token in base64, rank)."""
+    """A byte-level BPE encoder over a rank file (token in base64, rank) whose texts are split by ``PATTERN``."""
 
-    def __init__(self, rank_file: bytes, pattern: str = PATTERN):
+    def __init__(self, rank_file: bytes):
         pairs = [line.split() for line in rank_file.splitlines() if line.strip()]
         self.ranks = {base64.b64decode(a): int(b) for a, b in pairs}
-        self.pattern = regex.compile(pattern)
         tokens = list(self.ranks)
         lengths = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
         ends = np.cumsum(lengths)
@@ -154,35 +194,53 @@ class Encoder:
 
     def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and where each text's ids start (plus the end); null is as empty."""
-        parts = [self.pattern.findall(t) if t else [] for t in texts]
-        per_text = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-        tokens = [t.encode() for p in parts for t in p]
-        if not tokens:
+        texts = [t or "" for t in texts]
+        flat, offsets = codepoints(texts)
+        if not len(flat):
             return np.zeros(0, dtype=np.int32), np.zeros(len(texts) + 1, dtype=np.int64)
-        lengths = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
-        ends = np.cumsum(lengths)
-        data = np.frombuffer(b"".join(tokens), dtype=np.uint8)
-        slot = self.perfect.slots(hash_spans(data, ends - lengths, ends))
+        at = np.flatnonzero(pretoken_starts(flat, offsets))
+        width = 1 + (flat >= 0x80).astype(np.int64) + (flat >= 0x800) + (flat >= 0x10000)
+        place = np.cumsum(width)
+        data = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
+        starts = place[at] - width[at]
+        ends = np.append(starts[1:], len(data))
+        lengths = ends - starts
+        keys = hash_spans(data, starts, ends)
+        slot = self.perfect.slots(keys)
         hit = self.length[slot] == lengths
         # compare the bytes of what the hash names, so that a foreign pre-token is never taken for a known one
-        at = np.flatnonzero(hit)
-        own = np.repeat(ends[at] - lengths[at], lengths[at])
-        named = np.repeat(self.start[slot[at]], lengths[at])
-        bounds = np.concatenate([[0], np.cumsum(lengths[at])])
-        step = np.arange(bounds[-1]) - np.repeat(bounds[:-1], lengths[at])
-        hit[at] = segment_sums((data[own + step] != self.data[named + step]).astype(np.int64), bounds) == 0
-        counts = np.ones(len(tokens), dtype=np.int64)
+        known = np.flatnonzero(hit)
+        hit[known] = _same_bytes(data, starts[known], self.data, self.start[slot[known]], lengths[known])
+        counts = np.ones(len(at), dtype=np.int64)
         missed = np.flatnonzero(~hit)
-        merged = [self._miss(tokens[i]) for i in missed.tolist()]
-        counts[missed] = np.fromiter(map(len, merged), dtype=np.int64, count=len(merged))
+        token = lambda i: data[starts[i] : ends[i]].tobytes()
+        # equal misses are merged once: by hash, with their bytes compared
+        _, first, inverse = np.unique(keys[missed], return_index=True, return_inverse=True)
+        same = lengths[missed] == lengths[missed[first[inverse]]]
+        same[same] = _same_bytes(data, starts[missed[same]], data, starts[missed[first[inverse[same]]]], lengths[missed[same]])
+        once = [self._miss(token(i)) for i in missed[first].tolist()]
+        for k in np.flatnonzero(~same).tolist():
+            inverse[k] = len(once)
+            once.append(self._miss(token(missed[k])))
+        sizes = np.fromiter(map(len, once), dtype=np.int64, count=len(once))
+        counts[missed] = sizes[inverse]
         begin = np.concatenate([[0], np.cumsum(counts)])
         ids = np.zeros(begin[-1], dtype=np.int32)
         ids[begin[:-1][hit]] = self.id[slot[hit]]
         if len(missed):
-            many = np.fromiter((x for m in merged for x in m), dtype=np.int32)
-            within = np.arange(len(many)) - np.repeat(np.cumsum(counts[missed]) - counts[missed], counts[missed])
-            ids[np.repeat(begin[missed], counts[missed]) + within] = many
-        return ids, begin[np.concatenate([[0], np.cumsum(per_text)])]
+            merged = np.fromiter(itertools.chain.from_iterable(once), dtype=np.int32, count=sizes.sum())
+            of = counts[missed]
+            within = np.arange(of.sum()) - np.repeat(np.cumsum(of) - of, of)
+            ids[np.repeat(begin[missed], of) + within] = merged[np.repeat((np.cumsum(sizes) - sizes)[inverse], of) + within]
+        return ids, begin[np.searchsorted(at, offsets)]
+
+
+def _same_bytes(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether each span of ``a`` has the bytes of its span of ``b``."""
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    step = np.arange(bounds[-1]) - np.repeat(bounds[:-1], lengths)
+    differ = a[np.repeat(a_start, lengths) + step] != b[np.repeat(b_start, lengths) + step]
+    return segment_sums(differ.astype(np.int64), bounds) == 0
 
 
 @functools.cache
@@ -219,5 +277,16 @@ def encoded(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def token_counts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """``<id_col>, n_tokens``: the length of each text in tokens."""
-    return encoded(documents, id_col, text_col, path).select(id_col, F.size("ids").cast("bigint").alias("n_tokens"))
+    """``<id_col>, n_tokens``: the length of each text in tokens; only the lengths leave the workers."""
+    sent = documents.sparkSession.sparkContext.broadcast(encoder(path or vocabulary_path()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for batch in batches:
+            texts = batch["text"].to_pylist()
+            for lo, hi in chunks(texts):
+                yield pa.RecordBatch.from_arrays([batch["id"].slice(lo, hi - lo), pa.array(np.diff(known.encode_batch(texts[lo:hi])[1]), pa.int64())], names=["id", "n_tokens"])
+
+    kind = documents.schema[id_col].dataType.simpleString()
+    slim = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return spread(slim).mapInArrow(run, f"id {kind}, n_tokens bigint").withColumnRenamed("id", id_col)

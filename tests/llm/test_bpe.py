@@ -52,6 +52,26 @@ def test_pretokens_of_random_letters(both):
     check(both, ["".join(rng.choice("etaoin shrdlu") for _ in range(rng.randrange(80))) for _ in range(500)])
 
 
+def test_pretokens_are_those_of_the_pattern():
+    """Character classes, apostrophes, blanks and line ends in every order."""
+    import regex
+
+    from lensmill.llm.batch import codepoints
+
+    pattern, rng = regex.compile(bpe.PATTERN), random.Random(3)
+    alphabet = "ab'stmdrevl  \n\t.,!'’1２é漢\u3000\u00a0\r\u200bX²\u0301"
+    texts = ["", "don't", "'tis", "they'll've", "''s", " 's", "'s", "'", "a's b'sx 'll"] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(5_000)]
+    flat, offsets = codepoints(texts)
+    at = np.flatnonzero(bpe.pretoken_starts(flat, offsets))
+    whole = "".join(texts)
+    assert [whole[a:b] for a, b in zip(at, np.append(at[1:], len(whole)))] == [w for t in texts for w in pattern.findall(t)]
+
+
+def test_counts_are_the_lengths(spark, both):
+    frame = spark.createDataFrame([(1, "good game", 5), (2, None, 5), (None, "", 5)], "doc_id bigint, text string, n_tokens int")
+    assert sorted(map(str, map(tuple, bpe.token_counts(frame).collect()))) == sorted(map(str, [(1, 2), (2, 0), (None, 0)]))
+
+
 @settings(max_examples=200, deadline=None)
 @given(texts=st.lists(st.text(max_size=60), max_size=6))
 def test_any_text(both, texts):
