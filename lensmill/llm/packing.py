@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from lensmill.shared import cut
 
-#: Items that are packed together in one task; its leftover space is at most one container a size.
-CHUNK_ITEMS = 50_000
+#: Items that are packed together; the leftover space of a chunk is at most one container a size. And tasks that pack at most.
+CHUNK_ITEMS, MOST_TASKS = 10_000, 20_000
 
 
 class _Remaining:
@@ -107,7 +107,8 @@ def packed(items: DataFrame, capacities: Sequence[int], id_col: str = "doc_id",
     pieces = sized.select("id", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("piece"))
     pieces = pieces.withColumn("start", F.col("piece") * largest).withColumn("n_tokens", F.least(F.col("size") - F.col("start"), F.lit(largest)))
     count = max(1, -(-items.count() // chunk_items))
-    spread = pieces.withColumn("chunk", F.pmod(F.xxhash64("id", "piece"), F.lit(count)))
+    # as many partitions as chunks, or tasks would hold many: pieces are so small that they would be joined
+    spread = pieces.withColumn("chunk", F.pmod(F.xxhash64("id", "piece"), F.lit(count))).repartition(min(count, MOST_TASKS), "chunk")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["id", "piece"], kind="stable")
