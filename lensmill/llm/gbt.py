@@ -35,7 +35,7 @@ class Trees:
         return out
 
 
-def train(x: np.ndarray, y: np.ndarray, monotone: list[int], trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 64, least: int = 8) -> Trees:
+def train(x: np.ndarray, y: np.ndarray, monotone: list[int], trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 128, least: int = 8) -> Trees:
     """Least-squares boosting. ``monotone[f]`` is +1 or -1 if the prediction must not fall or rise in feature f, else 0.
 
     A split that breaks a constraint is refused, and the two halves of an allowed one are bounded by

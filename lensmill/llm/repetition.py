@@ -2,8 +2,8 @@
 
 A document is reduced to its letters. A letter stands in a repeat if it is covered by a run of
 letters that began before at an earlier place in the same document; the first occurrence does not
-count. Boosted trees with monotonic constraints estimate that share from cheap statistics of whole
-batches; what may reach the threshold is then measured exactly.
+count. Boosted trees with monotonic constraints give that share from statistics of whole batches;
+they are trained on texts whose share is measured exactly, which needs a loop over every letter.
 """
 
 from __future__ import annotations
@@ -25,11 +25,14 @@ LEAST_LETTERS = 30
 RUN, RUN_DENSE = 12, 6
 #: Rows the trees are trained on at most (as many again are made from them).
 TRAIN_ROWS = 4_000
-#: Estimated share from which a document is measured exactly; well below the share that is found.
-SCREEN = 0.3
+#: Characters of a text that is trained on at most: measuring one takes memory for each letter. Texts of any length are scored.
+TRAIN_CHARS = 50_000
+#: Made texts there are at least, so that a small table trains as good trees, and words of a text that one is made of.
+MADE_ROWS, MADE_WORDS = 2_000, 400
+#: Share from which a document is repetitive.
 FOUND = 0.5
 #: Window lengths of the statistics, and the direction in which each statistic may move the estimate.
-WINDOWS = (4, 8, 16, 32)
+WINDOWS = (4, 6, 12, 24)
 MONOTONE = [1, 1, 1, 1, -1, 0, 0]
 
 
@@ -126,16 +129,17 @@ def exact_share(text: str) -> float | None:
     return covered / n
 
 
-def _made(texts: list[str]) -> list[str]:
-    """Texts that repeat parts of ``texts`` to various degrees, so that the trees see every share."""
+def _made(texts: list[str], least: int = MADE_ROWS) -> list[str]:
+    """Texts that repeat parts of ``texts`` to various degrees, so that the trees see every share: one of each, and ``least`` at least."""
     rng = np.random.default_rng(5)
+    worded = [w for t in texts if (w := t.split())]
     out = []
-    for text in texts:
-        words = text.split()
-        if not words:
-            continue
+    for i in range(max(len(worded), least) if worded else 0):
+        words = worded[i % len(worded)]
+        start = int(rng.integers(0, max(1, len(words) - MADE_WORDS + 1)))
+        words = words[start : start + MADE_WORDS]
         unit = words[: max(1, int(rng.integers(1, 12)))]
-        times = int(rng.integers(2, 12))
+        times = int(rng.choice([1, rng.integers(2, 12), rng.integers(12, 60)], p=[0.2, 0.65, 0.15]))
         tail = words[: int(rng.integers(0, len(words) + 1))]
         parts = [" ".join(unit) + (f" {i}." if rng.random() < 0.3 else ".") for i in range(times)]
         out.append(" ".join(parts + tail) if rng.random() < 0.5 else " ".join(tail + parts))
@@ -144,19 +148,18 @@ def _made(texts: list[str]) -> list[str]:
 
 def trained(rows: DataFrame, text_col: str, most: int = TRAIN_ROWS) -> gbt.Trees:
     """Trees for the share of repeated letters, trained on at most ``most`` texts (taken by hash) and as many made ones."""
-    texts = [r[0] for r in hash_sample(rows.where(F.length(text_col) >= LEAST_LETTERS).select(text_col), most)]
+    texts = [r[0] for r in hash_sample(rows.where(F.length(text_col) <= TRAIN_CHARS).select(text_col), most) if r[0]]
     texts += _made(texts)
     labelled = [(t, share) for t in texts if (share := exact_share(t)) is not None]
     x, _ = statistics([t for t, _ in labelled])
     return gbt.train(x, np.array([share for _, share in labelled]), MONOTONE)
 
 
-def repetition(rows: DataFrame, id_col: str, text_col: str, screen: float = SCREEN, most: int = TRAIN_ROWS) -> DataFrame:
-    """``id, share, exact``: for each row the share of its letters that stand in repeats.
+def repetition(rows: DataFrame, id_col: str, text_col: str, most: int = TRAIN_ROWS) -> DataFrame:
+    """``id, share``: for each row the share of its letters that stand in repeats, by the trees.
 
-    The share is the trees' estimate, or the measured value where the estimate reaches ``screen``
-    (``exact`` is true). Null texts and those under 30 letters have a null share. Rows are kept one
-    by one, repeated ids and null ids included.
+    Null texts and those under 30 letters have a null share. Rows are kept one by one, repeated ids
+    and null ids included. Every letter of a text goes into its statistics, however long it is.
     """
     spark = rows.sparkSession
     trees = spark.sparkContext.broadcast(trained(rows, text_col, most))
@@ -166,20 +169,15 @@ def repetition(rows: DataFrame, id_col: str, text_col: str, screen: float = SCRE
         for batch in batches:
             texts = batch["text"].to_pylist()
             for lo, hi in chunks(texts):
-                part = [t or "" for t in texts[lo:hi]]
-                x, letters = statistics(part)
-                share = np.clip(known.score(x), 0, 1)
-                exact = (share >= screen) & (letters >= LEAST_LETTERS)
-                for i in np.flatnonzero(exact):
-                    share[i] = exact_share(part[i])
-                shares = pa.array(share, pa.float64(), mask=letters < LEAST_LETTERS)
-                yield pa.RecordBatch.from_arrays([batch["id"].slice(lo, hi - lo), shares, pa.array(exact)], names=["id", "share", "exact"])
+                x, letters = statistics([t or "" for t in texts[lo:hi]])
+                shares = pa.array(np.clip(known.score(x), 0, 1), pa.float64(), mask=letters < LEAST_LETTERS)
+                yield pa.RecordBatch.from_arrays([batch["id"].slice(lo, hi - lo), shares], names=["id", "share"])
 
     kind = rows.schema[id_col].dataType.simpleString()
     slim = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return spread(slim).mapInArrow(run, f"id {kind}, share double, exact boolean")
+    return spread(slim).mapInArrow(run, f"id {kind}, share double")
 
 
 def repetitive(rows: DataFrame, id_col: str, text_col: str, found: float = FOUND) -> DataFrame:
-    """``id`` of every document of which a measured share of ``found`` or more repeats itself, once each."""
-    return repetition(rows, id_col, text_col).where(F.col("exact") & (F.col("share") >= found)).select("id").distinct()
+    """``id`` of every document of which a share of ``found`` or more repeats itself, once each."""
+    return repetition(rows, id_col, text_col).where(F.col("share") >= found).select("id").distinct()

@@ -77,6 +77,20 @@ def test_held_out_error_of_the_estimate():
     assert np.abs(trees.score(x[test]) - share[test]).mean() < 0.03
 
 
+def test_trees_alone_find_what_is_measured():
+    """Recall and precision of the trees at the threshold, with no measurement behind them."""
+    rng = np.random.default_rng(8)
+    words = [f"{a}{b}{c}" for a in "bdfgkl" for b in ("ora", "eni", "ust") for c in ("m", "st", "ve", "n")]
+    honest = [" ".join(rng.choice(words, 40)) for _ in range(600)]
+    texts = [t for t in honest + repetition._made(honest) if repetition.exact_share(t) is not None]
+    share = np.array([repetition.exact_share(t) for t in texts])
+    x, _ = repetition.statistics(texts)
+    train = np.arange(len(texts)) % 2 == 0
+    score = gbt.train(x[train], share[train], repetition.MONOTONE).score(x[~train])
+    clear = np.abs(share[~train] - repetition.FOUND) > 0.05
+    assert clear.sum() > 400 and ((score >= repetition.FOUND) == (share[~train] >= repetition.FOUND))[clear].all()
+
+
 def test_rows(spark):
     rows = [("a", "spam and eggs " * 20), ("a", "spam and eggs " * 20), ("b", HONEST), ("c", None), ("d", ""), ("e", "tiny"), (None, "lol" * 40), ("long", HONEST * 3_000)]
     frame = spark.createDataFrame([(i, t, "clash", 1.0) for i, t in rows], "id string, review string, text string, share double")
