@@ -215,6 +215,11 @@ def _named(label_col: str) -> Column:
     return F.lower(F.regexp_replace(label_col, r"(?U)^\s+|\s+$", ""))
 
 
+def _said(label_col: str, names: dict[str, str]) -> Column:
+    """The language that a label names, or null."""
+    return F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[_named(label_col)] if names else F.lit(None).cast("string")
+
+
 def label_names(codes: DataFrame) -> dict[str, str]:
     """What a label may say (in lower case) and the language it then names; the table is small and fixed."""
     names = {}
@@ -224,20 +229,23 @@ def label_names(codes: DataFrame) -> dict[str, str]:
 
 
 def trained(rows: DataFrame, label_col: str, text_col: str, names: dict[str, str], most: int = TRAIN_ROWS) -> Model:
-    """Learned from at most ``most`` rows whose label names a language, taken by hash."""
-    label = _named(label_col)
-    got = hash_sample(rows.where(label.isin(list(names)) & (F.length(text_col) >= 12)).select(label.alias("label"), F.col(text_col).alias("text")), most)
+    """Learned from at most ``most`` rows whose label names a language, taken by hash, as many of each language as far as there are."""
     languages = sorted(set(names.values()))
     number = {k: i for i, k in enumerate(languages)}
-    return learn([r.text for r in got], np.array([number[names[r.label]] for r in got], dtype=np.int64), languages)
+    said = _said(label_col, names)
+    got = [r for r in hash_sample(rows.select(said.alias("label"), F.col(text_col).alias("text")), most, "label") if r.text]
+    return learn([r.text for r in got], np.array([number[r.label] for r in got], dtype=np.int64), languages)
 
 
 def languages_of(rows: DataFrame, id_col: str, label_col: str, text_col: str, codes: DataFrame, most: int = TRAIN_ROWS, least: float = SURE) -> DataFrame:
-    """``id, label, start, end, language, confidence, sentences``: the parts of each text, in one language each.
+    """``id, label, start, end, language, confidence, sentences, main, main_confidence``: the parts of each text, in one language each.
 
     Neighbouring sentences of one language form a part; those too short or unsure (under ``least``)
     to tell join the part before them, or after at the start. A text without a full sentence has one part with a null language and confidence 0, so null,
-    empty and blank texts come out too. ``label`` is the language that the label names, or null.
+    empty and blank texts come out too. ``label`` is the language that the label names, or null. ``main`` is
+    the language of most of the text's full sentences, by characters, and ``main_confidence`` how much
+    of them it has, weighted by their confidence; a text's first part starts at 0, so the parts that
+    start there are one row for each text.
     """
     spark = rows.sparkSession
     names = label_names(codes)
@@ -261,6 +269,7 @@ def languages_of(rows: DataFrame, id_col: str, label_col: str, text_col: str, co
                 bounds = np.append(at, len(keep))
                 weight = segment_sums(sizes, bounds)
                 confidence = segment_sums(sizes * sure[keep], bounds) / np.maximum(weight, 1)
+                main, main_sure = _main(doc, lang, sizes, sure[keep], len(part), len(known.languages))
                 sentences = np.diff(bounds)
                 first = np.ones(len(at), dtype=bool)
                 first[1:] = doc[at][1:] != doc[at][:-1]
@@ -274,16 +283,34 @@ def languages_of(rows: DataFrame, id_col: str, label_col: str, text_col: str, co
                 pick = lambda a, b, order=order: np.concatenate([a, b])[order]
                 zeros = np.zeros(len(none), dtype=np.int64)
                 language = np.array([*known.languages, None], dtype=object)[pick(lang[at], zeros - 1)]
+                owned = owner[order]
                 where = pa.array(owner[order] + lo)
                 yield pa.RecordBatch.from_arrays(
                     [batch["id"].take(where), batch["label"].take(where), pa.array(pick(begin, zeros)), pa.array(pick(stop, length[none])), pa.array(language, pa.string()),
-                     pa.array(pick(confidence, zeros.astype(float))), pa.array(pick(sentences, zeros))],
-                    names=["id", "label", "start", "end", "language", "confidence", "sentences"],
+                     pa.array(pick(confidence, zeros.astype(float))), pa.array(pick(sentences, zeros)), pa.array(np.array([*known.languages, None], dtype=object)[main[owned]], pa.string()), pa.array(main_sure[owned])],
+                    names=["id", "label", "start", "end", "language", "confidence", "sentences", "main", "main_confidence"],
                 )
 
-    said = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[_named(label_col)] if names else F.lit(None).cast("string")
-    slim = rows.select(F.col(id_col).alias("id"), said.alias("label"), F.col(text_col).alias("text"))
-    return spread(slim).mapInArrow(run, f"id {kind}, label string, start bigint, end bigint, language string, confidence double, sentences bigint")
+    slim = rows.select(F.col(id_col).alias("id"), _said(label_col, names).alias("label"), F.col(text_col).alias("text"))
+    return spread(slim).mapInArrow(run, f"id {kind}, label string, start bigint, end bigint, language string, confidence double, sentences bigint, main string, main_confidence double")
+
+
+def _main(doc: np.ndarray, lang: np.ndarray, sizes: np.ndarray, sure: np.ndarray, docs: int, languages: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the language of most sentences of each document (-1: none), and its confidence."""
+    main, confidence = np.full(docs, -1), np.zeros(docs)
+    if len(doc):
+        each = np.bincount(doc * languages + lang, weights=sizes, minlength=docs * languages).reshape(docs, languages)
+        certain = np.bincount(doc * languages + lang, weights=sizes * sure, minlength=docs * languages).reshape(docs, languages)
+        total = each.sum(axis=1)
+        best = each.argmax(axis=1)
+        main = np.where(total > 0, best, -1)
+        confidence = certain[np.arange(docs), best] / np.maximum(total, 1)
+    return main, confidence
+
+
+def documents_of(parts: DataFrame) -> DataFrame:
+    """``id, label, language, confidence`` of each text from its parts, null and empty ones included."""
+    return parts.where("start = 0").select("id", "label", F.col("main").alias("language"), F.col("main_confidence").alias("confidence"))
 
 
 def unlabelled(rows: DataFrame, id_col: str, label_col: str, text_col: str, codes: DataFrame, most: int = TRAIN_ROWS, least: float = SURE) -> DataFrame:

@@ -59,6 +59,12 @@ def p5_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages_of(rows, "recommendationid", "language", "review", codes).withColumnRenamed("id", "recommendationid")
 
 
+def p5_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every review copy with its main language and confidence."""
+    rows, codes = _table(spark, sf_dir, "capture"), _table(spark, sf_dir, "language_code")
+    return langid.documents_of(langid.languages_of(rows, "recommendationid", "language", "review", codes)).withColumnRenamed("id", "recommendationid")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = foldhash.formatting_pairs(_table(spark, sf_dir, "capture"), "recommendationid", "review")
     return pairs.select(F.col("first_id").alias("recommendationid_a"), F.col("id").alias("recommendationid_b"))
@@ -87,7 +93,7 @@ def p10_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.scored(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p2_shares, p3_found, p3_ranked, p4_found, p4_sample, p4_report, p5_found, p5_parts, p7_found, p7_collapsed, p8_ids, p9_packed, p10_found, p10_scored)}
+QUERIES = {q.__name__: q for q in (p2_found, p2_shares, p3_found, p3_ranked, p4_found, p4_sample, p4_report, p5_found, p5_parts, p5_documents, p7_found, p7_collapsed, p8_ids, p9_packed, p10_found, p10_scored)}
 
 _RANKED = """ranked AS (
   SELECT appid, recommendationid, score, votes, row_number() OVER (PARTITION BY appid ORDER BY score DESC, votes DESC, recommendationid) AS k

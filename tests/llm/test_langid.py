@@ -96,6 +96,40 @@ def test_labels_and_parts(found):
     assert all(r.confidence > 0.9 for r in parts if r.language) and {r.language for r in parts if r.id in ("odd", "null", "empty")} == {None}
 
 
+def test_documents_have_one_language_each(found):
+    frame, codes = found
+    rows = langid.documents_of(langid.languages_of(frame, "rid", "language", "review", codes)).collect()
+    assert len(rows) == frame.count()
+    by = {r.id: r for r in rows}
+    assert by["mixed"].language in ("german", "spanish") and 0.4 < by["mixed"].confidence < 0.7
+    assert by["null"].language is by["odd"].language is None and by["null"].confidence == 0 and by["long"].language == "english"
+    truth = {i: t for i, _, _, t in corpus(300)}
+    assert all(by[i].language == t and by[i].confidence > 0.9 for i, t in truth.items())
+
+
+def test_sure_sentences_are_right():
+    """Held-out full sentences, a third of whose words are of another language: those called sure are right as often as said."""
+    rng = random.Random(4)
+    names = sorted(WORDS)
+    rows = corpus(300)
+    model = langid.learn([r[2] for r in rows], np.array([names.index(r[1]) for r in rows]), names)
+    test = [rng.choice(names) for _ in range(3_000)]
+    p = langid.parts([" ".join(rng.choice(WORDS[t if k % 3 else rng.choice(names)]) for k in range(6)) for t in test])
+    best, sure = model.score(p)
+    right = np.array([names[b] == test[d] for b, d in zip(best, p.doc)])
+    inside = p.full & (sure >= langid.SURE)
+    assert inside.sum() > 1_000 and right[inside].mean() >= langid.SURE
+
+
+def test_rare_languages_get_their_part_of_the_sample(spark):
+    rows = spark.range(20_000).selectExpr("if(id % 1000 = 0, 'rare', if(id % 2 = 0, 'a', 'b')) as label", "cast(id as string) as text").unionByName(spark.createDataFrame([(None, "x")], "label string, text string"))
+    from lensmill.llm.batch import hash_sample
+
+    got = [r.label for r in hash_sample(rows, 300, "label")]
+    assert got.count("rare") == 20 and got.count("a") == got.count("b") == 100
+    assert hash_sample(rows.where("label = 'none'"), 300, "label") == []
+
+
 def test_empty_tables(found):
     frame, codes = found
     assert langid.unlabelled(frame.limit(0), "rid", "language", "review", codes).count() == 0
