@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lensmill.arrays import mix64, powers, segment_sums  # noqa: F401  (used with these everywhere here)
@@ -34,17 +34,19 @@ def codepoints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.concatenate([[0], np.cumsum(lengths)])
 
 
-def hash_sample(rows: DataFrame, most: int, by: str | None = None) -> list:
+def hash_sample(rows: DataFrame, most: int, by: str | None = None, only: Column | None = None) -> list:
     """At most ``most`` different rows of ``rows``, by the hash of the whole row: the same on every run.
 
     Rows are kept by a threshold on their hash that lets about ``most`` through, and equal ones are
     merged where they are read, so neither the driver nor a task ever holds much more than that. With
     ``by`` every value of that column (there are few) gets an equal part of the sample, as far as it has rows.
+    ``only`` is a condition on the rows of the sample; it does not make the count read texts.
     """
     h = F.xxhash64(*rows.columns)
     keep = lambda total, most: min(2**63 - 1, -(2**63) + 2**64 * 6 * most // (5 * max(total, most)))
     if by is None:
         kept = rows.withColumn("__h", h).where(F.col("__h") <= keep(rows.count(), most))
+        kept = kept if only is None else kept.where(only)
         return kept.dropDuplicates(["__h"]).orderBy("__h").limit(most).drop("__h").collect()
     sizes = {r[0]: r[1] for r in rows.groupBy(by).count().collect() if r[0] is not None}  # narrow: only this column is read
     each = max(1, most // max(1, len(sizes)))

@@ -148,7 +148,7 @@ def _made(texts: list[str], least: int = MADE_ROWS) -> list[str]:
 
 def trained(rows: DataFrame, text_col: str, most: int = TRAIN_ROWS) -> gbt.Trees:
     """Trees for the share of repeated letters, trained on at most ``most`` texts (taken by hash) and as many made ones."""
-    texts = [r[0] for r in hash_sample(rows.where(F.length(text_col) <= TRAIN_CHARS).select(text_col), most) if r[0]]
+    texts = [r[0] for r in hash_sample(rows.select(text_col), most, only=F.length(text_col) <= TRAIN_CHARS) if r[0]]
     texts += _made(texts)
     labelled = [(t, share) for t in texts if (share := exact_share(t)) is not None]
     x, _ = statistics([t for t, _ in labelled])
