@@ -1,17 +1,19 @@
 """Pages made of keywords, tags, product names or links in place of sentences.
 
 A document is cut into windows of about a sentence or two, never across a blank line. A window is
-spam by thresholds on its link-text ratio, its share of function words, its separator density and
-how few different words it keeps repeating. Over the whole document, the share of lines said before
-and that of its top word find what no window can see: one long line said again and again. The
-function words and all thresholds come from the corpus itself, language by language: from document
-frequencies and from the median document of each language, counted over all documents. A document
-is spam if more than half of its text lies in such windows or lines.
+spam by thresholds on its link-text ratio, its share of function words, its separator density, its
+share of repeated bigrams and how few different words it has. Over the whole document, the share of
+lines said before and that of its top word find what no window can see: one long line said again and
+again. The function words and all thresholds come from the corpus itself, language by language: from
+document frequencies and from the median document of each language, counted over all documents. A
+document is spam if more than half of its text lies in such windows or lines.
+
+A window cannot be told by its function words where the language has none, or where no language
+knows half of the window's short words.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,140 +23,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lensmill.llm.batch import chunks
+from lensmill.llm.pages import Lexicon, measure, said_again, short_words, spans, word_hashes  # noqa: F401
 from lensmill.shared import cut, spread
 
-#: Characters of a window, about; a line is cut at spaces beyond one and a half of it.
-WINDOW = 240
-#: A function word is at most so many letters long and in this share of its language's documents; single characters of dense scripts need more.
-WORD_LETTERS, COMMON, COMMON_DENSE = 4, 0.3, 0.7
+#: A function word is in this share of its language's documents; single characters of dense scripts need more.
+COMMON, COMMON_DENSE = 0.3, 0.7
+#: Share of a language's documents that a short word is in to be known there, and different short words of a window from which it can be strange.
+KNOWN, STRANGE_WORDS = 0.002, 8
 #: Documents from which a language's own counts are used.
 LANGUAGE_DOCUMENTS = 20
 #: Thresholds as parts of the language's median window: function words alone; with many separators; variety of words.
 FEW_FUNCTION, FEW_WITH_SEPARATORS, LITTLE_VARIETY = 0.42, 0.62, 0.43
 #: Separators a word that count as many, at least and as a multiple of the language's median.
 MANY_SEPARATORS, SEPARATOR_MULTIPLE = 0.16, 2.0
-#: Times as many are needed where a language has no function words.
+#: Times as many are needed where a window cannot be told by its function words.
 SEPARATORS_ALONE = 1.5
-#: Share of links and their labels in a window of links; share of repeated bigrams that backs little variety.
-LINKS, REPEATED = 0.6, 0.35
+#: Share of links and their labels in a window of links, at least and as a multiple of the language's median.
+LINKS, LINK_MULTIPLE = 0.6, 2.0
+#: Share of repeated bigrams that backs little variety, at least and as a multiple of the language's median.
+REPEATED, REPEATED_MULTIPLE = 0.35, 3.0
 #: Share of the text that must be spam, and words or links below which a text is too short to tell.
 FOUND, LEAST_WORDS, LEAST_LINKS = 0.5, 8, 2
 #: A document whose lines said before make up ``FOUND`` of it is spam if its top content word has so many times the share it has in the median document of the language.
 TOP_MULTIPLE = 2.0
 #: Bins of the histograms from which medians are read; top words have small shares and wider bins.
 BINS, TOP_SCALE = 200, 5
-
-_DENSE = "぀-ヿ㐀-鿿豈-﫿"
-_WORD = re.compile(rf"[{_DENSE}]|(?:(?![{_DENSE}])[^\W\d_])+")
-_URL = r"(?:https?://|www\.)[^\s<>\"')\]]+|(?<![\w.@])[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}/[^\s<>\"')\]]*"
-_LINK = re.compile(_URL)
-_LABELLED = re.compile(rf"<a\s[^>]*>.*?</a>|\[[^\]\n]*\]\((?:{_URL})\)|{_URL}", re.S)
-#: A separator, or a line of a few words, whose end then separates as well.
-_SEPARATOR = re.compile(r"[,/|•·»>#;\t]|^(?:[^\s]+[ ]+){0,4}[^\s]+\s*\n", re.M)
-_LINE = re.compile(r"(?<=\n)")
+#: Characters of which one batch of arrays is made.
+AT_ONCE = 400_000
 
 
 def windows(text: str) -> list[str]:
-    """The text in windows of about ``WINDOW`` characters that together make it up whole."""
-    out, held = [], ""
-    for line in _LINE.split(text.replace("\r\n", "\n")):
-        if not line.strip():
-            if held:
-                out.append(held + line)
-                held = ""
-            continue
-        at, long = 0, WINDOW * 3 // 2
-        if held and len(held) + len(line) > long:
-            out.append(held)
-            held = ""
-        while len(line) - at > long:
-            cut = line.rfind(" ", at + WINDOW // 2, at + WINDOW)
-            cut = at + WINDOW if cut < 0 else cut
-            out.append(line[at:cut])
-            at = cut
-        held += line[at:]
-        if len(held) >= WINDOW:
-            out.append(held)
-            held = ""
-    return [*out, held] if held else out
-
-
-@dataclass
-class Window:
-    size: int  # visible characters
-    words: int
-    links: int
-    language: int  # number of the language whose function words it has most of; the number of languages if its own has none
-    function: float  # share of words that are function words of that language
-    variety: float  # different content words a content word
-    content: int
-    repeated: float  # share of bigrams that occur again
-    counts: Counter  # of content words
-    separators: float  # a word
-    link_share: float  # of links and their labels
-
-
-def measure(text: str, lexicon: dict[str, int], languages: int) -> Window:
-    """Statistics of one window; ``lexicon`` has for each function word the bits of its languages."""
-    size = sum(map(len, text.split()))
-    links, linked = 0, 0
-    if "." in text or "<a" in text:
-        for line in text.split("\n"):
-            spans = _LABELLED.findall(line)
-            if spans:
-                links += len(spans)
-                whole = sum(map(len, spans))
-                plain = sum(map(len, line.split()))
-                linked += plain if len(_WORD.findall(_LABELLED.sub(" ", line))) <= 6 * len(spans) and whole * 3 >= plain else min(whole, plain)
-        body = _LINK.sub(" ", text)
-    else:
-        body = text
-    words = _WORD.findall(body.lower())
-    hits = [0] * languages
-    content = []
-    for w in words:
-        bits = lexicon.get(w, 0)
-        if bits:
-            k = 0
-            while bits:
-                if bits & 1:
-                    hits[k] += 1
-                bits >>= 1
-                k += 1
-        else:
-            content.append(w)
-    best = max(range(languages), key=hits.__getitem__, default=0) if languages else 0
-    n = len(words)
-    pairs = Counter(zip(words, words[1:]))
-    counts = Counter(content)
-    return Window(
-        size, n, links, best, hits[best] / n if n and languages else 0.0, len(counts) / len(content) if content else 1.0, len(content),
-        sum(v for v in pairs.values() if v > 1) / (n - 1) if n > 1 else 0.0, counts,
-        len(_SEPARATOR.findall(body)) / n if n else 0.0, linked / size if size else 0.0,
-    )
-
-
-def said_again(text: str) -> float:
-    """Share of the text, by visible characters, in lines that were said before in it; case and spaces do not matter."""
-    seen: set[str] = set()
-    again = total = 0
-    for line in text.splitlines():
-        parts = line.lower().split()
-        if parts:
-            size, key = sum(map(len, parts)), " ".join(parts)
-            total += size
-            if key in seen:
-                again += size
-            seen.add(key)
-    return again / total if total else 0.0
-
-
-def top_share(found: list[Window]) -> float:
-    """Share of the most frequent content word among all words of a document."""
-    counts: Counter = Counter()
-    for w in found:
-        counts.update(w.counts)
-    return max(counts.values()) / sum(w.words for w in found) if counts else 0.0
+    """The text in its windows."""
+    return [text[a:b] for a, b in spans(text)]
 
 
 @dataclass
@@ -164,6 +65,8 @@ class Thresholds:
     separators: list[float]
     variety: list[float]
     top: list[float]
+    repeated: list[float]
+    links: list[float]
 
 
 #: What is kept of each window, and the type of its column; a window takes some 40 bytes.
@@ -173,14 +76,14 @@ _KEPT = {"size": np.int32, "words": np.int32, "language": np.int32, "content": n
 def spam_windows(w: dict[str, np.ndarray], t: Thresholds) -> np.ndarray:
     """Which of the windows are spam; ``w`` has an array for each statistic.
 
-    Where a language has no function words, no rule asks for them, and separators must stand out more.
+    Where a window cannot be told by function words, no rule asks for them, and separators must stand out more.
     """
     at = lambda name: np.array(getattr(t, name))[w["language"]]
     known = w["language"] < len(t.function) - 1
     few = (w["function"] < at("function")) & ((w["function"] * 1.5 < at("function")) | (w["variety"] < 2 * at("variety")) | (w["separators"] >= at("separators")))
     listed = np.where(known, w["function"] < at("with_separators"), w["separators"] >= SEPARATORS_ALONE * at("separators")) & (w["separators"] >= at("separators"))
-    same = (w["content"] >= 12) & (w["variety"] < at("variety")) & (w["repeated"] >= REPEATED)
-    return (w["link_share"] >= LINKS) | (w["words"] >= 3) & (known & few | listed | same)
+    same = (w["content"] >= 12) & (w["variety"] < at("variety")) & (w["repeated"] >= at("repeated"))
+    return (w["link_share"] >= at("links")) | (w["words"] >= 3) & (known & few | listed | same)
 
 
 def _clean(documents: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
@@ -192,50 +95,65 @@ def _short_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many documents of each language a short word is in, and under '' how many there are, added up for each batch."""
     for batch in batches:
         counts: Counter = Counter()
-        for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist()):
-            if text and lang:
-                counts[lang, ""] += 1
-                counts.update((lang, w) for w in set(_WORD.findall(_LINK.sub(" ", text).lower())) if len(w) <= WORD_LETTERS)
+        texts, langs = batch["text"].to_pylist(), batch["lang"].to_pylist()
+        for lo, hi in chunks(texts, AT_ONCE):
+            part = [t if lang else None for t, lang in zip(texts[lo:hi], langs[lo:hi])]
+            counts.update((lang, "") for t, lang in zip(part, langs[lo:hi]) if t)
+            doc, words, number = short_words(part)
+            names = sorted({lang for lang in langs[lo:hi] if lang})
+            place = {k: i for i, k in enumerate(names)}
+            own = np.array([place.get(lang, 0) for lang in langs[lo:hi]], dtype=np.int64)[doc]
+            keys, n = np.unique(own * max(1, len(words)) + number, return_counts=True)
+            for key, k in zip(keys.tolist(), n.tolist()):
+                counts[names[key // len(words)], words[key % len(words)]] += k
         keys = list(counts)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())], names=["lang", "word", "n"])
 
 
-def function_words(slim: DataFrame) -> tuple[dict[str, int], list[str]]:
-    """Function words with the bits of their languages, and the languages.
+def lexicon_of(slim: DataFrame) -> Lexicon:
+    """Function words and known short words of each language.
 
-    A document holds a bounded number of different short words, so at most a few thousand a language
-    can be in a third of its documents; language codes have two letters. The result is small.
+    Documents hold some tens of different short words each, so some thousands a language can be in
+    ``KNOWN`` of its documents, and language codes have two letters: the result is small.
     """
     counts = cut(slim.mapInArrow(_short_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     totals = counts.where("word = ''").select("lang", F.col("n").alias("total")).where(F.col("total") >= LANGUAGE_DOCUMENTS)
     dense = F.col("word").rlike(r"^[぀-ヿ㐀-鿿]$")
-    common = counts.where("word <> ''").join(F.broadcast(totals), "lang").where(F.col("n") >= F.col("total") * F.when(dense, COMMON_DENSE).otherwise(COMMON))
-    rows = common.select("lang", "word").collect()
-    languages = sorted({r.lang for r in rows})
+    common = F.col("n") >= F.col("total") * F.when(dense, COMMON_DENSE).otherwise(COMMON)
+    rows = counts.where("word <> ''").join(F.broadcast(totals), "lang").where(F.col("n") >= F.col("total") * KNOWN).select("lang", "word", common.alias("function")).collect()
+    languages = sorted({r.lang for r in rows if r.function})
     number = {k: i for i, k in enumerate(languages)}
-    lexicon: dict[str, int] = {}
+    words = sorted({r.word for r in rows})
+    place = {w: i for i, w in enumerate(words)}
+    function, known = (np.zeros((len(words), len(languages)), dtype=bool) for _ in range(2))
     for r in rows:
-        lexicon[r.word] = lexicon.get(r.word, 0) | 1 << number[r.lang]
-    return lexicon, languages
+        if r.lang in number:
+            known[place[r.word], number[r.lang]] = True
+            function[place[r.word], number[r.lang]] = r.function
+    hashes = word_hashes(words)
+    order = np.argsort(hashes)
+    return Lexicon(languages, hashes[order], function[order], known[order])
 
 
-def measured(slim: DataFrame, lexicon: dict[str, int], languages: list[str]) -> DataFrame:
+def measured(slim: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``id, n_words, n_links, top, again`` of each document and the statistics of its windows as arrays. Cut: it is read twice."""
-    known = set(languages)
+    known = set(lexicon.languages)
+    sent = slim.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = sent.value
         for batch in batches:
-            found = [[measure(part, lexicon, len(languages)) for part in (windows(text) if text else ())] for text in batch["text"].to_pylist()]
-            for lang, f in zip(batch["lang"].to_pylist(), found):
-                if lang and lang not in known:
-                    for w in f:
-                        w.language = len(languages)
-            offsets = pa.array(np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum([len(f) for f in found], dtype=np.int64)]), pa.int32())
-            flat = [w for f in found for w in f]
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.array([getattr(w, name) for w in flat], dtype=kind))) for name, kind in _KEPT.items()]
-            sums = [pa.array([sum(getattr(w, name) for w in f) for f in found], pa.int64()) for name in ("words", "links")]
-            whole = [pa.array([top_share(f) for f in found], pa.float32()), pa.array([said_again(text) if text else 0.0 for text in batch["text"].to_pylist()], pa.float32())]
-            yield pa.RecordBatch.from_arrays([batch["id"], *sums, *whole, *lists], names=["id", "n_words", "n_links", "top", "again", *_KEPT])
+            texts, langs = batch["text"].to_pylist(), batch["lang"].to_pylist()
+            for lo, hi in chunks(texts, AT_ONCE):
+                p = measure(texts[lo:hi], words, STRANGE_WORDS)
+                foreign = np.array([bool(lang) and lang not in known for lang in langs[lo:hi]], dtype=bool)
+                p.language = np.where(np.repeat(foreign, p.windows) | p.strange, len(words.languages), p.language)
+                ends = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(p.windows)])
+                offsets = pa.array(ends, pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(getattr(p, name).astype(kind))) for name, kind in _KEPT.items()]
+                total = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(p.words)])
+                flat = [pa.array(total[ends[1:]] - total[ends[:-1]], pa.int64()), pa.array(p.links), pa.array(p.top.astype(np.float32)), pa.array(p.again.astype(np.float32))]
+                yield pa.RecordBatch.from_arrays([batch["id"].slice(lo, hi - lo), *flat, *lists], names=["id", "n_words", "n_links", "top", "again", *_KEPT])
 
     kind = slim.schema["id"].dataType.simpleString()
     columns = ", ".join(f"{name} array<{'int' if t is np.int32 else 'float'}>" for name, t in _KEPT.items())
@@ -254,7 +172,7 @@ def thresholds(table: DataFrame, languages: list[str]) -> Thresholds:
     A document counts once, with the means of its windows of at least 12 words, under the language
     most of them are in, and its top word with its share of the whole; so a few endless pages do not move the medians.
     """
-    names = ("function", "separators", "variety", "top")
+    names = ("function", "separators", "variety", "top", "repeated", "link_share")
     many = len(languages) + 1  # the last: documents of languages without function words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,9 +203,10 @@ def thresholds(table: DataFrame, languages: list[str]) -> Thresholds:
     hist = np.where((total >= LANGUAGE_DOCUMENTS)[:, :, None], hist, overall[None])
     half = np.cumsum(hist, axis=2) * 2 >= hist.sum(axis=2, keepdims=True)
     median = (half.argmax(axis=2) + 0.5) / BINS
-    f, s, v, top = median.T
+    f, s, v, top, repeated, links = median.T
     f[-1] = 0.0
-    return Thresholds((FEW_FUNCTION * f).tolist(), (FEW_WITH_SEPARATORS * f).tolist(), np.maximum(MANY_SEPARATORS, SEPARATOR_MULTIPLE * s).tolist(), (LITTLE_VARIETY * v).tolist(), (TOP_MULTIPLE * top / TOP_SCALE).tolist())
+    floors = (np.maximum(MANY_SEPARATORS, SEPARATOR_MULTIPLE * s), LITTLE_VARIETY * v, TOP_MULTIPLE * top / TOP_SCALE, np.clip(REPEATED_MULTIPLE * repeated, REPEATED, 1), np.clip(LINK_MULTIPLE * links, LINKS, 1))
+    return Thresholds((FEW_FUNCTION * f).tolist(), (FEW_WITH_SEPARATORS * f).tolist(), *(x.tolist() for x in floors))
 
 
 def scored(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -297,13 +216,14 @@ def scored(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null, empty and blank texts have share 0, as have texts too short to tell. Every row comes out,
     repeated and null ids included. A null or unusual language label does no harm: the language of
     each window is that of the function words it has. Documents whose label names a language with
-    too few documents for function words are judged by separators, links and variety alone. Texts are read twice: for the function words
+    too few documents for function words, and windows whose short words no language knows, are
+    judged by separators, links and variety alone. Texts are read twice: for the function words
     and for the statistics of windows, from which both thresholds and decisions are made.
     """
     slim = _clean(documents, id_col, text_col, lang_col)
-    lexicon, languages = function_words(slim)
-    table = measured(slim, lexicon, languages)
-    limits = thresholds(table, languages)
+    lexicon = lexicon_of(slim)
+    table = measured(slim, lexicon)
+    limits = thresholds(table, lexicon.languages)
     kind = documents.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

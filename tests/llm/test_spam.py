@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from lensmill.llm import spam
+from lensmill.llm import pages, spam
 
 SUBJECTS = ["the map", "the story", "the music", "my clan", "this old patch", "the shop", "a boss", "the save menu"]
 VERBS = ["is simple to learn and hard to put down", "was the reason that i came back to it", "takes far too long for what it is", "has more depth than you can see at first", "works well on my old laptop", "asks for patience that i do not have"]
@@ -97,7 +97,7 @@ def test_windows_make_up_the_whole_text():
     for text in (honest(rng, 40), "x" * 5_000, "a\n\nb\n" * 100, "", "one line"):
         parts = spam.windows(text)
         assert "".join("".join(parts).split()) == "".join(text.split())
-        assert all(len(p) <= 2 * spam.WINDOW for p in parts)
+        assert all(len(p) <= 2 * pages.WINDOW for p in parts)
 
 
 def test_empty(shares):
