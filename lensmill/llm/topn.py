@@ -25,26 +25,32 @@ def heavy_groups(rows: DataFrame, group: str, heavy_rows: int = HEAVY_ROWS) -> l
     return [r[0] for r in counts.orderBy(F.desc("n")).limit(MOST_HEAVY).collect()]
 
 
-def top_n(items: DataFrame, group: str, order: Sequence[Column], n: int, heavy: list) -> DataFrame:
+def _hot(column: str, heavy: list) -> Column:
+    """Whether a row is of one of the ``heavy`` groups, of which one may be null."""
+    named = F.coalesce(F.col(column).isin([h for h in heavy if h is not None]), F.lit(False))
+    return named | F.col(column).isNull() if None in heavy else named
+
+
+def top_n(items: DataFrame, group: str, order: Sequence[Column], n: int, heavy: list, keyed: str | None = None) -> DataFrame:
     """The first ``n`` rows of each ``group`` by ``order`` (a total order), with their ``rank`` from 1.
 
     Light groups go through an ordinary window. A heavy group is split by salt and range sorted, so
-    that no task sorts it whole; each (group, salt) keeps its first ``n`` and the few survivors are
-    ranked again. A null group is a group like any other. Groups with fewer than ``n`` items come
-    out whole; columns beside the group and the order are carried along.
+    that no task sorts it whole: each range partition keeps its first ``n`` rows of a group where
+    they lie, and only these meet for the ranking. A null group is a group like any other. Groups
+    with fewer than ``n`` items come out whole; columns beside the group and the order are carried
+    along. ``keyed`` names a column that is never null, if there is one: with it the two branches
+    read the same exchange of ``items`` instead of scanning twice.
     """
-    is_heavy = F.coalesce(F.col(group).isin(heavy), F.lit(False)) if any(h is not None for h in heavy) else F.lit(False)
-    if None in heavy:
-        is_heavy = is_heavy | F.col(group).isNull()
+    is_hot = _hot(group, heavy)
+    if keyed:  # tied to a column made by the last aggregation, so that the split stays above it
+        is_hot = is_hot == F.col(keyed).isNotNull()
     within = Window.partitionBy(group).orderBy(*order)
-    light = items.where(~is_heavy).withColumn("rank", F.row_number().over(within)).where(F.col("rank") <= n)
+    ranked = lambda rows: rows.withColumn("rank", F.row_number().over(within)).where(F.col("rank") <= n)
     if not heavy:
-        return light
+        return ranked(items)
     salt = F.pmod(F.xxhash64(*items.columns), F.lit(SALTS)).alias("__salt")
-    salted = items.where(is_heavy).select("*", salt).repartitionByRange(partitions(items.sparkSession), F.col(group), F.col("__salt"), *order)
-    local = Window.partitionBy(group, "__salt").orderBy(*order)
-    kept = salted.withColumn("__local", F.row_number().over(local)).where(F.col("__local") <= n).drop("__local", "__salt")
-    return light.unionByName(kept.withColumn("rank", F.row_number().over(within)).where(F.col("rank") <= n))
+    salted = items.where(is_hot).select("*", salt).repartitionByRange(partitions(items.sparkSession), F.col(group), F.col("__salt"), *order)
+    return ranked(items.where(~is_hot)).unionByName(ranked(salted).drop("__salt"))
 
 
 def best_reviews(copies: DataFrame, n: int = 5, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
@@ -58,4 +64,4 @@ def best_reviews(copies: DataFrame, n: int = 5, heavy_rows: int = HEAVY_ROWS) ->
         F.max(F.coalesce("weighted_vote_score", F.lit(0.0))).alias("score"), F.max(F.coalesce("votes_up", F.lit(0))).alias("votes")
     )
     order = [F.desc("score"), F.desc("votes"), F.asc("recommendationid")]
-    return top_n(reviews, "appid", order, n, heavy_groups(rows.select("appid"), "appid", heavy_rows))
+    return top_n(reviews, "appid", order, n, heavy_groups(copies.select("appid"), "appid", heavy_rows), "score")

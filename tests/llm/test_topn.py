@@ -45,3 +45,13 @@ def test_ties_go_to_the_smaller_id_whatever_the_partitions(spark):
 def test_empty_and_small(spark):
     assert found(spark, [], 5, 1) == set()
     assert found(spark, [(1, "a", None, None)], 5, 1) == {(1, "a")}
+
+
+def test_both_branches_read_one_exchange(spark, tmp_path):
+    spark.range(2_000).selectExpr("if(id % 3 = 0, 1, id % 50) as appid", "cast(id as string) as recommendationid", "id / 7.0D as weighted_vote_score", "id % 5 as votes_up").write.parquet(f"{tmp_path}/t")
+    best = topn.best_reviews(spark.read.parquet(f"{tmp_path}/t"), 5, 500)
+    best.collect()
+    plan = best._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan") == 1 and "ReusedExchange" in plan and plan.count("rangepartitioning") == 1
+    # what meets after the range sort are at most n rows of a group and partition
+    assert "Partial" in plan.split("rangepartitioning")[0]
