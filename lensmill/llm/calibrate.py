@@ -32,7 +32,12 @@ def pool_items(pool: DataFrame) -> DataFrame:
 
 
 def cell_report(pool: DataFrame, targets: DataFrame) -> DataFrame:
-    """Every row of ``targets`` with ``wanted, available, reachable, gap`` of its (app, category) cell.
+    """``cell_counts`` of a raw pool."""
+    return cell_counts(pool_items(pool), targets)
+
+
+def cell_counts(items: DataFrame, targets: DataFrame) -> DataFrame:
+    """Every row of ``targets`` with ``wanted, available, reachable, gap`` of its (app, category) cell of ``items``.
 
     ``wanted`` is the greater of the floor and the rounded share of the sample; ``available`` counts
     distinct items. Nulls in a target count as 0; an app without a pool has nothing available.
@@ -40,7 +45,7 @@ def cell_report(pool: DataFrame, targets: DataFrame) -> DataFrame:
     n = F.coalesce("sample_size", F.lit(0))
     wanted = F.greatest(F.coalesce("min_rows", F.lit(0)), F.round(F.coalesce("target_share", F.lit(0.0)) * n).cast("bigint"))
     keyed = targets.select("app_id", "predicted", "target_share", "min_rows", "sample_size", normal_category("predicted").alias("category"), wanted.alias("wanted"))
-    moments = pool_items(pool).groupBy("app_id", "category").agg(F.count("*").alias("available"))
+    moments = items.groupBy("app_id", "category").agg(F.count("*").alias("available"))
     report = keyed.join(moments, ["app_id", "category"], "left").withColumn("available", F.coalesce("available", F.lit(0).cast("bigint")))
     return report.withColumn("reachable", F.least("wanted", "available")).withColumn("gap", F.col("wanted") - F.col("reachable"))
 
@@ -116,12 +121,9 @@ def _seed(*parts: object) -> int:
     return int(pd.util.hash_array(np.array(["|".join(map(str, parts))], dtype=object))[0])
 
 
-def inclusion(pool: DataFrame, targets: DataFrame) -> DataFrame:
-    """``app_id, pattern, p, items``: for each set of categories that items have, their probability."""
-    cells = cell_report(pool, targets).groupBy("app_id", "category").agg(F.max("wanted").alias("wanted"))
-    wanted = pool_items(pool).join(cells.select("app_id", "category"), ["app_id", "category"], "left_semi")
-    patterns = wanted.groupBy("app_id", "id").agg(F.array_sort(F.collect_set("category")).alias("pattern"))
-    sums = patterns.groupBy("app_id", F.array_join("pattern", "\x1f").alias("pattern")).agg(F.count("*").alias("items"))
+def inclusion(units: DataFrame, cells: DataFrame) -> DataFrame:
+    """``app_id, pattern, p, items``: for each set of categories that units (``app_id, id, pattern``) have, their probability."""
+    sums = units.groupBy("app_id", "pattern").agg(F.count("*").alias("items"))
 
     def solve(key: tuple, moments: pd.DataFrame, goal: pd.DataFrame) -> pd.DataFrame:
         if not len(moments):
@@ -144,12 +146,45 @@ def sampled(pool: DataFrame, targets: DataFrame, seed: int = 1) -> DataFrame:
     """``app_id, id, category`` of the sample: an item once for each of its wanted categories.
 
     The same rows on every run with one ``seed``. Floors are met wherever the pool allows: a cell
-    that the draw left below its floor is topped up with its next items in hash order.
+    that the draw left below its floor is topped up with its next items in hash order. The pool is
+    read once.
+    """
+    return drawn_from(cut(pool_items(pool)), targets, seed)
+
+
+def _place(seed: int) -> Column:
+    """The place of an item in the order of a seed, as 52 bits."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "app_id", "id"), 12)
+
+
+def first_of_cells(rest: DataFrame, seed: int, chunk: int | None = None) -> DataFrame:
+    """``app_id, id`` of the first ``missing`` items of each cell in the order of the seed.
+
+    A cell's order is cut into spans that hold about ``chunk`` items each; their counts say which
+    spans are taken whole and in which one the last item lies. Only that one is ranked, so no task
+    sorts a cell.
     """
-    cells = cell_report(pool, targets).groupBy("app_id", "category").agg(F.max("wanted").alias("wanted"), F.max(F.coalesce("min_rows", F.lit(0))).alias("floor"))
-    items = pool_items(pool).join(cells.select("app_id", "category"), ["app_id", "category"], "left_semi")
+    chunk = chunk or CHUNK_UNITS
+    cell = ["app_id", "category"]
+    placed = rest.withColumn("place", _place(seed))
+    sizes = placed.groupBy(*cell).agg(F.ceil(F.count("*") / chunk).alias("spans"))
+    in_span = checked_join(placed, sizes, cell, "inner").withColumn("span", F.floor(F.col("place") * F.col("spans") / float(1 << 52)))
+    counts = in_span.groupBy(*cell, "span").agg(F.count("*").alias("held"), F.max("missing").alias("missing"))
+    before = F.coalesce(F.sum("held").over(Window.partitionBy(*cell).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    reached = counts.withColumn("before", before).where("before < missing").select(*cell, "span", (F.col("before") + F.col("held") <= F.col("missing")).alias("whole"), (F.col("missing") - F.col("before")).alias("left"))
+    near = checked_join(in_span, reached, [*cell, "span"], "inner")
+    rank = F.row_number().over(Window.partitionBy(*cell, "span").orderBy("place", "id"))
+    edge = near.where(~F.col("whole")).withColumn("k", rank).where("k <= left")
+    return near.where("whole").select("app_id", "id").unionByName(edge.select("app_id", "id"))
+
+
+def drawn_from(pooled: DataFrame, targets: DataFrame, seed: int = 1) -> DataFrame:
+    """``sampled`` of items (``pool_items``) that are read several times and should be cut."""
+    cells = cell_counts(pooled, targets).groupBy("app_id", "category").agg(F.max("wanted").alias("wanted"), F.max(F.coalesce("min_rows", F.lit(0))).alias("floor"))
+    cells = cut(cells)
+    items = checked_join(pooled, cells.select("app_id", "category"), ["app_id", "category"], "left_semi")
     units = items.groupBy("app_id", "id").agg(F.array_join(F.array_sort(F.collect_set("category")), "\x1f").alias("pattern"))
-    chances = cut(inclusion(pool, targets))
+    chances = cut(inclusion(units, cells))
     shuffled = F.xxhash64(F.lit(seed), "app_id", "id")
     live = checked_join(units, chances, ["app_id", "pattern"], "inner").withColumn("r", shuffled)
     largest = live.agg(F.count("*")).first()[0]
@@ -171,22 +206,24 @@ def sampled(pool: DataFrame, targets: DataFrame, seed: int = 1) -> DataFrame:
         undecided = undecided.where("p > 0 and p < 1")
         largest //= CHUNK_UNITS
     last = undecided.groupBy("app_id").applyInPandas(lambda k, f: fight(k, f)[["app_id", "id", "pattern", "p", "r"]], schema)
-    drawn = done.unionByName(last.withColumn("p", F.round("p"))).where("p = 1")
-    chosen = items.join(drawn.select("app_id", "id"), ["app_id", "id"], "left_semi")
+    drawn = cut(done.unionByName(last.withColumn("p", F.round("p"))).where("p = 1").select("app_id", "id"))
+    chosen = items.join(drawn, ["app_id", "id"], "left_semi")
     got = chosen.groupBy("app_id", "category").agg(F.count("*").alias("got"))
-    short = cells.join(got, ["app_id", "category"], "left").withColumn("missing", F.col("floor") - F.coalesce("got", F.lit(0))).where("missing > 0")
-    rest = items.join(short.select("app_id", "category", "missing"), ["app_id", "category"]).join(drawn.select("app_id", "id"), ["app_id", "id"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy("app_id", "category").orderBy(shuffled, "id"))
-    extra = rest.withColumn("k", rank).where("k <= missing").select("app_id", "id").distinct()
-    whole = drawn.select("app_id", "id").unionByName(extra)
+    short = cut(cells.join(got, ["app_id", "category"], "left").withColumn("missing", F.col("floor") - F.coalesce("got", F.lit(0))).where("missing > 0").select("app_id", "category", "missing"))
+    rest = checked_join(items, short, ["app_id", "category"], "inner").join(drawn, ["app_id", "id"], "left_anti")
+    whole = drawn.unionByName(first_of_cells(rest, seed).distinct())
     return items.join(whole, ["app_id", "id"], "left_semi")
 
 
 def draw_report(pool: DataFrame, targets: DataFrame, seed: int = 1) -> DataFrame:
-    """``cell_report`` with ``drawn``, the items of each cell that the sample of ``sampled`` holds, for all target rows.
+    """``cell_report`` with ``drawn`` and ``drawn_share`` for all target rows: the items of each cell that the sample holds, and their share of the app's.
 
     A cell with a gap is always drawn short, as a sample never holds more than there is; a cell
-    drawn one short by rounding has no gap.
+    drawn one short by rounding has no gap. The share is null for an app of which nothing was drawn.
     """
-    drawn = sampled(pool, targets, seed).groupBy("app_id", "category").agg(F.count("*").alias("drawn"))
-    return cell_report(pool, targets).join(drawn, ["app_id", "category"], "left").withColumn("drawn", F.coalesce("drawn", F.lit(0).cast("bigint")))
+    items = cut(pool_items(pool))
+    drawn = cut(drawn_from(items, targets, seed).groupBy("app_id", "category").agg(F.count("*").alias("drawn")))
+    total = drawn.groupBy("app_id").agg(F.sum("drawn").alias("total"))
+    report = cell_counts(items, targets).join(drawn, ["app_id", "category"], "left").join(total, "app_id", "left")
+    report = report.withColumn("drawn", F.coalesce("drawn", F.lit(0).cast("bigint")))
+    return report.withColumn("drawn_share", F.col("drawn") / F.col("total")).drop("total")

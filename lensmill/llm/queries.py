@@ -44,6 +44,12 @@ def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibrate.sampled(*_sampling(spark, sf_dir))
 
 
+def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and drawn share of each cell, and how many it holds and wants."""
+    report = calibrate.draw_report(*_sampling(spark, sf_dir))
+    return report.select("app_id", "predicted", "target_share", "drawn_share", "wanted", "drawn", "gap")
+
+
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibrate.cell_report(*_sampling(spark, sf_dir)).select("app_id", "predicted", "wanted", "available", "gap")
 
@@ -93,7 +99,7 @@ def p10_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.scored(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p2_shares, p3_found, p3_ranked, p4_found, p4_sample, p4_report, p5_found, p5_parts, p5_documents, p7_found, p7_collapsed, p8_ids, p9_packed, p10_found, p10_scored)}
+QUERIES = {q.__name__: q for q in (p2_found, p2_shares, p3_found, p3_ranked, p4_found, p4_sample, p4_shares, p4_report, p5_found, p5_parts, p5_documents, p7_found, p7_collapsed, p8_ids, p9_packed, p10_found, p10_scored)}
 
 _RANKED = """ranked AS (
   SELECT appid, recommendationid, score, votes, row_number() OVER (PARTITION BY appid ORDER BY score DESC, votes DESC, recommendationid) AS k

@@ -59,8 +59,8 @@ def test_found_cells_come_from_the_draw(spark, tmp_path, monkeypatch):
     pool(spark, rows).write.parquet(f"{tmp_path}/sampled_review.parquet")
     cells = [(1, "bugs", 0.5, 0, 20, 9), (1, "story", 0.3, 0, 20, 9), (1, " STORY", 0.0, 2, 20, 9), (1, "price", 0.1, 9, 20, 9), (1, "audio", 0.0, 0, 20, 9), (None, "bugs", 0.5, 0, 20, 9), (2, "bugs", 0.5, 0, 20, 9)]
     spark.createDataFrame(cells, TARGET).write.parquet(f"{tmp_path}/sample_target.parquet")
-    draws, real = [], calibrate.sampled
-    monkeypatch.setattr(calibrate, "sampled", lambda *a: draws.append(a) or real(*a))
+    draws, real = [], calibrate.drawn_from
+    monkeypatch.setattr(calibrate, "drawn_from", lambda *a: draws.append(a) or real(*a))
     got = [tuple(r) for r in queries.p4_found(spark, str(tmp_path)).collect()]
     assert len(draws) == 1 and sorted(got, key=str) == [(1, "price"), (1, "story"), (2, "bugs"), (None, "bugs")]
     report = {(r.app_id, r.predicted): (r.wanted, r.available, r.drawn) for r in calibrate.draw_report(*queries._sampling(spark, str(tmp_path))).collect()}
@@ -86,6 +86,26 @@ def test_many_chunks_give_the_same_counts(spark, monkeypatch):
     assert Counter(r.category for r in calibrate.sampled(pool(spark, rows), targets).collect()) == {"bugs": 10, "story": 10}
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 10**6])
+def test_floors_are_topped_up_in_the_order_of_the_seed(spark, chunk):
+    """Spans of a cell give the same items as ranking the whole cell."""
+    rows = spark.range(400).selectExpr("cast(id % 2 as bigint) as app_id", "cast(id as string) as id", "if(id % 7 < 3, 'a', 'b') as category", "cast(if(id % 7 < 3, 23, 500) as bigint) as missing")
+    got = sorted((r.app_id, r.id) for r in calibrate.first_of_cells(rows, 3, chunk).collect())
+    cells = {}
+    for r in rows.withColumn("place", calibrate._place(3)).collect():
+        cells.setdefault((r.app_id, r.category), []).append((r.place, r.id))
+    want = sorted((app, i) for (app, c), own in cells.items() for _, i in sorted(own)[: 23 if c == "a" else 500])
+    assert got == want and calibrate.first_of_cells(rows.limit(0), 3, chunk).count() == 0
+
+
+def test_large_floors_are_met(spark, monkeypatch):
+    monkeypatch.setattr(calibrate, "CHUNK_UNITS", 20)
+    rows = [(f"{c}{i}", 1, c, "x") for c in ("bugs", "story") for i in range(150)]
+    targets = spark.createDataFrame([(1, "bugs", 0.9, 0, 10, 9), (1, "story", 0.1, 120, 10, 9)], TARGET)
+    report = {r.predicted: r for r in calibrate.draw_report(pool(spark, rows), targets).collect()}
+    assert report["story"].drawn >= 120 and report["bugs"].drawn == 9 and abs(report["bugs"].drawn_share + report["story"].drawn_share - 1) < 1e-9
+
+
 def test_empty(spark):
     targets = spark.createDataFrame([(1, "bugs", 0.5, 0, 4, 9)], TARGET)
     assert calibrate.sampled(pool(spark, []), targets).count() == 0
