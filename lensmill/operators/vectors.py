@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from itertools import product
@@ -18,12 +19,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lensmill.functions.stats import mcnemar
 from lensmill.functions.text import not_blank, text_key
 from lensmill.schema import ALONE_SLOTS, CATEGORY_IDS, MENTION_MARGIN, MOST_MENTIONS, SPINE_VERSION
 
 #: The grids that a fit is searched over.
 SMOOTHING, SECONDARY, SCORING = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0), (0.0, 0.25, 0.5, 1.0), ("raw", "bias", "centred")
 MARGINS = (0.005, 0.01, 0.015, 0.02, 0.03, 0.04, 0.06)
+#: Fixed value: the subset of labels that is held back from fitting.
+HOLDOUT = "random"
 #: Fixed value: norms up to this are not divided by.
 EPSILON = 1.1920929e-07
 
@@ -308,7 +312,22 @@ def folds_of(n: int, folds: int) -> np.ndarray:
     return np.arange(n) % folds
 
 
-def searched(labelled: DataFrame, descriptions: Anchors, centroid: np.ndarray, folds: int = 5, objective: str = "primary") -> DataFrame:
+def _grid_values(e: Examples, base: Anchors, middle: np.ndarray, smoothing: float, secondary: float, scoring: str, folds: int, objective: str) -> np.ndarray:
+    """Cross-validated score of one combination of parameters at each of ``MARGINS``."""
+    fold, values = folds_of(len(e.slot), folds), np.zeros(len(MARGINS))
+    for f in range(folds):
+        train, test = e.take(np.flatnonzero(fold != f)), e.take(np.flatnonzero(fold == f))
+        if len(test.slot):
+            a = (base if np.isinf(smoothing) else fit(base, train, smoothing, secondary)).prepare(scoring, middle)
+            values += [len(test.slot) * score(a, test, m)[objective != "primary"] for m in MARGINS]
+    return values / max(1, len(e.slot))
+
+
+def _grid(scorings: Sequence[str]) -> list[tuple[float, float, str]]:
+    return list(product((*SMOOTHING, float("inf")), SECONDARY, scorings))
+
+
+def searched(labelled: DataFrame, descriptions: Anchors, centroid: np.ndarray, folds: int = 5, objective: str = "primary", scorings: Sequence[str] = SCORING) -> DataFrame:
     """Cross-validated score of every combination of parameters: ``smoothing, secondary, scoring, margin, value``.
 
     The grid is spread over tasks and each fits all folds; a bounded set of examples goes to all of
@@ -316,24 +335,16 @@ def searched(labelled: DataFrame, descriptions: Anchors, centroid: np.ndarray, f
     """
     spark = labelled.sparkSession
     sent = spark.sparkContext.broadcast((examples_of(labelled), descriptions, centroid))
-    grid = [(s, w, how) for s, w, how in product((*SMOOTHING, float("inf")), SECONDARY, SCORING)]
 
     def run(frames):
         e, base, middle = sent.value
-        fold = folds_of(len(e.slot), folds)
         for frame in frames:
             out = []
             for s, w, how in frame[["smoothing", "secondary", "scoring"]].itertuples(index=False):
-                values = np.zeros(len(MARGINS))
-                for f in range(folds):
-                    train, test = e.take(np.flatnonzero(fold != f)), e.take(np.flatnonzero(fold == f))
-                    if not len(test.slot):
-                        continue
-                    a = (base if np.isinf(s) else fit(base, train, s, w)).prepare(how, middle)
-                    values += [len(test.slot) * score(a, test, m)[objective != "primary"] for m in MARGINS]
-                out += [(s, w, how, m, v / max(1, len(e.slot))) for m, v in zip(MARGINS, values)]
+                out += [(s, w, how, m, v) for m, v in zip(MARGINS, _grid_values(e, base, middle, s, w, how, folds, objective))]
             yield pd.DataFrame(out, columns=["smoothing", "secondary", "scoring", "margin", "value"])
 
+    grid = _grid(scorings)
     rows = spark.createDataFrame(grid, "smoothing double, secondary double, scoring string").repartition(min(len(grid), spark.sparkContext.defaultParallelism))
     return rows.mapInPandas(run, "smoothing double, secondary double, scoring string, margin double, value double")
 
@@ -345,19 +356,117 @@ def best_params(search: DataFrame) -> tuple[float, float, str, float]:
     return rows[0].smoothing, rows[0].secondary, rows[0].scoring, rows[0].margin
 
 
-def transfer(labelled: DataFrame, descriptions: Anchors, app_col: str, smoothing: float = 8.0, secondary: float = 0.5, margin: float = MENTION_MARGIN) -> DataFrame:
-    """Leave one app out: ``app, id, flat, fitted, unseen`` - whether descriptions, a fit on all apps and a fit on the others get it right."""
+def split_labels(labelled: DataFrame, holdout: str = HOLDOUT) -> tuple[DataFrame, DataFrame]:
+    """Labels to fit on, and those held back: the ones whose ``subset`` is ``holdout``. No label is in both."""
+    held = F.coalesce(F.col("subset") == holdout, F.lit(False))
+    return labelled.where(~held), labelled.where(held)
+
+
+def embed_reviews(reviews: DataFrame, ids: DataFrame, encoder: Encoder, forward: Callable[[Encoder], Callable[[list[str]], np.ndarray]] = hashing_forward, batch: int = 64) -> DataFrame:
+    """``id, embedding`` of the named reviews (``ids`` has ``id``), embedded afresh in batches of like length, ordered by length and id."""
+    wanted = reviews.where(not_blank("review")).select(F.col("recommendationid").alias("id"), "review").join(ids.select("id").distinct(), "id", "left_semi")
+
+    def run(frames):
+        model = forward(encoder)
+        for frame in frames:
+            texts = frame["review"].tolist()
+            vectors = [v for i in range(0, len(texts), batch) for v in model(texts[i : i + batch])]
+            yield pd.DataFrame({"id": frame["id"], "embedding": vectors})
+
+    return wanted.sortWithinPartitions(F.char_length("review"), "id").mapInPandas(run, "id string, embedding array<float>")
+
+
+def agreements(anchors: Anchors, e: Examples, margin: float | None = None) -> np.ndarray:
+    """Whether each example's primary is the category that its label gives."""
+    return assign(anchors.similarities(e.x), anchors.margin if margin is None else margin)[0] == e.slot if len(e.slot) else np.zeros(0, dtype=bool)
+
+
+def _searched_fit(e: Examples, base: Anchors, middle: np.ndarray, folds: int, objective: str, scorings: Sequence[str], params: tuple[float, float, str] | None) -> Anchors:
+    """Anchors fitted on ``e`` with the given parameters, or with the best of the grid by cross-validation."""
+    if params is None:
+        best = max(((_grid_values(e, base, middle, *g, folds, objective).max(), -k, g) for k, g in enumerate(_grid(scorings))), key=lambda x: x[:2])
+        params = best[2]
+    smoothing, secondary, scoring = params
+    return (base if np.isinf(smoothing) else fit(base, e, smoothing, secondary)).prepare(scoring, middle)
+
+
+def transfer(labelled: DataFrame, descriptions: Anchors, app_col: str, holdout: str = HOLDOUT, centroids: dict[int, np.ndarray] | None = None, params: tuple[float, float, str] | None = None, folds: int = 5, objective: str = "primary", scorings: Sequence[str] = SCORING) -> DataFrame:
+    """Leave one app out: ``app, id, contested, written, same, unseen``, one row for each label held back.
+
+    ``written``, ``same`` and ``unseen`` say whether the descriptions, a fit on the training labels of
+    all apps and a fit on those of the other apps get it right. What is held back is never fitted on.
+    Each app is a task; a bounded set of labels goes to all of them. ``centroids`` are those of the
+    apps' corpora (without one, nothing is calibrated); ``params`` are smoothing, secondary weight and
+    scoring, searched by cross-validation where they are not given.
+    """
     spark = labelled.sparkSession
-    rows = labelled.orderBy("id").collect()
-    e = Examples(np.array([r.embedding for r in rows], dtype=np.float64), np.array([r.slot for r in rows]), [list(r.secondary or []) for r in rows])
-    apps = np.array([r[app_col] for r in rows])
-    out = []
-    everything = fit(descriptions, e, smoothing, secondary)
-    for app in sorted(set(apps.tolist())):
-        own = np.flatnonzero(apps == app)
-        test = e.take(own)
-        middle = test.x.mean(axis=0)
-        others = fit(descriptions, e.take(np.flatnonzero(apps != app)), smoothing, secondary)
-        right = [assign(a.prepare("raw", middle).similarities(test.x), margin)[0] == test.slot for a in (descriptions, everything, others)]
-        out += [(int(app), str(rows[i]["id"]), *(bool(r[k]) for r in right)) for k, i in enumerate(own)]
-    return spark.createDataFrame(out, "app bigint, id string, flat boolean, fitted boolean, unseen boolean")
+    training, held = split_labels(labelled, holdout)
+    order = lambda rows: rows.orderBy("id", app_col).collect()
+    kept, back = order(training), order(held)
+    pack = lambda rows: (Examples(np.array([r.embedding for r in rows], dtype=np.float64), np.array([r.slot for r in rows], dtype=np.int64), [list(r.secondary or []) for r in rows]), np.array([r[app_col] for r in rows]))
+    sent = spark.sparkContext.broadcast((pack(kept), pack(back), [str(r["id"]) for r in back], [bool(r["ambiguous"]) for r in back], descriptions, centroids or {}))
+
+    def run(frames):
+        (e, apps), (test, test_apps), ids, contested, base, middles = sent.value
+        for frame in frames:
+            out = []
+            for app in frame["app"].tolist():
+                own = np.flatnonzero(test_apps == app)
+                middle = middles.get(app, np.zeros(0))
+                fits = [base, *(_searched_fit(x, base, middle, folds, objective, scorings, params) if len(x.slot) else base for x in (e, e.take(np.flatnonzero(apps != app))))]
+                right = [agreements(a, test.take(own)) for a in fits]
+                out += [(app, ids[i], contested[i], *(bool(r[k]) for r in right)) for k, i in enumerate(own.tolist())]
+            yield pd.DataFrame(out, columns=["app", "id", "contested", "written", "same", "unseen"])
+
+    each = sorted({int(r[app_col]) for r in back})
+    rows = spark.createDataFrame([(a,) for a in each], "app bigint").repartition(max(1, min(len(each), spark.sparkContext.defaultParallelism)), "app")
+    return rows.mapInPandas(run, "app bigint, id string, contested boolean, written boolean, same boolean, unseen boolean")
+
+
+def transfer_table(verdicts: DataFrame, contested: bool | None = None) -> DataFrame:
+    """Per app, and over all (a null app): labels and those that each set of anchors gets right, and how the unseen fit differs from the descriptions.
+
+    ``contested`` keeps one side of the labels that the labeller could not or could place. ``p`` is
+    the exact McNemar probability of ``gained`` and ``lost``.
+    """
+    rows = verdicts if contested is None else verdicts.where(F.col("contested") == contested)
+    hit = lambda c: F.count_if(c)
+    out = rows.rollup("app").agg(
+        F.count("*").alias("n"), hit(F.col("written")).alias("written"), hit(F.col("same")).alias("same"), hit(F.col("unseen")).alias("unseen"),
+        hit(~F.col("written") & F.col("unseen")).alias("gained"), hit(F.col("written") & ~F.col("unseen")).alias("lost"),
+    )
+    return out.withColumn("p", mcnemar(F.col("gained"), F.col("lost")))
+
+
+def compare_encoders(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Two encoders' verdicts of the unseen fit on the same labels, paired: ``app, n, first, second, gained, lost, p``; a null app is all.
+
+    Raises if the two were measured on different labels.
+    """
+    a = first.select("app", "id", F.col("unseen").alias("a"))
+    b = second.select("app", "id", F.col("unseen").alias("b"))
+    wrong = F.raise_error(F.lit("the two encoders were measured on different reviews"))
+    both = a.join(b, ["app", "id"], "full_outer").withColumn("a", F.when(F.col("a").isNull() | F.col("b").isNull(), wrong.cast("boolean")).otherwise(F.col("a")))
+    out = both.rollup("app").agg(
+        F.count("*").alias("n"), F.count_if("a").alias("first"), F.count_if("b").alias("second"), F.count_if(~F.col("a") & F.col("b")).alias("gained"), F.count_if(F.col("a") & ~F.col("b")).alias("lost")
+    )
+    return out.withColumn("p", mcnemar(F.col("gained"), F.col("lost")))
+
+
+def other_choice(descriptions: Anchors, training: Examples, held: Examples, centroid: np.ndarray, chosen: Anchors, objective: str, folds: int = 5, scorings: Sequence[str] = SCORING) -> dict | None:
+    """What a fit for the other objective scores on the labels held back, and how many of them the chosen one gained and lost against it."""
+    if not len(held.slot):
+        return None
+    other = "mentions" if objective == "primary" else "primary"
+    rival = _searched_fit(training, descriptions, centroid, folds, other, scorings, None)
+    margin = max(MARGINS, key=lambda m: score(rival, training, m)[1])
+    agreement, f1 = score(rival, held, margin)
+    mine, theirs = agreements(chosen, held), agreements(rival, held, margin)
+    gained, lost = int((mine & ~theirs).sum()), int((~mine & theirs).sum())
+    return {"objective": other, "agreement": agreement, "macro_f1": f1, "gained": gained, "lost": lost, "p": exact_p(gained, lost)}
+
+
+def exact_p(gained: int, lost: int) -> float | None:
+    """``stats.mcnemar`` of two numbers."""
+    n = gained + lost
+    return min(1.0, 2 * sum(math.comb(n, k) for k in range(min(gained, lost) + 1)) / 2**n) if n else None

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -469,7 +471,8 @@ def shard_plan(spark, sf_dir):
     return _plan(spark, sf_dir)
 
 
-@query(f"{_PLAN_SQL} SELECT appid, count(*) AS windows, CAST(sum(expected) AS BIGINT) AS expected, TRUE AS disjoint FROM plan GROUP BY appid")
+@query(f"""{_PLAN_SQL} SELECT appid, count(*) AS windows, CAST(sum(expected) AS BIGINT) AS expected, NOT EXISTS (
+SELECT 1 FROM plan x JOIN plan y ON x.appid = y.appid AND (x.start_date, x.end_date) <> (y.start_date, y.end_date) AND x.start_date <= y.end_date AND y.start_date <= x.end_date WHERE x.appid = p.appid) AS disjoint FROM plan p GROUP BY appid""")
 def shard_disjoint(spark, sf_dir):
     return planning.disjoint(_plan(spark, sf_dir))
 
@@ -574,20 +577,69 @@ def embed_texts(spark, sf_dir):
     return vectors.embedded(_reviews(spark, sf_dir), vectors.ENCODERS["hashing"])
 
 
-def _labelled(spark, sf_dir) -> DataFrame:
+def _labelled(spark, sf_dir, width: int = 64) -> DataFrame:
+    """Vectors as labels: every fifth is held back, every seventh contested, and each belongs to one of three apps."""
     e = _t(spark, sf_dir, "embeddings")
-    return e.select(F.format_string("%09d", "vec_id").alias("id"), F.col("label").alias("slot"), F.when(F.col("vec_id") % 3 == 0, F.array(((F.col("label") + 1) % 10).cast("int"))).alias("secondary"), "embedding", (F.col("vec_id") % 3).alias("app"))
+    return e.select(
+        F.format_string("%09d", "vec_id").alias("id"), F.col("label").alias("slot"), F.when(F.col("vec_id") % 4 == 0, F.array(((F.col("label") + 1) % 10).cast("int"))).alias("secondary"),
+        F.slice("embedding", 1, width).alias("embedding"), (F.col("vec_id") % 3).alias("app"), F.when(F.col("vec_id") % 5 == 0, "random").otherwise("stratified").alias("subset"), (F.col("vec_id") % 7 == 0).alias("ambiguous"),
+    )
 
 
 @query()
 def grid_search(spark, sf_dir):
     middle = vectors.collect_vector(vectors.centroid(_t(spark, sf_dir, "embeddings")))
-    return vectors.searched(_labelled(spark, sf_dir), _anchors(spark, sf_dir), middle)
+    return vectors.searched(vectors.split_labels(_labelled(spark, sf_dir))[0], _anchors(spark, sf_dir), middle)
 
 
-@query()
+#: Parameters of the fits that are held against SQL: smoothing, secondary weight, scoring.
+_PARAMS = (8.0, 0.5, "raw")
+
+
+def _verdicts_sql(name: str, width: int) -> str:
+    """Whether descriptions, a fit on all training labels and one on the other apps' get each held-back label right, as CTE ``name``."""
+    return f"""{name}_x AS (SELECT vec_id, label, vec_id % 3 AS app, vec_id % 5 = 0 AS held, unnest(embedding::DOUBLE[])  AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+{name}_e AS (SELECT * FROM {name}_x WHERE pos <= {width}),
+{name}_d AS (SELECT label AS slot, pos, arg_min(x, vec_id) AS v FROM {name}_e GROUP BY ALL),
+{name}_t AS (SELECT label AS slot, app, pos, x, 1.0::DOUBLE AS w FROM {name}_e WHERE NOT held UNION ALL SELECT (label + 1) % 10, app, pos, x, 0.5::DOUBLE FROM {name}_e WHERE NOT held AND vec_id % 4 = 0),
+{name}_s AS (SELECT target, fit, slot, pos, sum(x * w) AS total, sum(w) AS evidence FROM {name}_t, (SELECT unnest([0, 1, 2]) AS target), (SELECT unnest(['same', 'unseen']) AS fit) WHERE fit = 'same' OR app <> target GROUP BY ALL),
+{name}_u AS (SELECT *, sqrt(sum(total * total) OVER (PARTITION BY target, fit, slot)) AS norm FROM {name}_s),
+{name}_b AS (SELECT target, fit, slot, pos, 8.0 / (evidence + 8) * v + evidence / (evidence + 8) * total / norm AS y FROM {name}_u JOIN {name}_d USING (slot, pos)),
+{name}_a AS (SELECT target, fit, slot, pos, y / sqrt(sum(y * y) OVER (PARTITION BY target, fit, slot)) AS v FROM {name}_b UNION ALL SELECT target, 'written', slot, pos, v FROM {name}_d, (SELECT unnest([0, 1, 2]) AS target)),
+{name}_m AS (SELECT vec_id, label, app, fit, slot, sum(x * v) AS sim FROM {name}_e JOIN {name}_a USING (pos) WHERE held AND target = app GROUP BY ALL),
+{name}_h AS (SELECT vec_id, app, fit, arg_max(slot, (sim, slot)) = any_value(label) AS hit FROM {name}_m GROUP BY ALL),
+{name} AS (SELECT app, printf('%09d', vec_id) AS id, vec_id % 7 = 0 AS contested, bool_or(hit) FILTER (fit = 'written') AS written, bool_or(hit) FILTER (fit = 'same') AS same, bool_or(hit) FILTER (fit = 'unseen') AS unseen FROM {name}_h GROUP BY ALL)"""
+
+
+_P_SQL = """round(CASE WHEN gained + lost > 0 THEN least(1, 2 * (SELECT sum(exp(lgamma(gained + lost + 1) - lgamma(k + 1) - lgamma(gained + lost - k + 1) + (gained + lost) * ln(0.5)))
+FROM range(0, 100000) t(k) WHERE k <= least(gained, lost))) END, 9) AS p"""
+
+
+def _verdicts(spark, sf_dir, width: int = 64) -> DataFrame:
+    rows = _labelled(spark, sf_dir, width)
+    base = _anchors(spark, sf_dir)
+    return vectors.transfer(rows, replace(base, vectors=base.vectors[:, :width]), "app", params=_PARAMS)
+
+
+@query(f"WITH {_verdicts_sql('v', 64)} SELECT * FROM v")
 def leave_one_out(spark, sf_dir):
-    return vectors.transfer(_labelled(spark, sf_dir), _anchors(spark, sf_dir), "app")
+    return _verdicts(spark, sf_dir)
+
+
+@query(f"""WITH {_verdicts_sql('v', 64)}, c AS (SELECT app, count(*) AS n, count(*) FILTER (written) AS written, count(*) FILTER (same) AS same, count(*) FILTER (unseen) AS unseen,
+count(*) FILTER (NOT written AND unseen) AS gained, count(*) FILTER (written AND NOT unseen) AS lost FROM v WHERE NOT contested GROUP BY ROLLUP (app))
+SELECT *, {_P_SQL} FROM c""")
+def transfer_table(spark, sf_dir):
+    """The transfer table over the labels that are not contested; a null app is all apps."""
+    return _round(vectors.transfer_table(_verdicts(spark, sf_dir), contested=False), "p")
+
+
+@query(f"""WITH {_verdicts_sql('v', 64)}, {_verdicts_sql('h', 24)}, c AS (SELECT v.app, count(*) AS n, count(*) FILTER (v.unseen) AS first, count(*) FILTER (h.unseen) AS second,
+count(*) FILTER (NOT v.unseen AND h.unseen) AS gained, count(*) FILTER (v.unseen AND NOT h.unseen) AS lost FROM v JOIN h ON v.id = h.id GROUP BY ROLLUP (v.app))
+SELECT *, {_P_SQL} FROM c""")
+def encoder_comparison(spark, sf_dir):
+    """Whole vectors against an encoder that gives their first 24 values, both on the same labels held back."""
+    return _round(vectors.compare_encoders(_verdicts(spark, sf_dir), _verdicts(spark, sf_dir, 24)), "p")
 
 
 @query()

@@ -113,8 +113,8 @@ def labelled(spark):
     for i in range(60):
         slot = i % 4
         v = AXES[slot] * 0.5 + AXES[slot + 6] * 0.6 + rng.standard_normal(K) * 0.05
-        rows.append((f"{i:03d}", slot, [], [float(x) for x in v / np.linalg.norm(v)], i % 3))
-    return spark.createDataFrame(rows, "id string, slot int, secondary array<int>, embedding array<double>, app bigint")
+        rows.append((f"{i:03d}", slot, [], [float(x) for x in v / np.linalg.norm(v)], i % 3, "random" if i % 5 < 2 else "stratified", i % 10 == 0))
+    return spark.createDataFrame(rows, "id string, slot int, secondary array<int>, embedding array<double>, app bigint, subset string, ambiguous boolean")
 
 
 def test_search_and_transfer(spark):
@@ -123,5 +123,38 @@ def test_search_and_transfer(spark):
     assert search.count() == 8 * 4 * 3 * 7
     smoothing, secondary, scoring, margin = V.best_params(search)
     assert smoothing in V.SMOOTHING and secondary in V.SECONDARY and scoring in V.SCORING and margin in V.MARGINS
-    got = V.transfer(rows, V.Anchors(AXES.copy()), "app").collect()
-    assert len(got) == 60 and sum(r.fitted for r in got) == 60 and sum(r.unseen for r in got) == 60 and sum(r.flat for r in got) < 30
+    table = V.transfer(rows, V.Anchors(AXES.copy()), "app", folds=2, scorings=("raw",))
+    got = table.collect()
+    assert len(got) == 24 and sum(r.same for r in got) == 24 and sum(r.unseen for r in got) == 24 and sum(r.written for r in got) < 12
+    totals = {r.app: r for r in V.transfer_table(table).collect()}
+    assert set(totals) == {0, 1, 2, None} and totals[None].n == 24 and totals[None].gained == 24 - sum(r.written for r in got) and totals[None].p < 0.01
+    assert {r.app: r.n for r in V.transfer_table(table, contested=True).collect()}[None] == 6
+    same = {r.app: r for r in V.compare_encoders(table, table).collect()}[None]
+    assert same.n == same.first == same.second == 24 and same.gained == same.lost == 0 and same.p is None
+    with pytest.raises(Exception, match="different reviews"):
+        V.compare_encoders(table, table.where("id > '030'")).collect()
+
+
+def test_nothing_held_back_is_fitted_on(spark):
+    """A label held back that contradicts all others moves no anchor."""
+    rows = labelled(spark)
+    training, held = V.split_labels(rows)
+    assert training.count() == 36 and held.count() == 24 and training.join(held, "id").count() == 0
+    odd = rows.withColumn("embedding", F.when(F.col("subset") == "random", F.array(*[F.lit(float(k == 15)) for k in range(K)])).otherwise(F.col("embedding")))
+    got = V.transfer(odd, V.Anchors(AXES.copy()), "app", params=(1.0, 0.0, "raw")).collect()
+    assert not any(r.same or r.unseen for r in got)
+
+
+def test_the_other_objective(spark):
+    training, held = (V.examples_of(x) for x in V.split_labels(labelled(spark)))
+    base = V.Anchors(AXES.copy())
+    chosen = V.fit(base, training, 1.0, 0.0)
+    got = V.other_choice(base, training, held, np.zeros(K), chosen, "primary", folds=2, scorings=("raw",))
+    assert got["objective"] == "mentions" and got["agreement"] > 0.9 and (got["gained"], got["lost"], got["p"]) == (0, 0, None)
+    assert V.exact_p(12, 2) == pytest.approx(0.012939453125) and V.exact_p(7, 7) == 1
+
+
+def test_named_reviews_are_embedded_afresh(spark):
+    rows = spark.createDataFrame([("1", "good game"), ("2", "a bad game"), ("3", " "), ("4", "good game")], "recommendationid string, review string")
+    got = {r.id: r.embedding for r in V.embed_reviews(rows, spark.createDataFrame([("1",), ("3",), ("4",), ("9",)], "id string"), V.ENCODERS["hashing"]).collect()}
+    assert set(got) == {"1", "4"} and got["1"] == got["4"] and len(got["1"]) == 64
