@@ -1,4 +1,4 @@
-"""Commands: python -m lensmill.cli COMMAND ... - crawl, embed, classify, report, sample, brief, ingest, fit, evaluate.
+"""Commands: python -m lensmill.cli COMMAND ... - crawl, embed, classify, report, sample, brief, ingest, fit, transfer, compare, evaluate.
 
 A corpus lies below ``--root`` as ``appid=A/snapshot=T/``; reference sets lie below ``--reference`` as ``A/``.
 """
@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import argparse
 import json
-import shutil
 import time
 from pathlib import Path
 
@@ -15,13 +14,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lensmill import report
+from lensmill import report, terminal
 from lensmill.functions import show, stats
 from lensmill.functions.text import text_key
 from lensmill.operators import evaluate, planning, rates, reviews, sampling, vectors
-from lensmill.schema import CATEGORIES, CATEGORY_IDS
+from lensmill.schema import CATEGORIES, CATEGORY_IDS, DESCRIPTIONS, SPINE_VERSION, TOP_HELPFUL
 from lensmill.sources import files
-from lensmill.sources.pages import NoSuchCorpus, ReviewPages, ReviewQuery, count, fetch, stored_pages
+from lensmill.sources.pages import NoSuchCorpus, ReviewPages, ReviewQuery, count, fetch, stored_pages, summary
+
+VERSION = "0.2"
 
 
 def session() -> SparkSession:
@@ -36,47 +37,69 @@ def _broken(state: planning.CrawlState, app: int, url_to, snapshot: int | None)
     return latest.id, latest.snapshot_unix, latest.valve_total
 
 
-def crawl(spark: SparkSession, root: str, app: int, folder: str | None = None, base: str | None = None, top_up: bool = False, snapshot: int | None = None) -> dict:
+def _uri(path: str) -> str:
+    """A path as Spark takes it: as it is with a scheme, else on this machine."""
+    return path if "://" in path else f"file://{Path(path).absolute()}"
+
+
+def crawl(spark: SparkSession, root: str, app: int, folder: str | None = None, base: str | None = None, top_up: bool = False, snapshot: int | None = None, name: str | None = None) -> dict:
     """Plan windows by counting, walk them, write the shards and advance the watermark once all are in.
 
-    A crawl that broke off is taken up again with its snapshot and its windows that are not done.
+    A crawl that broke off is taken up again with its snapshot and its windows that are not done. A
+    window that stays short of what the store states is left open, and so is the crawl; what was
+    fetched of it is kept.
     """
+    began = time.monotonic()
     spark.dataSource.register(ReviewPages)
     page_of = (lambda q: stored_pages(folder)(app, q)) if folder else (lambda q: fetch(q.url(base or "", app)))
-    state = planning.CrawlState(spark, f"file://{Path(root).absolute()}/state")
+    state = planning.CrawlState(spark, f"{_uri(root)}/state")
     mark = state.watermark(app) if top_up else None
     start = planning.topup_start(mark)
     url_to = lambda end: ReviewQuery(window=(start, end)).url(base or "https://store.invalid", app)
-    broken = _broken(state, app, url_to, snapshot)
+    broken, says = _broken(state, app, url_to, snapshot), summary(page_of)
     if broken:
         crawl_id, end, stated = broken
     else:
-        end, stated = snapshot or int(time.time()), count(page_of)
+        end, stated = snapshot or int(time.time()), int(says.get("total_reviews", 0))
         crawl_id = state.start_crawl(app, end, url_to(end), stated)
     windows = [(r.start_date, r.end_date, r.expected) for r in state.shards(crawl_id)]
     if not windows:
         windows = planning.split_windows(start, end, lambda a, b: count(page_of, (a, b)))
         state.put_shards(crawl_id, windows)
-    target, staged = f"{root}/appid={app}/snapshot={end}", Path(root).absolute() / f"state/pages/crawl-{crawl_id}"
+    target, staged = f"{root}/appid={app}/snapshot={end}", f"{_uri(root)}/state/pages/crawl-{crawl_id}"
+    pending, unique, fetched = [], 0, 0
     if windows:
         pending = [(r.idx, r.start_date, r.end_date, r.expected) for r in state.pending(crawl_id).collect()]
         if pending:
             source = spark.read.format("review_pages").option("app", str(app)).option("tally", "true").option("windows", json.dumps([w[1:] for w in pending]))
-            (source.option("folder", folder) if folder else source.option("base", base)).load().write.mode("append").parquet(f"file://{staged}")
-        pages = spark.read.parquet(f"file://{staged}")
-        walked = {(r.window_start, r.window_end): r for r in pages.where("raw_json is null").collect()}
-        for i, a, b, _ in pending:
-            t = walked[a, b]
-            state.mark(crawl_id, i, "done", t.row_count, t.pages, t.stop_reason, t.max_created)
+            (source.option("folder", folder) if folder else source.option("base", base)).load().write.mode("append").parquet(staged)
+        pages = spark.read.parquet(staged)
+        # of a window that was walked again, the walk that brought most
+        walked = {(r.window_start, r.window_end): r for r in pages.where("raw_json is null").orderBy("row_count").collect()}
+        full = [(i, a, b) for i, a, b, _ in pending if not walked[a, b].short]
+        state.mark_all(crawl_id, [(i, "done", (t := walked[a, b]).row_count, t.pages, t.stop_reason, t.max_created) for i, a, b in full])
+        fetched = sum(walked[a, b].row_count for _, a, b, _ in pending)
         parsed = reviews.parsed(pages.where("raw_json is not null").select("appid", "raw_json")).dropDuplicates(["recommendationid"])
-        parsed.drop("appid").write.option("compression", "zstd").mode("overwrite").parquet(f"{target}/capture.parquet")
+        parsed.drop("appid").write.option("compression", "zstd").option("parquet.block.size", 32 << 20).mode("overwrite").parquet(f"{target}/capture.parquet")
         unique = spark.read.parquet(f"{target}/capture.parquet").count()
-    else:
-        unique = 0
-    state.finish(app, crawl_id, end)
-    files.write_crawl(f"{target}/crawl.json", app, end, unique, stated, mark, shards=len(windows), complete=True)
-    shutil.rmtree(staged, ignore_errors=True)
-    return {"unique": unique, "windows": len(windows), "coverage": show.coverage(unique / stated if stated and not mark else None)}
+    complete = state.all_done(crawl_id)
+    tally = {r.crawl_id: r for r in planning.crawl_tally(state.read("shard")).collect()}.get(crawl_id)
+    short = len(windows) - (state.progress(crawl_id)[0] if windows else 0)
+    facts = {
+        "name": name, "tool_version": VERSION, "request_url_template": url_to(end), "shards": len(windows), "pages": tally.pages if tally else 0, "duplicates_this_run": max(0, fetched - unique),
+        "valve_total_positive": says.get("total_positive"), "valve_total_negative": says.get("total_negative"), "review_score_desc": says.get("review_score_desc"), "complete": complete,
+        "resumed": broken is not None, "shards_restarted": len(pending) if broken else 0, "shards_short": short, "elapsed_secs": int(time.monotonic() - began),
+    }
+    files.write_crawl(f"{target}/crawl.json", app, end, unique, stated, mark, **facts)
+    if complete:
+        state.finish(app, crawl_id, end)
+        _drop(spark, staged)
+    return {"app_id": app, "unique": unique, "windows": len(windows), "coverage": show.coverage(unique / stated if stated and not mark else None), "stated": stated, "top_up_from": mark, **facts}
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def corpus(spark: SparkSession, root: str, app: int) -> DataFrame:
@@ -87,20 +110,22 @@ def corpus(spark: SparkSession, root: str, app: int) -> DataFrame:
     return reviews.with_defaults(reviews.latest_by_id(whole.withColumn("appid", F.lit(app).cast("bigint")), columns))
 
 
-def embed(spark: SparkSession, root: str, app: int, encoder: str = "hashing") -> dict:
+def embed(spark: SparkSession, root: str, app: int, encoder: str = "hashing", batch: int = 64) -> dict:
+    began = time.monotonic()
     at, enc = files.snapshot_of(root, app), vectors.ENCODERS[encoder]
     rows = corpus(spark, root, app)
-    files.write_vectors(vectors.embedded(rows, enc), f"{at}/embeddings.parquet", enc.dimensions)
+    files.write_vectors(vectors.embedded(rows, enc, batch=batch), f"{at}/embeddings.parquet", enc.dimensions)
     n, texts = rows.count(), spark.read.parquet(f"{at}/embeddings.parquet").count()
-    facts = {"model": encoder, "dimensions": enc.dimensions, "reviews": n, "unique_texts": texts, "dedupe_rate": 1 - texts / n if n else None}
+    facts = {"model": encoder, "precision": "fp32", "dimensions": enc.dimensions, "batch_size": batch, "device": "cpu", "reviews": n, "unique_texts": texts, "dedupe_rate": 1 - texts / n if n else None,
+             "texts_per_second": round(texts / max(time.monotonic() - began, 1e-3), 1), "note": "vectors of a hashing stand-in, which makes no claim to quality"}
     files.write_json(f"{at}/embeddings.json", facts)
     return facts
 
 
 def description_anchors(encoder: str = "hashing") -> vectors.Anchors:
-    """Anchors from the category labels alone."""
+    """Anchors from the labels and descriptions of the categories, without any labelled review."""
     forward = vectors.hashing_forward(vectors.ENCODERS[encoder])
-    return vectors.Anchors(forward([f"{label}. {label}" for _, label in CATEGORIES]).astype(np.float64), model=encoder)
+    return vectors.Anchors(forward([f"{label}. {DESCRIPTIONS[c]}" for c, label in CATEGORIES]).astype(np.float64), model=encoder)
 
 
 def classify(spark: SparkSession, root: str, app: int, reference: str = "reference", anchors: str | None = None, margin: float | None = None) -> dict:
@@ -118,10 +143,17 @@ def classify(spark: SparkSession, root: str, app: int, reference: str = "referen
     table = rates.category_rates(rows, tags)
     counts = [r.asDict() for r in table.orderBy("slot").collect()]
     total, positive = rows.agg(F.count("*"), F.count_if("voted_up")).first()
+    by_month: dict[str, list] = {}
+    joined = rows.join(tags, "recommendationid")
+    for r in rates.month_categories(joined).orderBy("month", "category").collect():
+        by_month.setdefault(r.month, []).append([r.category, r.mentions])
+    top = rates.top_of_pile(rows).join(tags, "recommendationid").orderBy("rank").select("recommendationid", "weighted_vote_score", "votes_up", "primary_category", "mentions")
     facts = {
-        "app_id": app, "reviews": total, "positive": positive, "unmatched": vectors.unmatched(rows, vecs).count(), "note": note, "categories": counts,
+        "app_id": app, "reviews": total, "positive": positive, "unmatched": vectors.unmatched(rows, vecs).count(), "top_helpful": TOP_HELPFUL, "mention_margin": used.margin, "spine_version": SPINE_VERSION,
+        "model": used.model, "anchors_fitted_from": used.fitted_from, "note": note, "categories": counts,
         "languages": [list(r) for r in rates.language_histogram(rows).orderBy(F.desc("reviews"), "language").collect()],
-        "months": [r.asDict() for r in rates.months(rows).orderBy("month").collect()],
+        "months": [r.asDict() | {"categories": by_month.get(r.month, [])} for r in rates.months(rows).orderBy("month").collect()],
+        "top_reviews": [{"id": r[0], "helpfulness": r[1], "votes_up": r[2], "primary": r[3], "mentions": r[4]} for r in top.collect()],
     }
     files.write_json(f"{at}/classification.json", facts)
     return facts
@@ -141,7 +173,7 @@ def sample(spark: SparkSession, root: str, apps: list[int], reference: str, per_
     return sum(sampling.write_sample(drawn.where(F.col("appid") == a), f"{reference}/{a}", batch) for a in apps)
 
 
-def ingest(spark: SparkSession, reference: str, app: int, returned: str, force: bool = False) -> dict:
+def ingest(spark: SparkSession, reference: str, app: int, returned: str, force: bool = False, produced_by: str = "unknown") -> dict:
     """Check labels that came back; write ``labels.json`` if they are clean or it is insisted on."""
     drawn = spark.read.option("multiLine", "true").json(f"{reference}/{app}/sample.json")
     labels = evaluate.read_labels(spark, returned)
@@ -149,52 +181,88 @@ def ingest(spark: SparkSession, reference: str, app: int, returned: str, force:
     if force or not any(checks.values()):
         rows = [r.asDict() for r in evaluate.accepted(drawn, labels).collect()]
         files.write_json(f"{reference}/{app}/labels.json", rows)
+        if not (Path(reference) / str(app) / "manifest.json").exists():
+            files.write_json(f"{reference}/{app}/manifest.json", {"app_id": app, "produced_by": produced_by, "spine_version": SPINE_VERSION, "human_verified": False})
     return checks
 
 
 def _labels(spark: SparkSession, reference: str, app: int) -> DataFrame:
+    """The labels of a reference set, refused if they are of another taxonomy."""
+    version = files.manifest(f"{reference}/{app}")["spine_version"]
+    if version != SPINE_VERSION:
+        raise ValueError(f"app {app} was labelled under taxonomy {version}, not {SPINE_VERSION}")
     return evaluate.read_labels(spark, f"{reference}/{app}/labels.json").drop("source")
 
 
-def fit(spark: SparkSession, root: str, apps: list[int], reference: str, folds: int = 5, objective: str = "primary") -> dict:
-    """Search the parameters by cross-validation, refit on all labels, choose the margin for mentions and save the anchors."""
-    encoder = files.encoder_of(root, apps[0])
+def labelled_under(spark: SparkSession, root: str, apps: list[int], reference: str, encoder: str) -> tuple[DataFrame, dict[int, np.ndarray]]:
+    """Labels of several apps with vectors of one encoder (``id, slot, secondary, embedding, app, subset, ambiguous``), and the centroids of the apps.
+
+    If any app was embedded with another encoder, the labelled reviews of all of them are embedded
+    again, and there are no centroids: labels are not what an average review looks like.
+    """
+    foreign = [a for a in apps if files.encoder_of(root, a) != encoder]
     slots = F.create_map(*[F.lit(x) for k, c in enumerate(CATEGORY_IDS) for x in (c, k)])
-    parts, centres = [], []
+    whole, centroids = None, {}
     for a in apps:
-        if files.encoder_of(root, a) != encoder:
-            raise ValueError("the apps were embedded with different encoders")
-        vecs = spark.read.parquet(f"{files.snapshot_of(root, a)}/embeddings.parquet")
-        texts = corpus(spark, root, a).select(F.col("recommendationid").alias("id"), text_key("review").alias("text_sha256"))
-        known = _labels(spark, reference, a).join(texts, "id").join(vecs.select("text_sha256", "embedding"), "text_sha256")
-        parts.append(known.select("id", slots[F.col("primary")].alias("slot"), F.transform(F.filter(F.coalesce("secondary", F.array().cast("array<string>")), lambda c: c.isin(*CATEGORY_IDS)), lambda c: slots[c]).alias("secondary"), "embedding").where("slot is not null"))
-        centres.append(vectors.collect_vector(vectors.centroid(vecs)))
-    labelled = parts[0]
-    for p in parts[1:]:
-        labelled = labelled.unionByName(p)
-    base, centre = description_anchors(encoder), np.mean(centres, axis=0)
-    smoothing, secondary, scoring, _ = vectors.best_params(vectors.searched(labelled, base, centre, folds, objective))
-    e = vectors.examples_of(labelled)
-    fitted = base if np.isinf(smoothing) else vectors.fit(base, e, smoothing, secondary, apps)
+        rows, labels = corpus(spark, root, a), _labels(spark, reference, a)
+        if foreign:
+            vecs = vectors.embed_reviews(rows, labels, vectors.ENCODERS[encoder])
+        else:
+            stored = spark.read.parquet(f"{files.snapshot_of(root, a)}/embeddings.parquet")
+            texts = rows.join(labels.select(F.col("id").alias("recommendationid")).distinct(), "recommendationid", "left_semi").select(F.col("recommendationid").alias("id"), text_key("review").alias("text_sha256"))
+            vecs = texts.join(stored.select("text_sha256", "embedding"), "text_sha256").select("id", "embedding")
+            centroids[a] = vectors.collect_vector(vectors.centroid(stored))
+        known = F.filter(F.coalesce("secondary", F.array().cast("array<string>")), lambda c: c.isin(*CATEGORY_IDS))
+        part = labels.join(vecs, "id").select("id", slots[F.col("primary")].alias("slot"), F.transform(known, lambda c: slots[c]).alias("secondary"), "embedding", F.lit(a).cast("bigint").alias("app"), "subset", F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
+        part = part.where("slot is not null")
+        whole = part if whole is None else whole.unionByName(part)
+    return whole, centroids
+
+
+def fit(spark: SparkSession, root: str, apps: list[int], reference: str, folds: int = 5, objective: str = "primary", holdout: str = vectors.HOLDOUT, encoder: str | None = None) -> dict:
+    """Search the parameters by cross-validation on the labels that are not held back, refit on all of these and save the anchors.
+
+    What is held back only says how good they are, and what the other objective would have given.
+    """
+    encoder = encoder or files.encoder_of(root, apps[0])
+    labelled, centroids = labelled_under(spark, root, apps, reference, encoder)
+    training, held = (vectors.examples_of(x) for x in vectors.split_labels(labelled, holdout))
+    if not len(training.slot):
+        raise ValueError(f"no label outside the subset {holdout} to fit on")
+    base, centre = description_anchors(encoder), np.mean(list(centroids.values()), axis=0) if centroids else np.zeros(0)
+    scorings = vectors.SCORING if centroids else ("raw",)
+    smoothing, secondary, scoring, _ = vectors.best_params(vectors.searched(vectors.split_labels(labelled, holdout)[0], base, centre, folds, objective, scorings))
+    fitted = base if np.isinf(smoothing) else vectors.fit(base, training, smoothing, secondary, apps)
     fitted = fitted.prepare(scoring, centre)
-    fitted.margin = max(vectors.MARGINS, key=lambda m: vectors.score(fitted, e, m)[1])
+    fitted.margin = max(vectors.MARGINS, key=lambda m: vectors.score(fitted, training, m)[1])
     Path(reference).mkdir(parents=True, exist_ok=True)
     fitted.save(f"{reference}/anchors.json")
-    return {"smoothing": smoothing, "secondary": secondary, "scoring": scoring, "margin": fitted.margin, "examples": len(e.slot)}
+    agreement, f1 = vectors.score(fitted, held, fitted.margin) if len(held.slot) else (None, None)
+    evidence = [] if fitted.evidence is None else sorted(({"category": c, "evidence": float(e), "learned": float(x)} for c, e, x in zip(CATEGORY_IDS, fitted.evidence, fitted.share)), key=lambda r: -r["evidence"])
+    return {"smoothing": smoothing, "secondary": secondary, "scoring": scoring, "margin": fitted.margin, "examples": len(training.slot), "held_back": len(held.slot), "agreement": agreement, "macro_f1": f1,
+            "anchors": evidence, "other": vectors.other_choice(base, training, held, centre, fitted, objective, folds, scorings)}
+
+
+def transfer(spark: SparkSession, root: str, apps: list[int], reference: str, folds: int = 5, objective: str = "primary", holdout: str = vectors.HOLDOUT, encoder: str | None = None) -> DataFrame:
+    """Verdicts of leaving each app out, on what is held back of it (see ``vectors.transfer``)."""
+    encoder = encoder or files.encoder_of(root, apps[0])
+    labelled, centroids = labelled_under(spark, root, apps, reference, encoder)
+    return vectors.transfer(labelled, description_anchors(encoder), "app", holdout, centroids, None, folds, objective, vectors.SCORING if centroids else ("raw",))
 
 
-def measure(spark: SparkSession, root: str, app: int, reference: str) -> dict:
-    """Agreement of an app's classifications with its labels, overall, by slice and by category."""
-    pairs = evaluate.compared(_labels(spark, reference, app), _tags(spark, root, app)).cache()
+def measure(spark: SparkSession, root: str, app: int, reference: str, holdout: str | None = vectors.HOLDOUT) -> dict:
+    """Agreement of an app's classifications with the labels held back (None: with all), overall and by category; by slice over all labels."""
+    everything = evaluate.compared(_labels(spark, reference, app), _tags(spark, root, app)).cache()
+    pairs = everything if holdout is None else everything.where(F.col("subset") == holdout)
     low, high = stats.wilson(F.col("agreed"), F.col("compared"))
     overall = pairs.where("predicted is not null").agg(F.count_if(F.col("primary") == F.col("predicted")).alias("agreed"), F.count("*").alias("compared"))
     overall = overall.select("agreed", "compared", stats.rate(F.col("agreed"), F.col("compared")).alias("agreement"), low.alias("low"), high.alias("high"))
     scores = evaluate.category_scores(evaluate.category_counters(pairs)).join(evaluate.mistaken_for(evaluate.confusion(pairs)).select(F.col("primary").alias("category"), "taken_for"), "category", "left")
     out = overall.first().asDict() | {
-        "unmatched": pairs.where("predicted is null").count(), "macro_f1": evaluate.macro_f1(scores).first()[0],
-        "categories": {r.category: r.asDict() for r in scores.collect()}, "slices": [r.asDict() for r in evaluate.slices(pairs).orderBy("subset", F.desc("whole"), "ambiguous").collect()],
+        "app_id": app, "unmatched": pairs.where("predicted is null").count(), "macro_f1": evaluate.macro_f1(scores).first()[0], "anchors": evaluate.provenance(pairs).first()["anchors"],
+        "categories": {r.category: r.asDict() for r in scores.orderBy(F.desc("ref_mentions"), "category").collect()}, "slices": [r.asDict() for r in evaluate.slices(everything).orderBy("subset", F.desc("whole"), "ambiguous").collect()],
     }
-    pairs.unpersist()
+    everything.unpersist()
     return out
 
 
@@ -205,6 +273,7 @@ def page(spark: SparkSession, root: str, apps: list[int], reference: str, out: s
         app = report.build(rows, _tags(spark, root, a), [a], quotes)[0]
         facts = files.read_json(files.snapshot_of(root, a) / "crawl.json")
         app.captured_share, app.name = facts.get("coverage"), facts.get("name")
+        app.captured, app.stated = facts.get("rows_unique"), facts.get("valve_total_reviews")
         app.agreement = files.agreement_or_none(lambda a=a: measure(spark, root, a, reference) if (Path(reference) / str(a) / "labels.json").exists() else None)
         content.append(app)
     report.save(content, out)
@@ -212,14 +281,19 @@ def page(spark: SparkSession, root: str, apps: list[int], reference: str, out: s
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="lensmill")
-    p.add_argument("command", choices=["crawl", "embed", "classify", "report", "sample", "brief", "ingest", "fit", "evaluate"])
+    p.add_argument("command", choices=["crawl", "embed", "classify", "report", "sample", "brief", "ingest", "fit", "transfer", "compare", "evaluate"])
     p.add_argument("apps", nargs="*", type=int)
     p.add_argument("--root", default="corpus")
     p.add_argument("--reference", default="reference")
     p.add_argument("--pages", help="folder of stored pages")
     p.add_argument("--base", help="address of the store")
     p.add_argument("--top-up", action="store_true")
-    p.add_argument("--encoder", default="hashing", choices=sorted(vectors.ENCODERS))
+    p.add_argument("--encoder", choices=sorted(vectors.ENCODERS), help="what to embed, fit or compare with")
+    p.add_argument("--against", choices=sorted(vectors.ENCODERS), help="compare: the other encoder")
+    p.add_argument("--holdout", default=vectors.HOLDOUT, help="subset of labels that is never fitted on")
+    p.add_argument("--all-labels", action="store_true", help="evaluate: also on labels that were fitted on")
+    p.add_argument("--produced-by", default="unknown")
+    p.add_argument("--json", action="store_true", help="print facts as JSON instead of tables")
     p.add_argument("--anchors")
     p.add_argument("--margin", type=float)
     p.add_argument("--per-app", type=int, default=100)
@@ -236,20 +310,27 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     spark = session()
     try:
+        call = lambda f: f(spark, a.root, a.apps, a.reference, a.folds, a.objective, a.holdout)
         done = {
             "crawl": lambda: [crawl(spark, a.root, x, a.pages, a.base, a.top_up) for x in a.apps],
-            "embed": lambda: [embed(spark, a.root, x, a.encoder) for x in a.apps],
+            "embed": lambda: [embed(spark, a.root, x, a.encoder or "hashing") for x in a.apps],
             "classify": lambda: [classify(spark, a.root, x, a.reference, a.anchors, a.margin) for x in a.apps],
             "sample": lambda: sample(spark, a.root, a.apps, a.reference, a.per_app, a.per_category, seed=a.seed),
-            "ingest": lambda: [ingest(spark, a.reference, x, a.returned, a.force) for x in a.apps],
-            "fit": lambda: fit(spark, a.root, a.apps, a.reference, a.folds, a.objective),
-            "evaluate": lambda: [measure(spark, a.root, x, a.reference) for x in a.apps],
+            "ingest": lambda: [ingest(spark, a.reference, x, a.returned, a.force, a.produced_by) for x in a.apps],
+            "fit": lambda: fit(spark, a.root, a.apps, a.reference, a.folds, a.objective, a.holdout, a.encoder),
+            "transfer": lambda: call(transfer),
+            "compare": lambda: (call(transfer), transfer(spark, a.root, a.apps, a.reference, a.folds, a.objective, a.holdout, a.against)),
+            "evaluate": lambda: [measure(spark, a.root, x, a.reference, None if a.all_labels else a.holdout) for x in a.apps],
             "report": lambda: page(spark, a.root, a.apps, a.reference, a.out),
         }[a.command]()
+        tables = {"crawl": terminal.crawls, "classify": terminal.classifications, "fit": terminal.fitted, "evaluate": terminal.evaluations, "transfer": terminal.transfers, "compare": lambda d: terminal.comparison(*d)}
+        if a.command in tables and (not a.json or isinstance(done, (tuple, DataFrame))):
+            print(tables[a.command](done))
+        else:
+            print(json.dumps(done, indent=1, ensure_ascii=False, default=str))
     except NoSuchCorpus as error:
         print(f"no such app: {error}")
         return 1
-    print(json.dumps(done, indent=1, ensure_ascii=False, default=str))
     return 0
 
 

@@ -105,6 +105,11 @@ def pooled(counters: DataFrame) -> DataFrame:
     return known.groupBy("category").agg(*[F.sum(c).alias(c) for c in counters.columns if c not in ("category", "appid")])
 
 
+def pooled_sources(sources: DataFrame) -> DataFrame:
+    """The anchors and labellers behind several apps' agreement (``appid, anchors, produced_by``), each once and in order."""
+    return sources.agg(F.count("*").alias("apps"), F.array_sort(F.collect_set("anchors")).alias("anchors"), F.array_sort(F.collect_set("produced_by")).alias("produced_by"))
+
+
 def paired(first: DataFrame, second: DataFrame) -> DataFrame:
     """Gained, lost and the exact McNemar probability of two sets of verdicts (``id, right``) on the same reviews.
 

@@ -114,6 +114,17 @@ def pending_reviews(rows: DataFrame, runs: DataFrame, ledger: DataFrame | None =
     return wanted.groupBy("appid", "recommendationid").agg(F.max_by(F.struct(*rows.columns), order).alias("__row")).select("__row.*")
 
 
+def vanished(rows: DataFrame, full_crawls: DataFrame) -> DataFrame:
+    """``appid, recommendationid, last_seen`` of reviews that the newest finished full crawl of their app no longer delivered.
+
+    ``full_crawls`` has ``app_id, snapshot_unix, finished_unix`` of crawls that asked for everything; a
+    top-up says nothing about what is gone. Reviews first seen later than that crawl are not gone.
+    """
+    newest = full_crawls.where("finished_unix is not null").groupBy(F.col("app_id").alias("appid")).agg(F.max("snapshot_unix").alias("__full"))
+    seen = rows.where("recommendationid is not null").groupBy("appid", "recommendationid").agg(F.max("snapshot_unix").alias("last_seen"))
+    return checked_join(seen, newest, ["appid"], "inner").where("last_seen < __full").drop("__full")
+
+
 class TopUp:
     """Exactly-once incremental runs over a growing source, kept in one folder.
 

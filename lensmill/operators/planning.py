@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lensmill.shared import cut
+from lensmill.shared import checked_join
 
 #: Reviews a window aims at, the shortest span that is still halved, the first second worth asking for.
 TARGET, LEAST_SPAN, EPOCH = 40_000, 86_400, 1_356_998_400
@@ -40,29 +40,35 @@ def split_windows(start: int, end: int, count, target: int = TARGET, least_span:
     return out
 
 
-def shard_plan(reviews: DataFrame, start: Column, end: Column, target: int = TARGET, least_span: int = LEAST_SPAN, rounds: int = 40, time: str = "timestamp_created") -> DataFrame:
+def shard_plan(reviews: DataFrame, start: Column, end: Column, target: int = TARGET, least_span: int = LEAST_SPAN, time: str = "timestamp_created") -> DataFrame:
     """``appid, start_date, end_date, expected``: the windows of every app at once.
 
-    Each round halves all windows that hold too many; a row goes with the window it lies in, so
-    windows are counted by one aggregation a round over the histogram of seconds. Rounds end when
-    nothing is left to halve, after at most log2(span / least span) of them.
+    Where halving leads is known beforehand: every second has one window a level, down to those that
+    are not halved any more. Seconds are first added up to these smallest windows, of which an app has
+    a bounded number, and these to the windows of all levels. A window is in the plan if it need not
+    or cannot be halved and its parent had to be. Two aggregations do, whatever an app holds.
     """
     rows = histogram(reviews, time)
     bounds = rows.groupBy("appid").agg(start.alias("a"), end.alias("b"))
-    live = rows.join(bounds, "appid").where("at >= a and at <= b")
-    done = None
-    for _ in range(rounds):
-        sized = live.withColumn("held", F.sum("n").over(Window.partitionBy("appid", "a", "b")))
-        split = (F.col("held") > target) & (F.col("b") - F.col("a") > least_span)
-        kept = sized.where(~split).groupBy("appid", "a", "b").agg(F.sum("n").alias("expected"))
-        done = kept if done is None else done.unionByName(kept)
-        middle = F.col("a") + F.floor((F.col("b") - F.col("a")) / 2).cast("bigint")
+    inside = checked_join(rows, bounds, ["appid"], "inner").where("at >= a and at <= b")
+
+    def halved(path: Column, _: Column) -> Column:
+        last = F.element_at(path, -1)
+        a, b = last["a"], last["b"]
+        middle = a + F.floor((b - a) / 2).cast("bigint")
         low = F.col("at") <= middle
-        live = sized.where(split).select("appid", "at", "n", F.when(low, F.col("a")).otherwise(middle + 1).alias("a"), F.when(low, middle).otherwise(F.col("b")).alias("b"))
-        live = cut(live)
-        if live.isEmpty():
-            break
-    return done.select("appid", F.col("a").alias("start_date"), F.col("b").alias("end_date"), "expected")
+        below = F.struct(F.when(low, a).otherwise(middle + 1).alias("a"), F.when(low, middle).otherwise(b).alias("b"))
+        return F.when(b - a > least_span, F.concat(path, F.array(below))).otherwise(path)
+
+    levels = F.greatest(F.lit(1), F.ceil(F.log2((F.col("b") - F.col("a") + 1) / float(least_span))) + 1).cast("int")
+    path = F.aggregate(F.sequence(F.lit(1), levels), F.array(F.struct("a", "b")), halved)
+    smallest = inside.withColumn("path", path).groupBy("appid", "path").agg(F.sum("n").alias("n"))
+    level = smallest.select("appid", "path", "n", F.explode(F.sequence(F.lit(1), F.size("path"))).alias("k"))
+    own, above = F.element_at("path", F.col("k")), F.try_element_at("path", F.when(F.col("k") > 1, F.col("k") - 1))
+    held = level.groupBy("appid", own["a"].alias("start_date"), own["b"].alias("end_date"), above["a"].alias("pa"), above["b"].alias("pb")).agg(F.sum("n").alias("expected"), F.max(F.col("k") == F.size("path")).alias("smallest"))
+    parents = held.select("appid", F.col("start_date").alias("pa"), F.col("end_date").alias("pb"), F.col("expected").alias("parent"))
+    final = held.join(parents, ["appid", "pa", "pb"], "left").where((F.col("expected") <= target) | F.col("smallest"))
+    return final.where(F.col("pa").isNull() | (F.col("parent") > target)).select("appid", "start_date", "end_date", "expected")
 
 
 def disjoint(plan: DataFrame) -> DataFrame:
@@ -78,7 +84,7 @@ def fell_short(rows: Column, expected: Column) -> Column:
 
 
 def crawl_tally(shards: DataFrame) -> DataFrame:
-    """Rows, pages, restarted and short windows of each crawl (``fetched`` counts before duplicates were dropped)."""
+    """Rows and pages of the windows of each crawl that are done, rows before duplicates between windows are dropped, and those that came back short."""
     return shards.groupBy("crawl_id").agg(
         F.coalesce(F.sum(F.when(F.col("status") == "done", F.col("row_count"))), F.lit(0)).alias("rows"),
         F.coalesce(F.sum(F.when(F.col("status") == "done", F.col("pages"))), F.lit(0)).alias("pages"),
@@ -96,6 +102,12 @@ def unfinished(crawls: DataFrame) -> DataFrame:
     return crawls.where("finished_unix is null").groupBy("app_id").agg(F.max("id").alias("id"))
 
 
+def unfinished_progress(crawls: DataFrame, shards: DataFrame) -> DataFrame:
+    """``unfinished`` with the windows of each such crawl that are ``done`` and its ``total``."""
+    counts = shards.groupBy(F.col("crawl_id").alias("id")).agg(F.count_if(F.col("status") == "done").alias("done"), F.count("*").alias("total"))
+    return unfinished(crawls).join(counts, "id", "left").na.fill(0, ["done", "total"]).select("app_id", "id", "done", "total")
+
+
 def watermarks(crawls: DataFrame, old: DataFrame) -> DataFrame:
     """Per app the greatest mark above 0."""
     return old.where("max_created > 0").groupBy("app_id").agg(F.max("max_created").alias("max_created"))
@@ -150,10 +162,14 @@ class CrawlState:
         return mine.withColumn("status", F.when(F.col("status") == "running", "pending").otherwise(F.col("status"))).orderBy(F.desc("expected"), "idx")
 
     def mark(self, crawl_id: int, idx: int, status: str, rows: int | None = None, pages: int | None = None, stop: str | None = None, max_created: int | None = None) -> None:
-        hit = (F.col("crawl_id") == crawl_id) & (F.col("idx") == idx)
-        new = {"status": status, "row_count": rows, "pages": pages, "stop_reason": stop, "max_created": max_created}
-        old = self.read("shard")
-        self._write("shard", old.withColumns({k: F.when(hit, F.lit(v).cast(old.schema[k].dataType)).otherwise(F.col(k)) for k, v in new.items()}))
+        self.mark_all(crawl_id, [(idx, status, rows, pages, stop, max_created)])
+
+    def mark_all(self, crawl_id: int, marks: list[tuple]) -> None:
+        """Set ``status, row_count, pages, stop_reason, max_created`` of windows by their number, in one write."""
+        new = self.spark.createDataFrame(marks, "idx bigint, __status string, __row_count bigint, __pages bigint, __stop_reason string, __max_created bigint").withColumn("crawl_id", F.lit(crawl_id).cast("bigint"))
+        old = self.read("shard").join(F.broadcast(new), ["crawl_id", "idx"], "left")
+        hit = F.col("__status").isNotNull()
+        self._write("shard", old.withColumns({k: F.when(hit, F.col(f"__{k}")).otherwise(F.col(k)) for k in ("status", "row_count", "pages", "stop_reason", "max_created")}))
 
     def progress(self, crawl_id: int) -> tuple[int, int]:
         """Windows done and in all."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -85,10 +87,17 @@ def months(reviews: DataFrame) -> DataFrame:
     return reviews.groupBy("appid", year_month("timestamp_created").alias("month")).agg(F.count("*").alias("reviews"), F.count_if("voted_up").alias("positive"))
 
 
-def month_categories(joined: DataFrame) -> DataFrame:
-    """``month, category, mentions`` in long form."""
-    each = joined.select(year_month("timestamp_created").alias("month"), F.explode("mentions").alias("category"))
-    return each.groupBy("month", "category").agg(F.count("*").alias("mentions"))
+def month_categories(joined: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``by..., month, category, mentions`` in long form."""
+    each = joined.select(*by, year_month("timestamp_created").alias("month"), F.explode("mentions").alias("category"))
+    return each.groupBy(*by, "month", "category").agg(F.count("*").alias("mentions"))
+
+
+def month_rates(by_month: DataFrame) -> DataFrame:
+    """``months`` with the share of reviews that are positive and the month's share of all of its app's; null without reviews."""
+    whole = by_month.groupBy("appid").agg(F.sum("reviews").alias("__all"))
+    out = by_month.join(whole, "appid").withColumn("positive_share", rate(F.col("positive"), F.col("reviews")))
+    return out.withColumn("share", rate(F.col("reviews"), F.col("__all"))).drop("__all")
 
 
 def month_extremes(by_month: DataFrame, least: int = 30) -> DataFrame:

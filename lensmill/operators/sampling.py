@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lensmill.functions.text import not_blank, rank_key
+from lensmill.schema import CATEGORY_IDS
 
 
 def smallest(rows: DataFrame, key: str, k: int) -> DataFrame:
@@ -44,6 +45,15 @@ def drawn(assigned: DataFrame, per_app: int, per_category: int, seed: int = 1) -
     return one.unionByName(stratified(pool, per_category, seed).select(*columns, F.lit("stratified").alias("subset")))
 
 
+def sample_summary(sample: DataFrame, per_category: int) -> DataFrame:
+    """Per app and category of the taxonomy the stratified rows ``drawn`` (0 where an app supplies nothing: ``thin``), and whether all apps together stay ``short`` of ``per_category``."""
+    grid = sample.select("appid").distinct().withColumn("category", F.explode(F.array(*[F.lit(c) for c in CATEGORY_IDS])))
+    got = sample.where("subset = 'stratified'").groupBy("appid", F.col("predicted").alias("category")).agg(F.count("*").alias("drawn"))
+    full = grid.join(got, ["appid", "category"], "left").na.fill(0, ["drawn"])
+    total = full.groupBy("category").agg((F.sum("drawn") < per_category).alias("short"))
+    return full.withColumn("thin", F.col("drawn") == 0).join(F.broadcast(total), "category").select("appid", "category", "drawn", "thin", "short")
+
+
 def with_texts(sample: DataFrame, reviews: DataFrame) -> DataFrame:
     """The sample with its texts; blank ones drop out."""
     return sample.join(reviews.select("recommendationid", "review"), "recommendationid", "left").where(not_blank("review"))

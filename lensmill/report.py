@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lensmill.functions.show import built_from, coverage, escape, percent, thousands, title
 from lensmill.functions.text import review_url
 from lensmill.operators import rates, sampling
-from lensmill.schema import CATEGORIES, LANGUAGES, RIGHT_TO_LEFT
+from lensmill.schema import ALONE, BOUNDARIES, CATEGORIES, DESCRIPTIONS, LANGUAGES, RIGHT_TO_LEFT
 
 #: Reviews a month needs to be drawn, reference mentions a category needs to be judged, recall under which it is thin, languages named.
 MONTH_LEAST, MENTIONS_LEAST, THIN_RECALL, LANGUAGES_SHOWN = 30, 10, 0.25, 12
@@ -39,6 +39,8 @@ class App:
     reviews: int = 0
     positive: int = 0
     captured_share: float | None = None
+    captured: int | None = None
+    stated: int | None = None
     top_reviews: int = 0
     categories: list[dict] = field(default_factory=list)
     months: list[dict] = field(default_factory=list)
@@ -226,18 +228,12 @@ def save(apps: list[App], path: str) -> None:
         f.write(render(apps))
 
 
-def table(rows: DataFrame, columns: list[str], most: int = 50) -> str:
-    """A plain table for the terminal of at most ``most`` rows."""
-    got = [[str(v) if v is not None else "-" for v in r] for r in rows.select(*columns).limit(most).collect()]
-    width = [max(len(c), *(len(r[i]) for r in got)) if got else len(c) for i, c in enumerate(columns)]
-    line = lambda cells: "  ".join(c.rjust(w) for c, w in zip(cells, width))
-    return "\n".join([line(columns), *map(line, got)])
-
-
 def labelling_brief(descriptions: dict[str, str] | None = None) -> str:
-    """Instructions for whoever labels a sample: every category once, in order, and what an answer looks like."""
+    """Instructions for whoever labels a sample: every category once, in order, where two meet, which stand alone, and what an answer looks like."""
+    what = DESCRIPTIONS | (descriptions or {})
     lines = ["Label each review with one primary category and up to three secondary ones.", ""]
-    for c, label in CATEGORIES:
-        lines.append(f"{c}: {label}" + (f". {descriptions[c]}" if descriptions and c in descriptions else ""))
+    lines += [f"{c}: {label}. {what[c]}" for c, label in CATEGORIES]
+    lines += ["", "Where two categories meet:"] + [f"{a} or {b}: {rule}" for a, b, rule in BOUNDARIES]
+    lines += ["", f"These stand alone, with no secondary category: {', '.join(ALONE)}."]
     lines += ["", 'Answer with a JSON array of {"id", "primary", "secondary", "ironic", "confidence", "ambiguous"}.']
     return "\n".join(lines) + "\n"

@@ -29,6 +29,39 @@ CATEGORIES = (
     ("accessibility", "Accessibility and options"),
     ("language", "Language and localisation"),
 )
+#: What belongs to each category, in a sentence: the text of its first anchor and of the labelling brief.
+DESCRIPTIONS = {
+    "performance": "How fast and smoothly it runs: frame rate, stutter, loading times, heat.",
+    "bugs": "What is broken: crashes, errors, lost progress, things that do not work as meant.",
+    "gameplay": "What the player does: rules, combat, systems, how it feels to play.",
+    "genre": "What kind of game it is and which other games it is like or unlike.",
+    "verdict": "Good or bad, recommended or not, with no reason given.",
+    "offtopic": "Jokes, memes, drawings and talk that say nothing about the game.",
+    "story": "Plot, characters, dialogue, world and how they are written.",
+    "graphics": "How it looks: art, models, effects, animation.",
+    "audio": "How it sounds: music, effects, voices.",
+    "controls": "Keys, controllers, camera, menus and other parts of the interface.",
+    "difficulty": "How hard or easy it is, fairness and balance of its parts.",
+    "content": "How much there is: length, variety, repetition, replay.",
+    "price": "What it costs and whether it is worth that, sales and refunds.",
+    "monetisation": "Extra payments: expansions, cosmetics, passes, loot boxes.",
+    "multiplayer": "Playing with others: servers, matchmaking, cooperation, lag.",
+    "community": "The other players: behaviour, cheating, friendliness, mods they make.",
+    "updates": "What the developers did since release: patches, promises, support, abandonment.",
+    "policy": "What publisher or platform impose: accounts, launchers, copy protection, bans, regions.",
+    "compatibility": "Which machines, systems and devices it works on.",
+    "accessibility": "Options for different needs: text size, colours, subtitles, remapping.",
+    "language": "Translations, missing languages and the quality of both.",
+}
+#: Where two categories meet, the one that a review belongs to.
+BOUNDARIES = (
+    ("performance", "bugs", "Slow is performance; a stop or an error is bugs."),
+    ("compatibility", "bugs", "It never works on this machine: compatibility. It works and then breaks: bugs."),
+    ("price", "monetisation", "The price of the game itself is price; any payment after that is monetisation."),
+    ("multiplayer", "community", "Servers and modes are multiplayer; the people met there are community."),
+    ("updates", "policy", "A change to the game is updates; a condition for playing it is policy."),
+    ("controls", "accessibility", "A control that is bad for all is controls; an option that some need is accessibility."),
+)
 ALONE = ("verdict", "offtopic")
 CATEGORY_IDS = tuple(c for c, _ in CATEGORIES)
 ALONE_SLOTS = tuple(CATEGORY_IDS.index(c) for c in ALONE)
@@ -70,16 +103,35 @@ LANGUAGES = (
 )
 RIGHT_TO_LEFT = ("ar",)
 
-#: Columns of a captured review, in order, with the type of each; ids and raw_json are never null.
-_CAPTURE = (
-    "recommendationid string, appid bigint, author_steamid string, author_num_games_owned bigint, author_num_reviews bigint, "
-    "author_playtime_forever bigint, author_playtime_at_review bigint, author_playtime_last_two_weeks bigint, author_last_played bigint, "
-    "language string, review string, timestamp_created bigint, timestamp_updated bigint, voted_up boolean, votes_up bigint, votes_funny bigint, "
-    "weighted_vote_score double, comment_count bigint, steam_purchase boolean, received_for_free boolean, written_during_early_access boolean, "
-    "refunded boolean, primarily_steam_deck boolean, raw_json string"
+#: Columns of a captured review, in order, with the type of each; ids and raw_json are never null.
+CAPTURE = T.StructType(
+    [
+        T.StructField("recommendationid", T.StringType()),
+        T.StructField("appid", T.LongType()),
+        T.StructField("author_steamid", T.StringType()),
+        T.StructField("author_num_games_owned", T.LongType()),
+        T.StructField("author_num_reviews", T.LongType()),
+        T.StructField("author_playtime_forever", T.LongType()),
+        T.StructField("author_playtime_at_review", T.LongType()),
+        T.StructField("author_playtime_last_two_weeks", T.LongType()),
+        T.StructField("author_last_played", T.LongType()),
+        T.StructField("language", T.StringType()),
+        T.StructField("review", T.StringType()),
+        T.StructField("timestamp_created", T.LongType()),
+        T.StructField("timestamp_updated", T.LongType()),
+        T.StructField("voted_up", T.BooleanType()),
+        T.StructField("votes_up", T.LongType()),
+        T.StructField("votes_funny", T.LongType()),
+        T.StructField("weighted_vote_score", T.DoubleType()),
+        T.StructField("comment_count", T.LongType()),
+        T.StructField("steam_purchase", T.BooleanType()),
+        T.StructField("received_for_free", T.BooleanType()),
+        T.StructField("written_during_early_access", T.BooleanType()),
+        T.StructField("refunded", T.BooleanType()),
+        T.StructField("primarily_steam_deck", T.BooleanType()),
+        T.StructField("raw_json", T.StringType()),
+    ]
 )
-_TYPES = {"string": T.StringType(), "bigint": T.LongType(), "boolean": T.BooleanType(), "double": T.DoubleType()}
-CAPTURE = T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in _CAPTURE.split(", "))])
 CRAWL = "id bigint, app_id bigint, snapshot_unix bigint, params_url string, valve_total bigint, finished_unix bigint"
 SHARD = "crawl_id bigint, idx bigint, start_date bigint, end_date bigint, expected bigint, status string, row_count bigint, pages bigint, stop_reason string, max_created bigint"
 WATERMARK = "app_id bigint, max_created bigint, updated_unix bigint"

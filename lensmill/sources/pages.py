@@ -7,6 +7,7 @@ network the pages come from files that hold what the store would answer.
 
 from __future__ import annotations
 
+import http.client
 import json
 import os
 import threading
@@ -23,6 +24,10 @@ from lensmill.operators.planning import fell_short  # noqa: F401  (the same rule
 
 #: Rows a page may have, attempts at a page, seconds before the first retry, walks of a window that falls short.
 PAGE_ROWS, ATTEMPTS, BACKOFF, WALKS = 100, 5, 2.0, 3
+#: Seconds between two requests of a crawl, and windows that are walked at once.
+PACE, CONCURRENCY = 0.25, 4
+#: Seconds after which a request counts as lost.
+TIMEOUT = 60.0
 
 
 class NoSuchCorpus(Exception):
@@ -66,18 +71,23 @@ class Pace:
 
 
 def fetch(url: str, pace: Pace | None = None, opened: Callable = urllib.request.urlopen, sleep: Callable[[float], None] = time.sleep) -> dict:
-    """One page. 429 and server errors are tried again, after what the server says or ever longer."""
+    """One page. 429, server errors and broken connections are tried again, after what the server says or ever longer."""
     for attempt in range(1, ATTEMPTS + 1):
         if pace:
             pace.wait()
         try:
-            with opened(url) as answer:
+            with opened(url, timeout=TIMEOUT) as answer:
                 page = json.loads(answer.read())
         except urllib.error.HTTPError as error:
             if attempt == ATTEMPTS or not (error.code == 429 or error.code >= 500):
                 raise
             sleep(retry_after(error.headers) or BACKOFF * 2 ** (attempt - 1))
             continue
+        except (urllib.error.URLError, ConnectionError, TimeoutError, http.client.HTTPException):
+            if attempt == ATTEMPTS:
+                raise
+            sleep(BACKOFF * 2 ** (attempt - 1))
+            continue
         if page.get("success") != 1:
             raise NoSuchCorpus(url)
         return page
@@ -137,55 +147,67 @@ def walk_again(page_of: Callable[[ReviewQuery], dict], window: tuple[int, int] |
 
 
 @dataclass
-class _Window(InputPartition):
-    start: int
-    end: int
-    expected: int
+class _Windows(InputPartition):
+    """The windows that one task walks, one after the other, and the seconds it leaves between requests."""
+
+    windows: list[tuple[int, int, int]]
+    pace: float
 
-    def __init__(self, start: int, end: int, expected: int):
+    def __init__(self, windows: list[tuple[int, int, int]], pace: float):
         super().__init__(None)
-        self.start, self.end, self.expected = start, end, expected
+        self.windows, self.pace = windows, pace
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.app = int(options["app"])
         self.folder, self.base = options.get("folder"), options.get("base")
-        self.windows = json.loads(options.get("windows", "[[0, 4102444800, 0]]"))
-        self.pace = float(options.get("pace", "0.25"))
+        self.windows = [tuple(w) for w in json.loads(options.get("windows", "[[0, 4102444800, 0]]"))]
+        self.pace, self.concurrency = float(options.get("pace", PACE)), int(options.get("concurrency", CONCURRENCY))
         self.tally = options.get("tally") == "true"
 
     def partitions(self) -> list[InputPartition]:
-        # the fullest first, so that the longest walk does not start last
-        return [_Window(*w) for w in sorted(self.windows, key=lambda w: -w[2])]
-
-    def read(self, partition: _Window) -> Iterator[tuple]:
+        """At most ``concurrency`` tasks; each waits so many times longer that all together keep the pace of the crawl.
+
+        The fullest windows are dealt out first, each to the task with the least to walk.
+        """
+        tasks: list[list] = [[] for _ in range(min(self.concurrency, len(self.windows)) or 1)]
+        load = [0] * len(tasks)
+        for w in sorted(self.windows, key=lambda w: -w[2]):
+            k = load.index(min(load))
+            tasks[k].append(w)
+            load[k] += w[2] + 1
+        return [_Windows(t, self.pace * len(tasks)) for t in tasks]
+
+    def read(self, partition: _Windows) -> Iterator[tuple]:
         if self.folder:
             answer = stored_pages(self.folder)
             page_of = lambda q: answer(self.app, q)
         else:
-            pace = Pace(self.pace)
+            pace = Pace(partition.pace)
             page_of = lambda q: fetch(q.url(self.base, self.app), pace)
-        fetched = []
+        for start, end, expected in partition.windows:
+            fetched = []
 
-        def counted(q: ReviewQuery) -> dict:
-            fetched.append(q)
-            return page_of(q)
+            def counted(q: ReviewQuery, fetched: list = fetched) -> dict:
+                fetched.append(q)
+                return page_of(q)
 
-        rows, why, short = walk_again(counted, (partition.start, partition.end), partition.expected)
-        if short:
-            raise RuntimeError(f"window {partition.start} to {partition.end} stays short of {partition.expected}")
-        for r in rows:
-            yield self.app, json.dumps(r, ensure_ascii=False), *([None] * 6 if self.tally else ())
-        if self.tally:
-            newest = max((r["timestamp_created"] for r in rows if isinstance(r.get("timestamp_created"), int)), default=None)
-            yield self.app, None, partition.start, partition.end, len(rows), len(fetched), why, newest
+            rows, why, short = walk_again(counted, (start, end), expected)
+            if short and not self.tally:
+                raise RuntimeError(f"window {start} to {end} stays short of {expected}")
+            for r in rows:
+                yield self.app, json.dumps(r, ensure_ascii=False), *([None] * 7 if self.tally else ())
+            if self.tally:
+                newest = max((r["timestamp_created"] for r in rows if isinstance(r.get("timestamp_created"), int)), default=None)
+                yield self.app, None, start, end, len(rows), len(fetched), why, newest, short
 
 
 class ReviewPages(DataSource):
-    """``appid, raw_json`` of the reviews of one app. Options: app, folder or base, windows (JSON), pace.
+    """``appid, raw_json`` of the reviews of one app. Options: app, folder or base, windows (JSON), pace, concurrency.
 
-    With ``tally`` "true" each window ends with a row without ``raw_json`` that says how it was walked.
+    With ``tally`` "true" each window ends with a row without ``raw_json`` that says how it was
+    walked and whether it stayed ``short``; without it a window that stays short is an error.
     """
 
     @classmethod
@@ -193,13 +215,18 @@ class ReviewPages(DataSource):
         return "review_pages"
 
     def schema(self) -> str:
-        tally = ", window_start bigint, window_end bigint, row_count bigint, pages bigint, stop_reason string, max_created bigint"
+        tally = ", window_start bigint, window_end bigint, row_count bigint, pages bigint, stop_reason string, max_created bigint, short boolean"
         return "appid bigint, raw_json string" + (tally if self.options.get("tally") == "true" else "")
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
 
 
+def summary(page_of: Callable[[ReviewQuery], dict]) -> dict:
+    """What the store states about an app: totals, positive and negative ones, and its verdict in words."""
+    return page_of(ReviewQuery(per_page=0)).get("query_summary", {})
+
+
 def count(page_of: Callable[[ReviewQuery], dict], window: tuple[int, int] | None = None) -> int:
     """Reviews in a window, asked for without rows."""
     return int(page_of(ReviewQuery(per_page=0, window=window)).get("query_summary", {}).get("total_reviews", 0))

@@ -61,19 +61,20 @@ def test_state(spark, tmp_path):
 def test_url_and_retry():
     url = pages.ReviewQuery(cursor="AoJ+/=&", window=(1, 2)).url("https://store.invalid", 5)
     assert "cursor=AoJ%2B%2F%3D%26" in url and "start_date=1" in url and "language=all" in url and "num_per_page=100" in url
-    waits, answers = [], [urllib.error.HTTPError("u", 429, "", {"Retry-After": "7"}, None), urllib.error.HTTPError("u", 503, "", {}, None), BytesIO(b'{"success": 1, "reviews": []}')]
+    waits, answers = [], [urllib.error.HTTPError("u", 429, "", {"Retry-After": "7"}, None), urllib.error.HTTPError("u", 503, "", {}, None), ConnectionResetError(), urllib.error.URLError("down"), BytesIO(b'{"success": 1, "reviews": []}')]
 
-    def opened(_):
+    def opened(_, timeout):
+        assert timeout == pages.TIMEOUT
         answer = answers.pop(0)
         if isinstance(answer, Exception):
             raise answer
         return answer
 
-    assert pages.fetch("u", opened=opened, sleep=waits.append)["reviews"] == [] and waits == [7.0, 4.0]
+    assert pages.fetch("u", opened=opened, sleep=waits.append)["reviews"] == [] and waits == [7.0, 4.0, 8.0, 16.0]
     with pytest.raises(pages.NoSuchCorpus):
-        pages.fetch("u", opened=lambda _: BytesIO(b'{"success": 2}'))
+        pages.fetch("u", opened=lambda _, timeout: BytesIO(b'{"success": 2}'))
     with pytest.raises(urllib.error.HTTPError):
-        pages.fetch("u", opened=lambda _: (_ for _ in ()).throw(urllib.error.HTTPError("u", 404, "", {}, None)))
+        pages.fetch("u", opened=lambda _, timeout: (_ for _ in ()).throw(urllib.error.HTTPError("u", 404, "", {}, None)))
 
 
 def test_walks_end_and_are_repeated():
@@ -95,6 +96,20 @@ def test_data_source_reads_all_windows(spark, tmp_path):
     assert pages.count(lambda q: pages.stored_pages(str(tmp_path))(5, q)) == 260
 
 
+def test_tasks_together_keep_one_pace():
+    reader = pages._Reader({"app": "5", "windows": json.dumps([[k, k, 10 * k] for k in range(9)]), "pace": "0.5", "concurrency": "3"})
+    tasks = reader.partitions()
+    assert len(tasks) == 3 and {t.pace for t in tasks} == {1.5} and sorted(w[0] for t in tasks for w in t.windows) == list(range(9))
+    assert max(sum(w[2] for w in t.windows) for t in tasks) <= 140
+    assert len(pages._Reader({"app": "5", "windows": "[]"}).partitions()) == 1
+
+
+def test_progress_of_unfinished_crawls(spark):
+    crawls = spark.createDataFrame([(1, 7, None), (2, 7, None), (3, 8, 5), (4, 9, None)], "id bigint, app_id bigint, finished_unix bigint")
+    shards = spark.createDataFrame([(2, "done"), (2, "running"), (3, "done")], "crawl_id bigint, status string")
+    assert sorted(tuple(r) for r in planning.unfinished_progress(crawls, shards).collect()) == [(7, 2, 1, 2), (9, 4, 0, 0)]
+
+
 def test_streamed_topup_takes_each_review_once(spark, tmp_path):
     schema = topup.T.StructType([*topup.CAPTURE.fields, topup.T.StructField("snapshot_unix", topup.T.LongType())])
 
