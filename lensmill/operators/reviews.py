@@ -70,9 +70,10 @@ def shards_of(spark: SparkSession, path: str) -> list[str]:
 
 
 def with_defaults(reviews: DataFrame) -> DataFrame:
-    """Null helpfulness as 0.0, votes and times as 0, verdict as false, language as ''; blank texts are left out."""
+    """Null helpfulness as 0.0, votes and times as 0, verdict as false, language as ''; blank texts (by ``filled`` where there is one) are left out."""
     zero = {"weighted_vote_score": 0.0, "votes_up": 0, "voted_up": False, "language": "", "timestamp_created": 0}
-    return reviews.where(not_blank("review")).withColumns({c: F.coalesce(c, F.lit(v)) for c, v in zero.items() if c in reviews.columns})
+    kept = reviews.where("filled").drop("filled") if "filled" in reviews.columns else reviews.where(not_blank("review"))
+    return kept.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in zero.items() if c in reviews.columns})
 
 
 def write_capture(reviews: DataFrame, path: str) -> None:
@@ -80,15 +81,21 @@ def write_capture(reviews: DataFrame, path: str) -> None:
     reviews.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).partitionBy("appid", "snapshot").mode("append").parquet(path)
 
 
-def latest_by_id(copies: DataFrame, columns: Sequence[str]) -> DataFrame:
+def latest_by_id(copies: DataFrame, columns: Sequence[str], text: bool = True) -> DataFrame:
     """One row per ``recommendationid``: the copy updated last, then of the newest snapshot, then the greatest values.
 
-    Only the needed ``columns`` are shuffled. Rows with a null id are left out.
+    Only the needed ``columns`` are shuffled. Texts are compared by 60 bits of their digest; without
+    ``text`` the review itself stays where it is read, and ``filled`` says whether it is not blank.
+    Rows with a null id are left out.
     """
     order = [F.coalesce("timestamp_updated", "timestamp_created", F.lit(0)).alias("__updated"), F.coalesce("snapshot_unix", F.lit(0)).alias("__snapshot")]
     carried = [c for c in columns if c != "recommendationid"]
-    best = copies.where("recommendationid is not null").groupBy("recommendationid").agg(F.max(F.struct(*order, *carried)).alias("__row"))
-    return best.select("recommendationid", *[F.col(f"__row.{c}").alias(c) for c in carried])
+    tie = F.conv(F.substring(F.md5("review"), 1, 15), 16, 10).cast("bigint").alias("__text")
+    compared = [tie if c == "review" else F.col(c) for c in carried]
+    behind = ([F.col("review")] if text else [not_blank("review").alias("filled")]) if "review" in carried else []
+    best = copies.where("recommendationid is not null").groupBy("recommendationid").agg(F.max(F.struct(*order, *compared, *behind)).alias("__row"))
+    out = [c if c != "review" or text else "filled" for c in carried]
+    return best.select("recommendationid", *[F.col(f"__row.{c}").alias(c) for c in out])
 
 
 def newest_snapshot(copies: DataFrame) -> DataFrame:

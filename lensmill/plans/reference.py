@@ -22,7 +22,7 @@ _TAXONOMY = "tax(slot, category) AS (VALUES " + ", ".join(f"({k}, '{c}')" for k,
 _BLANK = r"[^\s\p{Z}\x{85}\x{0B}]"
 _REVIEWS = rf"""latest AS (
   SELECT *, row_number() OVER (PARTITION BY recommendationid ORDER BY coalesce(timestamp_updated, timestamp_created, 0) DESC, coalesce(snapshot_unix, 0) DESC,
-    appid DESC NULLS LAST, language DESC NULLS LAST, review DESC NULLS LAST, timestamp_created DESC NULLS LAST, voted_up DESC NULLS LAST,
+    appid DESC NULLS LAST, language DESC NULLS LAST, CAST('0x' || substr(md5(review), 1, 15) AS BIGINT) DESC NULLS LAST, timestamp_created DESC NULLS LAST, voted_up DESC NULLS LAST,
     votes_up DESC NULLS LAST, weighted_vote_score DESC NULLS LAST) AS copy
   FROM capture WHERE recommendationid IS NOT NULL),
 reviews AS (
@@ -78,8 +78,9 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reviews.with_defaults(reviews.latest_by_id(_t(spark, sf_dir, "capture"), _REVIEW_COLUMNS))
+def _reviews(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
+    """The latest copy of each review that is not blank; its text travels only where it is asked for."""
+    return reviews.with_defaults(reviews.latest_by_id(_t(spark, sf_dir, "capture"), _REVIEW_COLUMNS, text))
 
 
 def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +116,7 @@ def _round(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
 
 @query(f"WITH {_REVIEWS} SELECT recommendationid, appid, language, timestamp_created, voted_up, votes_up, weighted_vote_score FROM reviews")
 def latest_by_id(spark, sf_dir):
-    return _reviews(spark, sf_dir).drop("review")
+    return _reviews(spark, sf_dir)
 
 
 @query("SELECT appid, max(snapshot_unix) AS snapshot_unix FROM capture GROUP BY appid")
@@ -147,7 +148,7 @@ def json_extract_strict(spark, sf_dir):
 
 @query(f"WITH {_REVIEWS} SELECT appid, count(*) AS reviews, count(DISTINCT sha256(review)) AS texts, round(1 - count(DISTINCT sha256(review)) / count(*), 9) AS dedupe_rate FROM reviews GROUP BY appid")
 def text_dedupe(spark, sf_dir):
-    per_text = _reviews(spark, sf_dir).groupBy("appid", text.text_key("review").alias("text_sha256")).agg(F.count("*").alias("n"))
+    per_text = _reviews(spark, sf_dir, text=True).groupBy("appid", text.text_key("review").alias("text_sha256")).agg(F.count("*").alias("n"))
     out = per_text.groupBy("appid").agg(F.sum("n").alias("reviews"), F.count("*").alias("texts"))
     return out.withColumn("dedupe_rate", F.round(1 - F.col("texts") / F.col("reviews"), 9))
 
@@ -574,7 +575,7 @@ def centred_similarity(spark, sf_dir):
 
 @query()
 def embed_texts(spark, sf_dir):
-    return vectors.embedded(_reviews(spark, sf_dir), vectors.ENCODERS["hashing"])
+    return vectors.embedded(_reviews(spark, sf_dir, text=True), vectors.ENCODERS["hashing"])
 
 
 def _labelled(spark, sf_dir, width: int = 64) -> DataFrame:
