@@ -5,18 +5,22 @@ Only aggregates and a few quoted reviews of each app come to the driver; the pag
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lensmill.functions.show import built_from, coverage, escape, percent, thousands, title
-from lensmill.functions.text import review_url
+from lensmill.functions.stats import Z
+from lensmill.functions.text import day_name, review_url
 from lensmill.operators import rates, sampling
 from lensmill.schema import ALONE, BOUNDARIES, CATEGORIES, DESCRIPTIONS, LANGUAGES, RIGHT_TO_LEFT
 
 #: Reviews a month needs to be drawn, reference mentions a category needs to be judged, recall under which it is thin, languages named.
 MONTH_LEAST, MENTIONS_LEAST, THIN_RECALL, LANGUAGES_SHOWN = 30, 10, 0.25, 12
+#: Reviews of the top of the pile that a page shows.
+TOP_SHOWN = 10
 _LABEL = dict(CATEGORIES)
 _TAG = {name: (tag, shown) for name, tag, shown in LANGUAGES}
 
@@ -28,6 +32,9 @@ class Quote:
     language: str
     votes: int
     url: str | None
+    day: str = ""
+    positive: bool | None = None
+    mentions: list[str] = field(default_factory=list)
 
 
 @dataclass
@@ -46,6 +53,8 @@ class App:
     months: list[dict] = field(default_factory=list)
     languages: list[tuple[str, int]] = field(default_factory=list)
     quotes: list[Quote] = field(default_factory=list)
+    top: list[Quote] = field(default_factory=list)
+    trends: dict[str, list[tuple[str, float]]] = field(default_factory=dict)  # by category: share of a month's reviews
     anchors: list[str] = field(default_factory=list)
     agreement: dict | None = None
 
@@ -63,6 +72,11 @@ def build(reviews: DataFrame, assigned: DataFrame, apps: list[int], quotes: int
     for r in rates.months(chosen).orderBy("appid", "month").collect():
         out[r.appid].months.append(r.asDict())
         out[r.appid].positive += r.positive
+    size = {(a.appid, m["month"]): m["reviews"] for a in out.values() for m in a.months}
+    counted = {(r.appid, r.month, r.category): r.mentions for r in rates.month_categories(joined, ["appid"]).collect()}
+    for app in out.values():  # months without a mention count as 0, months of few reviews not at all
+        drawn = [m["month"] for m in app.months if m["reviews"] >= MONTH_LEAST]
+        app.trends = {c: [(m, counted.get((app.appid, m, c), 0) / size[app.appid, m]) for m in drawn] for c, _ in CATEGORIES}
     for r in chosen.groupBy("appid", "language").agg(F.count("*").alias("n")).orderBy("appid", F.desc("n"), "language").collect():
         out[r.appid].languages.append((r.language or "unknown", r.n))
     for r in joined.groupBy("appid").agg(F.array_sort(F.collect_set("anchors")).alias("anchors")).collect():
@@ -70,12 +84,16 @@ def build(reviews: DataFrame, assigned: DataFrame, apps: list[int], quotes: int
     top = rates.top_of_pile(chosen).select("recommendationid", "appid", "rank").join(tags.select("recommendationid", "mentions"), "recommendationid")
     picked = sampling.quoted(sampling.shortlist(joined, quotes), top, quotes)
     author = F.col("author_steamid") if "author_steamid" in chosen.columns else F.lit("")
-    full = picked.join(chosen.select("recommendationid", "review", "language", "votes_up", review_url(author, F.col("appid"), store).alias("url")), "recommendationid")
+    card = chosen.select("recommendationid", "review", "language", "votes_up", "voted_up", day_name("timestamp_created").alias("day"), review_url(author, F.col("appid"), store).alias("url"))
+    full = picked.join(card, "recommendationid")
     for r in full.orderBy("appid", "category", "quote").collect():
-        out[r.appid].quotes.append(Quote(r.category, r.review, r.language, r.votes_up, r.url))
+        out[r.appid].quotes.append(Quote(r.category, r.review, r.language, r.votes_up, r.url, r.day, r.voted_up))
+    for r in top.where(F.col("rank") <= TOP_SHOWN).join(card, "recommendationid").orderBy("appid", "rank").collect():
+        out[r.appid].top.append(Quote("", r.review, r.language, r.votes_up, r.url, r.day, r.voted_up, r.mentions))
     if covered is not None:
         for r in covered.where(F.col("appid").isin(apps)).collect():
-            out[r.appid].captured_share = r.coverage
+            app = out[r.appid]
+            app.captured_share, app.captured, app.stated = r.coverage, r.captured, r.stated
     chosen.unpersist()
     tags.unpersist()
     return [out[a] for a in apps]
@@ -122,19 +140,39 @@ def _language(name: str) -> str:
     return f"<span{way}>{escape(shown)}</span>"
 
 
+_LEGEND = (
+    "<p class=\"legend\"><b>of all reviews</b>: share of all that mention it. <b>mainly</b>: share that are mainly about it. <b>positive</b>: of those that mention it. "
+    "<b>of the top</b>: share of the most helpful reviews that mention it. <b>bias</b>: how many times as often the top mentions it; the bar stands left of the middle for less often. "
+    "The line is its share month by month.</p>"
+)
+
+
+def _gauge(bias: float | None) -> str:
+    """A bar between -1 and 1 for how the top exaggerates; a doubling is a third of the way."""
+    if bias is None:
+        return ""
+    at = -1.0 if bias <= 0 else max(-1.0, min(1.0, math.log2(bias) / 3))
+    return f'<meter min="-1" max="1" value="{at:.2f}">{bias:.1f}</meter>'
+
+
 def _categories(app: App) -> str:
     scores = (app.agreement or {}).get("categories", {})
+    by: dict[str, list[Quote]] = {}
+    for q in app.quotes:
+        by.setdefault(q.category, []).append(q)
     rows = []
     for c in app.categories:
         if not c["mention_count"]:
             continue
+        name = c["category"]
         bias = "" if c["bias_factor"] is None else f"{c['bias_factor']:.1f}"
+        evidence = f'<details class="evidence" id="app-{app.appid}-{name}"><summary>{len(by[name])} in their words</summary>{"".join(map(_quote, by[name]))}</details>' if name in by else ""
         rows.append(
-            f'<tr data-name="{escape(_LABEL[c["category"]].lower())}"><th>{escape(_LABEL[c["category"]])} {thin_note(scores.get(c["category"]))}</th><td>{percent(c["mention_rate"])}</td>'
-            f'<td>{percent(c["primary_share"])}</td><td>{percent(c["positive_share"] or 0.0)}</td><td>{percent(c["top_mention_rate"])}</td><td>{bias}</td></tr>'
+            f'<tr data-name="{escape(_LABEL[name].lower())}"><th>{escape(_LABEL[name])} {sparkline(app.trends.get(name, []))} {thin_note(scores.get(name))}{evidence}</th><td>{percent(c["mention_rate"])}</td>'
+            f'<td>{percent(c["primary_share"])}</td><td>{percent(c["positive_share"] or 0.0)}</td><td>{percent(c["top_mention_rate"])}</td><td>{bias} {_gauge(c["bias_factor"])}</td></tr>'
         )
     head = "<tr><th>Category</th><th>of all reviews</th><th>mainly</th><th>positive</th><th>of the top</th><th>bias</th></tr>"
-    return f'<table class="categories sortable"><thead>{head}</thead><tbody>{"".join(rows)}</tbody></table>'
+    return f'{_LEGEND}<table class="categories sortable"><thead>{head}</thead><tbody>{"".join(rows)}</tbody></table>'
 
 
 def _quote(q: Quote) -> str:
@@ -145,28 +183,61 @@ def _quote(q: Quote) -> str:
     if len(q.text.strip()) > 320:
         body = f"<details><summary>{escape(q.text.strip()[:320])}…</summary>{body}</details>"
     link = f' <a href="{escape(q.url)}" rel="noopener">source</a>' if q.url else ""
-    return f"<blockquote{lang}{way}>{body}<footer>{thousands(q.votes)} found this helpful{link}</footer></blockquote>"
+    facts = [{True: "recommended", False: "not recommended"}.get(q.positive, ""), escape(q.day), ", ".join(escape(_LABEL.get(m, m)) for m in q.mentions)]
+    return f"<blockquote{lang}{way}>{body}<footer>{thousands(q.votes)} found this helpful{''.join(f' · {x}' for x in facts if x)}{link}</footer></blockquote>"
+
+
+def _top(app: App) -> str:
+    """The most helpful reviews themselves, in their order."""
+    if not app.top:
+        return ""
+    return f'<details class="pile"><summary>The top of the pile: the first {len(app.top)} of {app.top_reviews}</summary><ol>{"".join(f"<li>{_quote(q)}</li>" for q in app.top)}</ol></details>'
+
+
+def interval(agreed: int, compared: int) -> tuple[float, float] | None:
+    """95 % Wilson interval; None of nothing."""
+    if not compared:
+        return None
+    p, z2 = agreed / compared, Z * Z
+    half = Z * math.sqrt(p * (1 - p) / compared + z2 / (4 * compared * compared))
+    return max(0.0, (p + z2 / (2 * compared) - half) / (1 + z2 / compared)), min(1.0, (p + z2 / (2 * compared) + half) / (1 + z2 / compared))
+
+
+def pooled_agreement(apps: list[App]) -> dict | None:
+    """Agreement over several apps from their summed counts, never from their rates; None unless there are several and all were measured."""
+    if len(apps) < 2 or not all(a.agreement and a.agreement.get("compared") for a in apps):
+        return None
+    agreed, compared = (sum(a.agreement[k] for a in apps) for k in ("agreed", "compared"))
+    sums: dict[str, list[int]] = {}
+    for a in apps:
+        for name, c in a.agreement.get("categories", {}).items():
+            if name in _LABEL:
+                sums[name] = [x + (c.get(k) or 0) for x, k in zip(sums.get(name, [0, 0, 0]), ("ref_mentions", "pred_mentions", "mention_agreed"))]
+    f1 = [2 * hit / (ref + pred) for ref, pred, hit in sums.values() if ref]
+    low, high = interval(agreed, compared)
+    return {"agreed": agreed, "compared": compared, "agreement": agreed / compared, "low": low, "high": high, "macro_f1": sum(f1) / len(f1) if f1 else None}
+
+
+def _agreement(a: dict) -> str:
+    out = f" It agrees with the reference labels on {percent(a['agreement'])} of {thousands(a['compared'])} reviews ({percent(a['low'])} to {percent(a['high'])})"
+    out += f", macro F1 {a['macro_f1']:.2f}." if a.get("macro_f1") is not None else "."
+    for r in a.get("slices", []):
+        if not r["whole"] and r["compared"]:
+            out += f" {'Contested' if r['ambiguous'] else 'Clear-cut'} labels of the subset {r['subset']}: {percent(r['agreement'])} of {thousands(r['compared'])}."
+    return out
 
 
 def _app(app: App) -> str:
     total = sum(n for _, n in app.languages) or 1
     rest = sum(n for _, n in app.languages[LANGUAGES_SHOWN:])
     langs = "".join(f"<li>{_language(name)} {percent(n / total)}</li>" for name, n in app.languages[:LANGUAGES_SHOWN]) + (f"<li>{len(app.languages) - LANGUAGES_SHOWN} others {percent(rest / total)}</li>" if rest else "")
-    by: dict[str, list[Quote]] = {}
-    for q in app.quotes:
-        by.setdefault(q.category, []).append(q)
-    quotes = "".join(f"<section><h4>{escape(_LABEL[c])}</h4>{''.join(map(_quote, qs))}</section>" for c, qs in by.items())
     spark = sparkline([(m["month"], m["positive"] / m["reviews"]) for m in app.months if m["reviews"] >= MONTH_LEAST])
-    trust = built_from(app.anchors)
-    if app.agreement:
-        a = app.agreement
-        trust += f" It agrees with the reference labels on {percent(a['agreement'])} of {thousands(a['compared'])} reviews ({percent(a['low'])} to {percent(a['high'])})."
-    else:
-        trust += " It has not been measured against reference labels."
+    trust = built_from(app.anchors) + (_agreement(app.agreement) if app.agreement and app.agreement.get("compared") else " It has not been measured against reference labels.")
+    counts = "" if app.captured is None else f" of {thousands(app.captured)} captured" + ("" if app.stated is None else f" and {thousands(app.stated)} stated by the store")
     return (
-        f'<article id="app-{app.appid}"><h2>{escape(title(app.name, app.appid))}</h2><p class="facts">{thousands(app.reviews)} reviews counted, {coverage(app.captured_share)} of what the store states, '
+        f'<article id="app-{app.appid}"><h2>{escape(title(app.name, app.appid))}</h2><p class="facts">{thousands(app.reviews)} reviews counted{counts}: {coverage(app.captured_share)} of what the store states, '
         f"{percent(app.positive / app.reviews if app.reviews else 0.0)} positive.</p><p class=\"headline\">{escape(headline(app))}</p>{month_chart(app.months)}{spark}{_categories(app)}"
-        f'<h3>Languages</h3><ul class="languages">{langs}</ul><h3>In their words</h3>{quotes}<p class="trust">{escape(trust)}</p></article>'
+        f'{_top(app)}<h3>Languages</h3><ul class="languages">{langs}</ul><p class="trust">{escape(trust)}</p></article>'
     )
 
 
@@ -191,14 +262,19 @@ def _matrix(apps: list[App]) -> str:
     return f'<section id="matrix"><h2>Side by side</h2>{note}<table class="matrix"><thead>{head}</thead><tbody>{"".join(rows)}</tbody></table></section>'
 
 
-_STYLE = "body{font:16px/1.5 system-ui;margin:2rem auto;max-width:70rem;padding:0 1rem}table{border-collapse:collapse;width:100%}td,th{padding:.3rem .5rem;text-align:left}.matrix td{background:rgb(80 120 200/calc(var(--heat)*60%))}.leads{font-weight:700}svg.months{width:100%;height:4rem}rect{fill:#5078c8}polyline{fill:none;stroke:#5078c8}.thin{font-size:.8em;opacity:.7}@media print{input{display:none}}@media (prefers-color-scheme:dark){body{background:#16181c;color:#e8e8e8}}"
+_STYLE = (
+    "body{font:16px/1.5 system-ui;margin:2rem auto;max-width:70rem;padding:0 1rem;--ink:#222;--paper:#fff;--bar:#5078c8;color:var(--ink);background:var(--paper)}table{border-collapse:collapse;width:100%}td,th{padding:.3rem .5rem;text-align:left;vertical-align:top}"
+    ".matrix td{background:rgb(80 120 200/calc(var(--heat)*60%))}.leads{font-weight:700}svg.months{width:100%;height:4rem}svg.spark{width:4rem;height:1rem}rect{fill:var(--bar)}polyline{fill:none;stroke:var(--bar)}.thin,.legend{font-size:.8em;opacity:.7}th{font-weight:600}"
+    "@media print{input,button,nav{display:none}}body[data-theme=dark]{--ink:#e8e8e8;--paper:#16181c}@media (prefers-color-scheme:dark){body:not([data-theme=light]){--ink:#e8e8e8;--paper:#16181c}}"
+)
 _SCRIPT = """
+const all = selector => [...document.querySelectorAll(selector)];
 const find = document.querySelector('#find');
 find.addEventListener('input', () => {
   const wanted = find.value.toLowerCase();
-  for (const row of document.querySelectorAll('tr[data-name]')) row.hidden = !row.dataset.name.includes(wanted);
+  for (const row of all('tr[data-name]')) row.hidden = !row.dataset.name.includes(wanted);
 });
-for (const table of document.querySelectorAll('.sortable')) {
+for (const table of all('.sortable')) {
   table.tHead.addEventListener('click', event => {
     const column = event.target.closest('th')?.cellIndex, body = table.tBodies[0];
     if (column === undefined) return;
@@ -209,17 +285,55 @@ for (const table of document.querySelectorAll('.sortable')) {
     table.dataset.way = down ? 'down' : 'up';
   });
 }
+const fold = document.querySelector('#fold');
+fold.addEventListener('click', () => {
+  const open = fold.dataset.open !== 'yes';
+  for (const part of all('details')) part.open = open;
+  fold.dataset.open = open ? 'yes' : 'no';
+});
+const follow = () => {
+  let part = location.hash.length > 1 && document.getElementById(decodeURIComponent(location.hash.slice(1)));
+  if (!part) return;
+  part.scrollIntoView();
+  for (; part; part = part.parentElement) if (part.tagName === 'DETAILS') part.open = true;
+};
+addEventListener('hashchange', follow);
+follow();
+for (const part of all('details[id]')) part.addEventListener('toggle', () => part.open && history.replaceState(null, '', '#' + part.id));
+let closed = [];
+addEventListener('beforeprint', () => { closed = all('details:not([open])'); closed.forEach(part => part.open = true); });
+addEventListener('afterprint', () => closed.forEach(part => part.open = false));
+document.querySelector('#theme').addEventListener('click', () => {
+  const dark = document.body.dataset.theme ? document.body.dataset.theme === 'dark' : matchMedia('(prefers-color-scheme: dark)').matches;
+  document.body.dataset.theme = dark ? 'light' : 'dark';
+});
 """
 
 
+def _overview(apps: list[App]) -> str:
+    """The corpora side by side: size, verdict, what was captured, what leads, what the top exaggerates, how far to trust it."""
+    rows = []
+    for a in apps:
+        said = max((c for c in a.categories if c["mention_count"]), key=lambda c: (c["mention_count"], -c["slot"]), default=None)
+        trust = f"{percent(a.agreement['agreement'])} ({percent(a.agreement['low'])} to {percent(a.agreement['high'])})" if a.agreement and a.agreement.get("compared") else "not measured"
+        cells = [thousands(a.reviews), percent(a.positive / a.reviews if a.reviews else 0.0), coverage(a.captured_share), escape(_LABEL[said["category"]]) if said else "", trust]
+        rows.append(f'<tr><th><a href="#app-{a.appid}">{escape(title(a.name, a.appid))}</a></th>' + "".join(f"<td>{c}</td>" for c in cells) + "</tr>")
+    head = "<tr><th></th><th>reviews</th><th>positive</th><th>captured</th><th>most mentioned</th><th>agreement</th></tr>"
+    pooled = pooled_agreement(apps)
+    note = f'<p class="pooled">Over all {len(apps)} apps:{escape(_agreement(pooled))}</p>' if pooled else ""
+    return f'<table class="overview sortable"><thead>{head}</thead><tbody>{"".join(rows)}</tbody></table>{note}'
+
+
+_LIMITS = "Shares are of all non-blank reviews. Categories are assigned by similarity, and a review may have several. Agreement is with labels, which are no truth, and only with labels that nothing was fitted on."
+
+
 def render(apps: list[App], heading: str = "What the reviews say") -> str:
     """The page. All text that comes from reviews or names is escaped."""
     nav = "".join(f'<li><a href="#app-{a.appid}">{escape(title(a.name, a.appid))}</a></li>' for a in apps)
-    overview = "".join(f"<tr><th>{escape(title(a.name, a.appid))}</th><td>{thousands(a.reviews)}</td><td>{percent(a.positive / a.reviews if a.reviews else 0.0)}</td></tr>" for a in apps)
     return (
         f'<!doctype html><html lang="en"><head><meta charset="utf-8"><title>{escape(heading)}</title><style>{_STYLE}</style></head><body><h1>{escape(heading)}</h1>'
-        f'<input id="find" type="search" placeholder="Filter categories"><nav><ul>{nav}</ul></nav><table class="overview"><tbody>{overview}</tbody></table>{_matrix(apps)}{"".join(map(_app, apps))}'
-        f"<footer><p>Shares are of all non-blank reviews. Categories are assigned by similarity, and a review may have several.</p></footer><script>{_SCRIPT}</script></body></html>"
+        f'<input id="find" type="search" placeholder="Filter categories"> <button id="fold">Open or close all</button> <button id="theme">Light or dark</button><nav><ul>{nav}</ul></nav>{_overview(apps)}{_matrix(apps)}{"".join(map(_app, apps))}'
+        f"<footer><p>{_LIMITS}</p></footer><script>{_SCRIPT}</script></body></html>"
     )
 
 

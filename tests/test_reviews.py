@@ -115,3 +115,74 @@ def test_brief_lists_every_category_once_in_order():
     brief = report.labelling_brief()
     at = [brief.index(f"\n{c}: ") for c in CATEGORY_IDS]
     assert at == sorted(at)
+
+
+def test_pooled_agreement_sums_counts():
+    def app(agreed, compared, ref, pred, hit):
+        low, high = report.interval(agreed, compared) or (None, None)
+        cats = {"bugs": {"ref_mentions": ref, "pred_mentions": pred, "mention_agreed": hit, "recall": None, "taken_for": None}, "nonsense": {"ref_mentions": 99, "pred_mentions": 0, "mention_agreed": 0, "recall": None}}
+        return report.App(1, agreement={"agreed": agreed, "compared": compared, "agreement": agreed / compared if compared else None, "low": low, "high": high, "macro_f1": None, "categories": cats, "slices": []})
+
+    assert report.interval(24, 47) == pytest.approx((0.372, 0.647), abs=0.002) and report.interval(0, 0) is None
+    got = report.pooled_agreement([app(9, 10, 4, 4, 4), app(1, 90, 6, 2, 1)])
+    assert got["agreement"] == pytest.approx(0.1) and got["macro_f1"] == pytest.approx(2 * 5 / 16)
+    assert report.pooled_agreement([app(9, 10, 4, 4, 4)]) is None and report.pooled_agreement([app(9, 10, 4, 4, 4), report.App(2)]) is None
+    assert "Over all 2 apps" in report.render([app(9, 10, 4, 4, 4), app(1, 90, 6, 2, 1)])
+
+
+def test_page_has_its_parts(six):
+    rows, tags = six
+    app = report.build(rows, tags, [1])[0]
+    assert [q.votes for q in app.top][:2] == [900, 3] and app.top[0].mentions == ["bugs"] and app.top[0].positive is False
+    app.captured, app.stated = 6, 7
+    page = report.render([app])
+    for part in ('id="app-1-bugs"', "The top of the pile", "class=\"legend\"", "of 6 captured and 7 stated", "not recommended", 'id="fold"', 'id="theme"', "beforeprint", "hashchange"):
+        assert part in page, part
+    assert "polyline" in report._categories(report.App(1, categories=app.categories, trends={"bugs": [("a", 0.1), ("b", 0.4), ("c", 0.2)]}))
+
+
+def test_texts_stay_out_of_the_shuffle(spark, tmp_path):
+    spark.createDataFrame([("1", 1, "en", "x", 1, 1, 1), ("1", 1, "en", " ", 1, 9, 1), ("2", 1, "en", None, 1, 1, 1)], "recommendationid string, appid bigint, language string, review string, timestamp_created bigint, timestamp_updated bigint, snapshot_unix bigint").write.parquet(f"{tmp_path}/c")
+    copies = spark.read.parquet(f"{tmp_path}/c")
+    columns = ["recommendationid", "appid", "language", "review", "timestamp_created"]
+    slim = reviews.latest_by_id(copies, columns, text=False)
+    assert {(r.recommendationid, r.filled) for r in slim.collect()} == {("1", False), ("2", False)}
+    plan = slim._jdf.queryExecution().executedPlan().toString()
+    exchange = next(line for line in plan.split("\n") if "Exchange hash" in line)
+    assert "review" not in exchange and reviews.with_defaults(slim).count() == 0
+    assert {r.review for r in reviews.latest_by_id(copies, columns).collect()} == {" ", None}
+
+
+def test_turns_are_cut_before_their_exchange(spark):
+    """The window over a category gets at most so many rows of it from each task."""
+    from lensmill.operators import sampling
+
+    rows = spark.range(100).selectExpr("cast(id as string) as recommendationid", "id % 9 as appid", "concat('c', id % 3) as primary_category", "array('bugs') as mentions")
+    plan = sampling.stratified(rows, 5)._jdf.queryExecution().executedPlan().toString().split("\n")
+    at = next(i for i, line in enumerate(plan) if "hashpartitioning(primary_category" in line and "appid" not in line)
+    assert "WindowGroupLimit" in plan[at + 1] and "Partial" in plan[at + 1]
+
+
+def test_small_summaries(spark):
+    from lensmill.operators import evaluate, incremental, sampling
+
+    drawn = spark.createDataFrame([("1", 1, "stratified", "bugs"), ("2", 1, "stratified", "bugs"), ("3", 2, "stratified", "bugs"), ("4", 2, "random", "story")], "recommendationid string, appid bigint, subset string, predicted string")
+    got = {(r.appid, r.category): (r.drawn, r.thin, r.short) for r in sampling.sample_summary(drawn, 3).collect()}
+    assert got[1, "bugs"] == (2, False, False) and got[2, "story"] == (0, True, True) and len(got) == 2 * len(CATEGORY_IDS)
+    sources = spark.createDataFrame([(1, "fitted:1", "b"), (2, "descriptions", "a"), (3, "fitted:1", "a")], "appid bigint, anchors string, produced_by string")
+    assert tuple(evaluate.pooled_sources(sources).first()) == (3, ["descriptions", "fitted:1"], ["a", "b"])
+    months = spark.createDataFrame([(1, "2024-01", 3, 1), (1, "2024-02", 1, 1), (2, "2024-01", 0, 0)], "appid bigint, month string, reviews bigint, positive bigint")
+    assert {(r.appid, r.month): (r.positive_share, r.share) for r in rates.month_rates(months).collect()} == {(1, "2024-01"): (1 / 3, 0.75), (1, "2024-02"): (1.0, 0.25), (2, "2024-01"): (None, None)}
+    rows = spark.createDataFrame([(1, "gone", 5), (1, "gone", 6), (1, "here", 6), (1, "here", 10), (1, "new", 12), (2, "x", 1), (1, None, 1)], "appid bigint, recommendationid string, snapshot_unix bigint")
+    crawls = spark.createDataFrame([(1, 10, 11), (1, 20, None), (1, 3, 4)], "app_id bigint, snapshot_unix bigint, finished_unix bigint")
+    assert [tuple(r) for r in incremental.vanished(rows, crawls).collect()] == [(1, "gone", 6)]
+
+
+def test_shards_are_listed_in_order(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(4).select(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name not in ("recommendationid", "review", "appid", "raw_json") else (F.col("id") if f.name == "appid" else F.col("id").cast("string")).alias(f.name) for f in reviews.CAPTURE.fields])
+    reviews.write_capture(rows.withColumn("snapshot", F.lit(7)), f"{tmp_path}/c")
+    found = reviews.shards_of(spark, f"{tmp_path}/c")
+    assert found == sorted(found) and len(found) >= 4
+    assert reviews.capture_scan(spark, f"{tmp_path}/c").count() == 4
