@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,8 +62,8 @@ def mistaken_for(matrix: DataFrame) -> DataFrame:
     return best.where((F.col("b.n") >= 3) & (F.col("b.n") * 4 >= F.col("misses"))).select("primary", F.col("b.predicted").alias("taken_for"), F.col("b.n").alias("n"))
 
 
-def category_counters(pairs: DataFrame) -> DataFrame:
-    """Per category: reference and predicted primaries, agreed ones, and the same for mentions, in one pass over exploded tags."""
+def category_counters(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Per category (and ``by``): reference and predicted primaries, agreed ones, and the same for mentions, in one pass over exploded tags."""
     matched = pairs.where("predicted is not null")
     no = F.array().cast("array<string>")
     mentions = F.coalesce("mentions", no)
@@ -73,8 +75,8 @@ def category_counters(pairs: DataFrame) -> DataFrame:
         tags(F.array("primary"), "ref_primary"), tags(F.array("predicted"), "pred_primary"), tags(F.when(F.col("primary") == F.col("predicted"), F.array("primary")).otherwise(no), "agreed"),
         tags(F.col("reference"), "ref_mentions"), tags(mentions, "pred_mentions"), tags(F.array_intersect("reference", mentions), "mention_agreed"),
     )
-    each = matched.select(F.explode(both).alias("t")).select("t.category", "t.what")
-    return each.groupBy("category").agg(*[F.count_if(F.col("what") == w).alias(w) for w in ("ref_primary", "pred_primary", "agreed", "ref_mentions", "pred_mentions", "mention_agreed")])
+    each = matched.select(*by, F.explode(both).alias("t")).select(*by, "t.category", "t.what")
+    return each.groupBy(*by, "category").agg(*[F.count_if(F.col("what") == w).alias(w) for w in ("ref_primary", "pred_primary", "agreed", "ref_mentions", "pred_mentions", "mention_agreed")])
 
 
 def category_scores(counters: DataFrame) -> DataFrame:
@@ -102,7 +104,7 @@ def slices(pairs: DataFrame) -> DataFrame:
 def pooled(counters: DataFrame) -> DataFrame:
     """Counters of several apps summed by category: counts are added, rates never averaged; unknown categories are left out."""
     known = counters.where(F.col("category").isin(*CATEGORY_IDS))
-    return known.groupBy("category").agg(*[F.sum(c).alias(c) for c in counters.columns if c not in ("category", "appid")])
+    return known.groupBy("category").agg(*[F.sum(c).alias(c) for c in counters.columns if c not in ("category", "appid", "subset")])
 
 
 def pooled_sources(sources: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lensmill.functions import stats, text
@@ -361,11 +361,15 @@ def confusion_matrix(spark, sf_dir):
     return evaluate.confusion(_pairs(spark, sf_dir))
 
 
-@query(f"""{_PAIRS}, off AS (SELECT "primary", predicted, count(*) AS n FROM pairs WHERE predicted <> "primary" GROUP BY ALL),
+@query(f"""{_PAIRS}, said AS (SELECT "primary", CASE WHEN ambiguous THEN 'verdict' ELSE predicted END AS predicted FROM pairs WHERE predicted IS NOT NULL),
+off AS (SELECT "primary", predicted, count(*) AS n FROM said WHERE predicted <> "primary" GROUP BY ALL),
 r AS (SELECT o.*, sum(n) OVER (PARTITION BY "primary") AS misses, row_number() OVER (PARTITION BY "primary" ORDER BY n DESC, slot DESC) AS k FROM off o LEFT JOIN tax ON category = predicted)
 SELECT "primary", predicted AS taken_for, n FROM r WHERE k = 1 AND n >= 3 AND n * 4 >= misses""")
 def mistaken_for(spark, sf_dir):
-    return evaluate.mistaken_for(evaluate.confusion(_pairs(spark, sf_dir)))
+    """What each category is taken for by a classifier that answers ``verdict`` to every contested review."""
+    pairs = _pairs(spark, sf_dir)
+    said = pairs.withColumn("predicted", F.when(F.col("predicted").isNotNull() & F.col("ambiguous"), "verdict").otherwise(F.col("predicted")))
+    return evaluate.mistaken_for(evaluate.confusion(said))
 
 
 @query(f"""{_PAIRS}, {_COUNTERS} SELECT *, round(CASE WHEN pred_mentions > 0 THEN mention_agreed / pred_mentions END, 9) AS precision,
@@ -389,9 +393,7 @@ def agreement_slices(spark, sf_dir):
 @query(f"{_PAIRS}, {_COUNTERS} SELECT c.* FROM counters c JOIN tax USING (category)")
 def pooled_agreement(spark, sf_dir):
     """Counters by subset, pooled again: counts are summed."""
-    pairs = _pairs(spark, sf_dir)
-    halves = [evaluate.category_counters(pairs.where(F.col("subset") == s)) for s in ("random", "stratified")]
-    return evaluate.pooled(halves[0].unionByName(halves[1]))
+    return evaluate.pooled(evaluate.category_counters(_pairs(spark, sf_dir), ["subset"]))
 
 
 @query(f"""{_PAIRS}, v AS (SELECT id, predicted = "primary" AS a, list_contains(mentions, "primary") AS b FROM pairs WHERE predicted IS NOT NULL),
@@ -521,10 +523,13 @@ p AS (SELECT slot, count(*) AS primary_count FROM doc_tags GROUP BY 1)
 SELECT CAST(s AS INTEGER) AS slot, mention_count, coalesce(primary_count, 0) AS primary_count, round(mention_count / reviews, 9) AS mention_rate, round(coalesce(primary_count, 0) / reviews, 9) AS primary_share FROM m LEFT JOIN p ON p.slot = s CROSS JOIN n""")
 def mention_rates(spark, sf_dir):
     docs, tags = _doc_tags(spark, sf_dir)
-    total = docs.count()
-    each = docs.join(tags, "text_sha256").select(F.col("slot").alias("p"), F.explode("mentions").alias("slot"))
-    out = each.groupBy("slot").agg(F.count("*").alias("mention_count"), F.count_if(F.col("p") == F.col("slot")).alias("primary_count"))
-    return out.withColumns({"mention_rate": F.round(stats.ratio(F.col("mention_count"), F.lit(total)), 9), "primary_share": F.round(stats.ratio(F.col("primary_count"), F.lit(total)), 9)})
+    # every document also counts for slot -1, so that their number comes out of the same aggregation
+    joined = docs.join(tags, "text_sha256", "left")
+    each = joined.select(F.col("slot").alias("p"), F.explode(F.concat(F.array(F.lit(-1)), F.coalesce("mentions", F.array().cast("array<int>")))).alias("slot"))
+    counts = each.groupBy("slot").agg(F.count("*").alias("mention_count"), F.count_if(F.col("p") == F.col("slot")).alias("primary_count"))
+    total = F.max(F.when(F.col("slot") == -1, F.col("mention_count"))).over(Window.partitionBy())  # over one row a slot
+    out = counts.withColumns({"mention_rate": F.round(stats.ratio(F.col("mention_count"), total), 9), "primary_share": F.round(stats.ratio(F.col("primary_count"), total), 9)})
+    return out.where("slot >= 0")
 
 
 _EACH = "SELECT vec_id, label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings"
