@@ -19,14 +19,14 @@ from lensmill.functions import show, stats
 from lensmill.functions.text import text_key
 from lensmill.operators import evaluate, planning, rates, reviews, sampling, vectors
 from lensmill.schema import CATEGORIES, CATEGORY_IDS, DESCRIPTIONS, SPINE_VERSION, TOP_HELPFUL
-from lensmill.sources import files
+from lensmill.sources import files, onnx
 from lensmill.sources.pages import NoSuchCorpus, ReviewPages, ReviewQuery, count, fetch, stored_pages, summary
 
 VERSION = "0.2"
 
 
 def session() -> SparkSession:
-    return SparkSession.builder.appName("lensmill").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    return SparkSession.builder.appName("lensmill").config("spark.sql.session.timeZone", "UTC").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate()
 
 
 def _broken(state: planning.CrawlState, app: int, url_to, snapshot: int | None) -> tuple[int, int, int] | None:
@@ -110,28 +110,42 @@ def corpus(spark: SparkSession, root: str, app: int) -> DataFrame:
     return reviews.with_defaults(reviews.latest_by_id(whole.withColumn("appid", F.lit(app).cast("bigint")), columns))
 
 
-def embed(spark: SparkSession, root: str, app: int, encoder: str = "hashing", batch: int = 64) -> dict:
+#: Every encoder that can be named: the stand-ins, and those whose files lie below ``--models``.
+ENCODERS = vectors.ENCODERS | onnx.ENCODERS
+
+
+def _forward(encoder: str, models: str | None, precision: str):
+    """What runs an encoder: hashing, or a graph whose files are checked first."""
+    if encoder in vectors.ENCODERS:
+        return vectors.hashing_forward
+    if not models:
+        raise ValueError(f"{encoder} needs the folder of its files (--models)")
+    onnx.check(models, encoder, precision)
+    return onnx.forward(models, precision)
+
+
+def embed(spark: SparkSession, root: str, app: int, encoder: str = "hashing", batch: int = 64, models: str | None = None, precision: str = "fp16") -> dict:
     began = time.monotonic()
-    at, enc = files.snapshot_of(root, app), vectors.ENCODERS[encoder]
-    rows = corpus(spark, root, app)
-    files.write_vectors(vectors.embedded(rows, enc, batch=batch), f"{at}/embeddings.parquet", enc.dimensions)
+    at, enc = files.snapshot_of(root, app), ENCODERS[encoder]
+    rows, hashing = corpus(spark, root, app), encoder in vectors.ENCODERS
+    files.write_vectors(vectors.embedded(rows, enc, _forward(encoder, models, precision), batch), f"{at}/embeddings.parquet", enc.dimensions)
     n, texts = rows.count(), spark.read.parquet(f"{at}/embeddings.parquet").count()
-    facts = {"model": encoder, "precision": "fp32", "dimensions": enc.dimensions, "batch_size": batch, "device": "cpu", "reviews": n, "unique_texts": texts, "dedupe_rate": 1 - texts / n if n else None,
-             "texts_per_second": round(texts / max(time.monotonic() - began, 1e-3), 1), "note": "vectors of a hashing stand-in, which makes no claim to quality"}
+    facts = {"model": encoder, "precision": "fp64" if hashing else precision, "dimensions": enc.dimensions, "batch_size": batch, "device": "cpu" if hashing else "best available", "reviews": n, "unique_texts": texts, "dedupe_rate": 1 - texts / n if n else None,
+             "texts_per_second": round(texts / max(time.monotonic() - began, 1e-3), 1), "note": "vectors of a hashing stand-in, which makes no claim to quality" if hashing else ""}
     files.write_json(f"{at}/embeddings.json", facts)
     return facts
 
 
-def description_anchors(encoder: str = "hashing") -> vectors.Anchors:
+def description_anchors(encoder: str = "hashing", models: str | None = None, precision: str = "fp16") -> vectors.Anchors:
     """Anchors from the labels and descriptions of the categories, without any labelled review."""
-    forward = vectors.hashing_forward(vectors.ENCODERS[encoder])
+    forward = _forward(encoder, models, precision)(ENCODERS[encoder])
     return vectors.Anchors(forward([f"{label}. {DESCRIPTIONS[c]}" for c, label in CATEGORIES]).astype(np.float64), model=encoder)
 
 
-def classify(spark: SparkSession, root: str, app: int, reference: str = "reference", anchors: str | None = None, margin: float | None = None) -> dict:
+def classify(spark: SparkSession, root: str, app: int, reference: str = "reference", anchors: str | None = None, margin: float | None = None, models: str | None = None, precision: str = "fp16") -> dict:
     at = files.snapshot_of(root, app)
     found, note = files.anchors_for(app, reference, anchors)
-    used = found or description_anchors(files.encoder_of(root, app))
+    used = found or description_anchors(files.encoder_of(root, app), models, precision)
     vectors.refuse_foreign(used, files.encoder_of(root, app))
     used.margin = margin or used.margin
     vecs = spark.read.parquet(f"{at}/embeddings.parquet")
@@ -163,7 +177,7 @@ def _tags(spark: SparkSession, root: str, app: int) -> DataFrame:
     return rates.current_assignments(files.read_classifications(spark, f"{files.snapshot_of(root, app)}/classifications.parquet"))
 
 
-def sample(spark: SparkSession, root: str, apps: list[int], reference: str, per_app: int = 100, per_category: int = 20, batch: int = 50, seed: int = 1) -> int:
+def sample(spark: SparkSession, root: str, apps: list[int], reference: str, per_app: int = 100, per_category: int = 40, batch: int = 35, seed: int = 1) -> int:
     rows = [corpus(spark, root, a) for a in apps]
     tags = [_tags(spark, root, a) for a in apps]
     whole, assigned = rows[0], tags[0]
@@ -188,13 +202,10 @@ def ingest(spark: SparkSession, reference: str, app: int, returned: str, force:
 
 def _labels(spark: SparkSession, reference: str, app: int) -> DataFrame:
     """The labels of a reference set, refused if they are of another taxonomy."""
-    version = files.manifest(f"{reference}/{app}")["spine_version"]
-    if version != SPINE_VERSION:
-        raise ValueError(f"app {app} was labelled under taxonomy {version}, not {SPINE_VERSION}")
-    return evaluate.read_labels(spark, f"{reference}/{app}/labels.json").drop("source")
+    return files.reference_set(spark, f"{reference}/{app}")[1].drop("source")
 
 
-def labelled_under(spark: SparkSession, root: str, apps: list[int], reference: str, encoder: str) -> tuple[DataFrame, dict[int, np.ndarray]]:
+def labelled_under(spark: SparkSession, root: str, apps: list[int], reference: str, encoder: str, models: str | None = None, precision: str = "fp16") -> tuple[DataFrame, dict[int, np.ndarray]]:
     """Labels of several apps with vectors of one encoder (``id, slot, secondary, embedding, app, subset, ambiguous``), and the centroids of the apps.
 
     If any app was embedded with another encoder, the labelled reviews of all of them are embedded
@@ -206,7 +217,7 @@ def labelled_under(spark: SparkSession, root: str, apps: list[int], reference: s
     for a in apps:
         rows, labels = corpus(spark, root, a), _labels(spark, reference, a)
         if foreign:
-            vecs = vectors.embed_reviews(rows, labels, vectors.ENCODERS[encoder])
+            vecs = vectors.embed_reviews(rows, labels, ENCODERS[encoder], _forward(encoder, models, precision))
         else:
             stored = spark.read.parquet(f"{files.snapshot_of(root, a)}/embeddings.parquet")
             texts = rows.join(labels.select(F.col("id").alias("recommendationid")).distinct(), "recommendationid", "left_semi").select(F.col("recommendationid").alias("id"), text_key("review").alias("text_sha256"))
@@ -219,17 +230,17 @@ def labelled_under(spark: SparkSession, root: str, apps: list[int], reference: s
     return whole, centroids
 
 
-def fit(spark: SparkSession, root: str, apps: list[int], reference: str, folds: int = 5, objective: str = "primary", holdout: str = vectors.HOLDOUT, encoder: str | None = None) -> dict:
+def fit(spark: SparkSession, root: str, apps: list[int], reference: str, folds: int = 5, objective: str = "primary", holdout: str = vectors.HOLDOUT, encoder: str | None = None, models: str | None = None, precision: str = "fp16") -> dict:
     """Search the parameters by cross-validation on the labels that are not held back, refit on all of these and save the anchors.
 
     What is held back only says how good they are, and what the other objective would have given.
     """
     encoder = encoder or files.encoder_of(root, apps[0])
-    labelled, centroids = labelled_under(spark, root, apps, reference, encoder)
+    labelled, centroids = labelled_under(spark, root, apps, reference, encoder, models, precision)
     training, held = (vectors.examples_of(x) for x in vectors.split_labels(labelled, holdout))
     if not len(training.slot):
         raise ValueError(f"no label outside the subset {holdout} to fit on")
-    base, centre = description_anchors(encoder), np.mean(list(centroids.values()), axis=0) if centroids else np.zeros(0)
+    base, centre = description_anchors(encoder, models, precision), np.mean(list(centroids.values()), axis=0) if centroids else np.zeros(0)
     scorings = vectors.SCORING if centroids else ("raw",)
     smoothing, secondary, scoring, _ = vectors.best_params(vectors.searched(vectors.split_labels(labelled, holdout)[0], base, centre, folds, objective, scorings))
     fitted = base if np.isinf(smoothing) else vectors.fit(base, training, smoothing, secondary, apps)
@@ -243,11 +254,11 @@ def fit(spark: SparkSession, root: str, apps: list[int], reference: str, folds:
             "anchors": evidence, "other": vectors.other_choice(base, training, held, centre, fitted, objective, folds, scorings)}
 
 
-def transfer(spark: SparkSession, root: str, apps: list[int], reference: str, folds: int = 5, objective: str = "primary", holdout: str = vectors.HOLDOUT, encoder: str | None = None) -> DataFrame:
+def transfer(spark: SparkSession, root: str, apps: list[int], reference: str, folds: int = 5, objective: str = "primary", holdout: str = vectors.HOLDOUT, encoder: str | None = None, models: str | None = None, precision: str = "fp16") -> DataFrame:
     """Verdicts of leaving each app out, on what is held back of it (see ``vectors.transfer``)."""
     encoder = encoder or files.encoder_of(root, apps[0])
-    labelled, centroids = labelled_under(spark, root, apps, reference, encoder)
-    return vectors.transfer(labelled, description_anchors(encoder), "app", holdout, centroids, None, folds, objective, vectors.SCORING if centroids else ("raw",))
+    labelled, centroids = labelled_under(spark, root, apps, reference, encoder, models, precision)
+    return vectors.transfer(labelled, description_anchors(encoder, models, precision), "app", holdout, centroids, None, folds, objective, vectors.SCORING if centroids else ("raw",))
 
 
 def measure(spark: SparkSession, root: str, app: int, reference: str, holdout: str | None = vectors.HOLDOUT) -> dict:
@@ -288,8 +299,12 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--pages", help="folder of stored pages")
     p.add_argument("--base", help="address of the store")
     p.add_argument("--top-up", action="store_true")
-    p.add_argument("--encoder", choices=sorted(vectors.ENCODERS), help="what to embed, fit or compare with")
-    p.add_argument("--against", choices=sorted(vectors.ENCODERS), help="compare: the other encoder")
+    p.add_argument("--encoder", choices=sorted(ENCODERS), help="what to embed, fit or compare with")
+    p.add_argument("--against", choices=sorted(ENCODERS), help="compare: the other encoder")
+    p.add_argument("--models", help="folder with the files of encoders that have weights")
+    p.add_argument("--precision", default="fp16", choices=["fp16", "fp32"])
+    p.add_argument("--batch", type=int, default=64)
+    p.add_argument("--name", help="crawl: the app's name")
     p.add_argument("--holdout", default=vectors.HOLDOUT, help="subset of labels that is never fitted on")
     p.add_argument("--all-labels", action="store_true", help="evaluate: also on labels that were fitted on")
     p.add_argument("--produced-by", default="unknown")
@@ -297,10 +312,10 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--anchors")
     p.add_argument("--margin", type=float)
     p.add_argument("--per-app", type=int, default=100)
-    p.add_argument("--per-category", type=int, default=20)
+    p.add_argument("--per-category", type=int, default=40)
     p.add_argument("--seed", type=int, default=1)
     p.add_argument("--folds", type=int, default=5)
-    p.add_argument("--objective", default="primary", choices=["primary", "mentions"])
+    p.add_argument("--objective", default="mentions", choices=["primary", "mentions"])
     p.add_argument("--returned")
     p.add_argument("--force", action="store_true")
     p.add_argument("--out", default="report.html")
@@ -310,16 +325,16 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     spark = session()
     try:
-        call = lambda f: f(spark, a.root, a.apps, a.reference, a.folds, a.objective, a.holdout)
+        call = lambda f, encoder: f(spark, a.root, a.apps, a.reference, a.folds, a.objective, a.holdout, encoder, a.models, a.precision)
         done = {
-            "crawl": lambda: [crawl(spark, a.root, x, a.pages, a.base, a.top_up) for x in a.apps],
-            "embed": lambda: [embed(spark, a.root, x, a.encoder or "hashing") for x in a.apps],
-            "classify": lambda: [classify(spark, a.root, x, a.reference, a.anchors, a.margin) for x in a.apps],
+            "crawl": lambda: [crawl(spark, a.root, x, a.pages, a.base, a.top_up, name=a.name) for x in a.apps],
+            "embed": lambda: [embed(spark, a.root, x, a.encoder or "hashing", a.batch, a.models, a.precision) for x in a.apps],
+            "classify": lambda: [classify(spark, a.root, x, a.reference, a.anchors, a.margin, a.models, a.precision) for x in a.apps],
             "sample": lambda: sample(spark, a.root, a.apps, a.reference, a.per_app, a.per_category, seed=a.seed),
             "ingest": lambda: [ingest(spark, a.reference, x, a.returned, a.force, a.produced_by) for x in a.apps],
-            "fit": lambda: fit(spark, a.root, a.apps, a.reference, a.folds, a.objective, a.holdout, a.encoder),
-            "transfer": lambda: call(transfer),
-            "compare": lambda: (call(transfer), transfer(spark, a.root, a.apps, a.reference, a.folds, a.objective, a.holdout, a.against)),
+            "fit": lambda: call(fit, a.encoder),
+            "transfer": lambda: call(transfer, a.encoder),
+            "compare": lambda: (call(transfer, a.encoder), call(transfer, a.against)),
             "evaluate": lambda: [measure(spark, a.root, x, a.reference, None if a.all_labels else a.holdout) for x in a.apps],
             "report": lambda: page(spark, a.root, a.apps, a.reference, a.out),
         }[a.command]()

@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lensmill.operators.evaluate import read_labels
 from lensmill.operators.vectors import Anchors
 from lensmill.schema import CLASSIFICATIONS, SPINE_VERSION
 
@@ -55,6 +56,14 @@ def manifest(folder: str | Path) -> dict:
     return m
 
 
+def reference_set(spark: SparkSession, folder: str | Path, version: str = SPINE_VERSION) -> tuple[dict, DataFrame]:
+    """Manifest and labels of a reference set; one of another taxonomy is refused."""
+    facts = manifest(folder)
+    if facts["spine_version"] != version:
+        raise ValueError(f"app {facts['app_id']} was labelled under taxonomy {facts['spine_version']}, not {version}")
+    return facts, read_labels(spark, f"{folder}/labels.json")
+
+
 def anchors_for(app_id: int, reference: str | Path, explicit: str | None = None) -> tuple[Anchors | None, str]:
     """Anchors by explicit path, the app's own, or the pooled ones; None means the descriptions. And a note if they were not fitted on this app."""
     for path in [explicit] if explicit else [Path(reference) / str(app_id) / "anchors.json", Path(reference) / "anchors.json"]:
@@ -86,7 +95,8 @@ def write_vectors(vectors: DataFrame, path: str, dimensions: int) -> None:
 def write_classifications(rows: DataFrame, path: str, anchors: str) -> None:
     tagged = rows.withColumn("spine_version", F.lit(SPINE_VERSION)).withColumn("anchors", F.lit(anchors))
     names = [c.split()[0] for c in CLASSIFICATIONS.split(", ")]
-    tagged.select(*names).write.option("compression", "zstd").mode("overwrite").parquet(path)
+    # row groups of about 262,144 rows, some 60 bytes each
+    tagged.select(*names).write.option("compression", "zstd").option("parquet.block.size", 16 << 20).mode("overwrite").parquet(path)
 
 
 def read_classifications(spark: SparkSession, path: str) -> DataFrame:
