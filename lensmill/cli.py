@@ -19,6 +19,7 @@ from lensmill.functions import show, stats
 from lensmill.functions.text import text_key
 from lensmill.operators import evaluate, planning, rates, reviews, sampling, vectors
 from lensmill.schema import CATEGORIES, CATEGORY_IDS, DESCRIPTIONS, SPINE_VERSION, TOP_HELPFUL
+from lensmill.shared import exists
 from lensmill.sources import files, onnx
 from lensmill.sources.pages import NoSuchCorpus, ReviewPages, ReviewQuery, count, fetch, stored_pages, summary
 
@@ -195,7 +196,7 @@ def ingest(spark: SparkSession, reference: str, app: int, returned: str, force:
     if force or not any(checks.values()):
         rows = [r.asDict() for r in evaluate.accepted(drawn, labels).collect()]
         files.write_json(f"{reference}/{app}/labels.json", rows)
-        if not (Path(reference) / str(app) / "manifest.json").exists():
+        if not exists(f"{reference}/{app}/manifest.json"):
             files.write_json(f"{reference}/{app}/manifest.json", {"app_id": app, "produced_by": produced_by, "spine_version": SPINE_VERSION, "human_verified": False})
     return checks
 
@@ -246,7 +247,6 @@ def fit(spark: SparkSession, root: str, apps: list[int], reference: str, folds:
     fitted = base if np.isinf(smoothing) else vectors.fit(base, training, smoothing, secondary, apps)
     fitted = fitted.prepare(scoring, centre)
     fitted.margin = max(vectors.MARGINS, key=lambda m: vectors.score(fitted, training, m)[1])
-    Path(reference).mkdir(parents=True, exist_ok=True)
     fitted.save(f"{reference}/anchors.json")
     agreement, f1 = vectors.score(fitted, held, fitted.margin) if len(held.slot) else (None, None)
     evidence = [] if fitted.evidence is None else sorted(({"category": c, "evidence": float(e), "learned": float(x)} for c, e, x in zip(CATEGORY_IDS, fitted.evidence, fitted.share)), key=lambda r: -r["evidence"])
@@ -282,10 +282,10 @@ def page(spark: SparkSession, root: str, apps: list[int], reference: str, out: s
     for a in apps:
         rows = corpus(spark, root, a)
         app = report.build(rows, _tags(spark, root, a), [a], quotes)[0]
-        facts = files.read_json(files.snapshot_of(root, a) / "crawl.json")
+        facts = files.read_json(f"{files.snapshot_of(root, a)}/crawl.json")
         app.captured_share, app.name = facts.get("coverage"), facts.get("name")
         app.captured, app.stated = facts.get("rows_unique"), facts.get("valve_total_reviews")
-        app.agreement = files.agreement_or_none(lambda a=a: measure(spark, root, a, reference) if (Path(reference) / str(a) / "labels.json").exists() else None)
+        app.agreement = files.agreement_or_none(lambda a=a: measure(spark, root, a, reference) if exists(f"{reference}/{a}/labels.json") else None)
         content.append(app)
     report.save(content, out)
 

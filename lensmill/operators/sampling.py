@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lensmill.functions.text import not_blank, rank_key
 from lensmill.schema import CATEGORY_IDS
+from lensmill.shared import write_text
 
 
 def smallest(rows: DataFrame, key: str, k: int) -> DataFrame:
@@ -89,12 +89,10 @@ def batches(sample: DataFrame, size: int) -> DataFrame:
 def write_sample(sample: DataFrame, folder: str, size: int = 50) -> int:
     """Write ``sample.json`` and ``batches/batch-NNN.json`` of one app; batches withhold the prediction. A sample is a bounded draw."""
     rows = [r.asDict() for r in sample.orderBy("recommendationid").collect()]
-    os.makedirs(f"{folder}/batches", exist_ok=True)
     whole = [{"id": r["recommendationid"], "app_id": r["appid"], "subset": r["subset"], "predicted": r["predicted"], "review": r["review"]} for r in rows]
-    with open(f"{folder}/sample.json", "w", encoding="utf-8") as f:
-        json.dump(whole, f, ensure_ascii=False, indent=1)
+    write_text(f"{folder}/sample.json", json.dumps(whole, ensure_ascii=False, indent=1))
     count = -(-len(rows) // size)
     for b in range(count):
-        with open(f"{folder}/batches/batch-{b:03d}.json", "w", encoding="utf-8") as f:
-            json.dump([{"id": r["id"], "review": r["review"]} for r in whole[b * size : (b + 1) * size]], f, ensure_ascii=False, indent=1)
+        part = [{"id": r["id"], "review": r["review"]} for r in whole[b * size : (b + 1) * size]]
+        write_text(f"{folder}/batches/batch-{b:03d}.json", json.dumps(part, ensure_ascii=False, indent=1))
     return count

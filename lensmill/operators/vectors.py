@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from lensmill.functions.stats import mcnemar
 from lensmill.functions.text import not_blank, text_key
 from lensmill.schema import ALONE_SLOTS, CATEGORY_IDS, MENTION_MARGIN, MOST_MENTIONS, SPINE_VERSION
+from lensmill.shared import read_text, write_text
 
 #: The grids that a fit is searched over.
 SMOOTHING, SECONDARY, SCORING = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0), (0.0, 0.25, 0.5, 1.0), ("raw", "bias", "centred")
@@ -174,14 +175,12 @@ class Anchors:
         rows = zip(CATEGORY_IDS, zero if self.evidence is None else self.evidence, zero if self.share is None else self.share, zero if self.bias is None else self.bias, self.vectors)
         what = {"spine_version": self.version, "model": self.model, "fitted_from": self.fitted_from, "params": {"mention_margin": self.margin, "scoring": self.scoring},
                 "centre": None if self.centre is None else self.centre.tolist(), "categories": [{"id": c, "evidence": float(e), "learned_share": float(s), "bias": float(b), "vector": v.tolist()} for c, e, s, b, v in rows]}
-        with open(path, "w", encoding="utf-8") as f:
-            json.dump(what, f)
+        write_text(path, json.dumps(what))
 
     @classmethod
     def load(cls, path: str, version: str = SPINE_VERSION) -> Anchors:
         """Refuses another taxonomy version, another order of categories and vectors of unequal width."""
-        with open(path, encoding="utf-8") as f:
-            what = json.load(f)
+        what = json.loads(read_text(path))
         ids = [c["id"] for c in what["categories"]]
         if what["spine_version"] != version:
             raise ValueError(f"anchors are of taxonomy {what['spine_version']}, not {version}")

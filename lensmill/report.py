@@ -16,6 +16,7 @@ from lensmill.functions.stats import Z
 from lensmill.functions.text import day_name, review_url
 from lensmill.operators import rates, sampling
 from lensmill.schema import ALONE, BOUNDARIES, CATEGORIES, DESCRIPTIONS, LANGUAGES, RIGHT_TO_LEFT
+from lensmill.shared import write_text
 
 #: Reviews a month needs to be drawn, reference mentions a category needs to be judged, recall under which it is thin, languages named.
 MONTH_LEAST, MENTIONS_LEAST, THIN_RECALL, LANGUAGES_SHOWN = 30, 10, 0.25, 12
@@ -338,8 +339,7 @@ def render(apps: list[App], heading: str = "What the reviews say") -> str:
 
 
 def save(apps: list[App], path: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(render(apps))
+    write_text(path, render(apps))
 
 
 def labelling_brief(descriptions: dict[str, str] | None = None) -> str:

@@ -91,3 +91,71 @@ def spread(rows: DataFrame) -> DataFrame:
     if "Exchange" in execution.executedPlan().toString() or execution.toRdd().getNumPartitions() >= 2 * cores:
         return rows
     return rows.repartition(3 * cores, F.rand(11))
+
+
+def _file_system(path: str):
+    """Hadoop's file system and path of a URI, by the session that is there."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        raise RuntimeError(f"{path} needs a Spark session")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def write_text(path: str | os.PathLike, text: str) -> None:
+    """Write a small file aside and rename it, so that a reader never sees half of it; on this machine, or anywhere by URI."""
+    path = os.fspath(path)
+    folder, _, name = path.rpartition("/")
+    aside = f"{folder}/.{name}.part" if folder else f".{name}.part"
+    if "://" in path:
+        fs, final = _file_system(path)
+        _, part = _file_system(aside)
+        out = fs.create(part, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        fs.delete(final, False)
+        if not fs.rename(part, final):
+            raise OSError(f"{path} could not be written")
+        return
+    os.makedirs(folder or ".", exist_ok=True)
+    with open(aside, "w", encoding="utf-8") as f:
+        f.write(text)
+    os.replace(aside, path)
+
+
+def read_text(path: str | os.PathLike) -> str:
+    path = os.fspath(path)
+    if "://" not in path:
+        with open(path, encoding="utf-8") as f:
+            return f.read()
+    fs, where = _file_system(path)
+    if not fs.exists(where):
+        raise FileNotFoundError(path)
+    stream = fs.open(where)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def exists(path: str | os.PathLike) -> bool:
+    path = os.fspath(path)
+    if "://" not in path:
+        return os.path.exists(path)
+    fs, where = _file_system(path)
+    return fs.exists(where)
+
+
+def sizes_below(path: str | os.PathLike) -> dict[str, int]:
+    """Bytes of every file below a folder, by its path within it; none if the folder is not there."""
+    path = os.fspath(path).rstrip("/")
+    if "://" not in path:
+        return {os.path.relpath(os.path.join(at, f), path): os.path.getsize(os.path.join(at, f)) for at, _, names in os.walk(path) for f in names}
+    fs, where = _file_system(path)
+    out: dict[str, int] = {}
+    if fs.exists(where):
+        whole, files = fs.makeQualified(where).toString().rstrip("/"), fs.listFiles(where, True)
+        while files.hasNext():
+            f = files.next()
+            out[f.getPath().toString()[len(whole) + 1 :]] = f.getLen()
+    return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,19 +14,16 @@ from pyspark.sql import functions as F
 from lensmill.operators.evaluate import read_labels
 from lensmill.operators.vectors import Anchors
 from lensmill.schema import CLASSIFICATIONS, SPINE_VERSION
+from lensmill.shared import exists, read_text, sizes_below, write_text
 
 
 def write_json(path: str | Path, what: object) -> None:
-    """Write aside and rename, so that a reader never sees half a file."""
-    path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    aside = path.with_name(f".{path.name}.part")
-    aside.write_text(json.dumps(what, ensure_ascii=False, indent=1), encoding="utf-8")
-    os.replace(aside, path)
+    """Whole or not at all; on this machine, or anywhere by URI."""
+    write_text(path, json.dumps(what, ensure_ascii=False, indent=1))
 
 
 def read_json(path: str | Path) -> dict:
-    return json.loads(Path(path).read_text(encoding="utf-8"))
+    return json.loads(read_text(path))
 
 
 def write_crawl(path: str | Path, app_id: int, snapshot: int, unique: int, stated: int | None, top_up_from: int | None = None, **facts: object) -> None:
@@ -34,22 +32,23 @@ def write_crawl(path: str | Path, app_id: int, snapshot: int, unique: int, state
     write_json(path, {"app_id": app_id, "snapshot_unix": snapshot, "rows_unique": unique, "valve_total_reviews": stated, "coverage": share, "top_up_from": top_up_from, **facts})
 
 
-def snapshot_of(root: str | Path, app_id: int) -> Path:
+def snapshot_of(root: str | Path, app_id: int) -> str:
     """The newest snapshot of an app that holds a shard of any size; an empty or broken newer one does not count."""
-    found = [p for p in Path(root).glob(f"appid={app_id}/snapshot=*") if any(f.stat().st_size for f in p.glob("capture.parquet/*.parquet"))]
+    below = f"{str(root).rstrip('/')}/appid={app_id}"
+    found = {name.split("/")[0] for name, size in sizes_below(below).items() if size and re.fullmatch(r"snapshot=\d+/capture\.parquet/[^/]*\.parquet", name)}
     if not found:
         raise FileNotFoundError(f"no capture of app {app_id} below {root}")
-    return max(found, key=lambda p: int(p.name.partition("=")[2]))
+    return f"{below}/{max(found, key=lambda name: int(name.partition('=')[2]))}"
 
 
 def encoder_of(root: str | Path, app_id: int) -> str:
     """The encoder that a corpus was embedded with."""
-    return read_json(snapshot_of(root, app_id) / "embeddings.json")["model"]
+    return read_json(f"{snapshot_of(root, app_id)}/embeddings.json")["model"]
 
 
 def manifest(folder: str | Path) -> dict:
     """Who labelled a reference set, of which app and under which taxonomy; other keys are notes."""
-    m = read_json(Path(folder) / "manifest.json")
+    m = read_json(f"{folder}/manifest.json")
     missing = {"app_id", "produced_by", "spine_version", "human_verified"} - m.keys()
     if missing:
         raise ValueError(f"the manifest lacks {', '.join(sorted(missing))}")
@@ -66,9 +65,9 @@ def reference_set(spark: SparkSession, folder: str | Path, version: str = SPINE_
 
 def anchors_for(app_id: int, reference: str | Path, explicit: str | None = None) -> tuple[Anchors | None, str]:
     """Anchors by explicit path, the app's own, or the pooled ones; None means the descriptions. And a note if they were not fitted on this app."""
-    for path in [explicit] if explicit else [Path(reference) / str(app_id) / "anchors.json", Path(reference) / "anchors.json"]:
-        if Path(path).exists():
-            a = Anchors.load(str(path))
+    for path in [explicit] if explicit else [f"{reference}/{app_id}/anchors.json", f"{reference}/anchors.json"]:
+        if exists(path):
+            a = Anchors.load(path)
             return a, "" if app_id in a.fitted_from or not a.fitted_from else "these anchors were not fitted on this app"
     if explicit:
         raise FileNotFoundError(explicit)

@@ -76,7 +76,7 @@ def test_a_topup_adds_to_what_is_there(spark, corpus):
     root, args = corpus
     more = cli.crawl(spark, *args, folder=str(root / "pages"), top_up=True, snapshot=1_706_000_000)
     assert more["unique"] == 2 and cli.corpus(spark, *args).count() == 60
-    assert files.read_json(files.snapshot_of(*args) / "crawl.json")["coverage"] is None
+    assert files.read_json(f"{files.snapshot_of(*args)}/crawl.json")["coverage"] is None
     again = cli.crawl(spark, *args, folder=str(root / "pages"), top_up=True, snapshot=1_707_000_000)
     assert again["unique"] == 0 and cli.corpus(spark, *args).count() == 60
 
@@ -98,7 +98,7 @@ def test_brief_and_files(tmp_path, capsys):
     for snapshot, content in ((5, b"x"), (9, b"")):
         (tmp_path / f"appid=1/snapshot={snapshot}/capture.parquet").mkdir(parents=True)
         (tmp_path / f"appid=1/snapshot={snapshot}/capture.parquet/part-0.parquet").write_bytes(content)
-    assert files.snapshot_of(tmp_path, 1).name == "snapshot=5"
+    assert files.snapshot_of(tmp_path, 1).endswith("/snapshot=5")
 
 
 def test_a_broken_crawl_is_taken_up_with_what_was_fetched(spark, tmp_path, monkeypatch):
@@ -140,3 +140,18 @@ def test_a_short_window_is_left_open_and_walked_again(spark, tmp_path, monkeypat
     assert second["complete"] and second["resumed"] and second["shards_restarted"] == 1 and second["unique"] == 225 and state.watermark(5) == 1_700_000_100
     facts = files.read_json(f"{root}/appid=5/snapshot=1705000000/crawl.json")
     assert {"tool_version", "request_url_template", "pages", "duplicates_this_run", "elapsed_secs", "review_score_desc", "shards_short"} <= facts.keys()
+
+
+def test_files_by_uri(spark, tmp_path):
+    """What the commands keep beside the tables goes wherever Spark can write."""
+    from lensmill import shared
+
+    root = f"file://{tmp_path}/far"
+    files.write_json(f"{root}/a/x.json", {"k": "ü"})
+    files.write_json(f"{root}/a/x.json", {"k": "ö"})
+    assert files.read_json(f"{root}/a/x.json") == {"k": "ö"} and shared.exists(f"{root}/a/x.json") and not shared.exists(f"{root}/b")
+    assert [k for k in shared.sizes_below(f"{root}/a") if not k.endswith(".crc")] == ["x.json"] and shared.sizes_below(f"{root}/none") == {}
+    with pytest.raises(FileNotFoundError):
+        files.read_json(f"{root}/none.json")
+    spark.range(1).write.parquet(f"{root}/appid=1/snapshot=7/capture.parquet")
+    assert files.snapshot_of(root, 1) == f"{root}/appid=1/snapshot=7"
