@@ -31,10 +31,12 @@ from lensmill.shared import cut, spread
 COMMON, COMMON_DENSE = 0.3, 0.7
 #: Share of a language's documents that a short word is in to be known there, and different short words of a window from which it can be strange.
 KNOWN, STRANGE_WORDS = 0.002, 8
+#: Documents that a known word is in at least, so that a few wrongly labelled ones teach nothing.
+KNOWN_DOCUMENTS = 3
 #: Documents from which a language's own counts are used.
 LANGUAGE_DOCUMENTS = 20
 #: Thresholds as parts of the language's median window: function words alone; with many separators; variety of words.
-FEW_FUNCTION, FEW_WITH_SEPARATORS, LITTLE_VARIETY = 0.42, 0.62, 0.43
+FEW_FUNCTION, FEW_WITH_SEPARATORS, LITTLE_VARIETY = 0.36, 0.62, 0.43
 #: Separators a word that count as many, at least and as a multiple of the language's median.
 MANY_SEPARATORS, SEPARATOR_MULTIPLE = 0.16, 2.0
 #: Times as many are needed where a window cannot be told by its function words.
@@ -120,7 +122,7 @@ def lexicon_of(slim: DataFrame) -> Lexicon:
     totals = counts.where("word = ''").select("lang", F.col("n").alias("total")).where(F.col("total") >= LANGUAGE_DOCUMENTS)
     dense = F.col("word").rlike(r"^[぀-ヿ㐀-鿿]$")
     common = F.col("n") >= F.col("total") * F.when(dense, COMMON_DENSE).otherwise(COMMON)
-    rows = counts.where("word <> ''").join(F.broadcast(totals), "lang").where(F.col("n") >= F.col("total") * KNOWN).select("lang", "word", common.alias("function")).collect()
+    rows = counts.where("word <> ''").join(F.broadcast(totals), "lang").where((F.col("n") >= F.col("total") * KNOWN) & (F.col("n") >= KNOWN_DOCUMENTS)).select("lang", "word", common.alias("function")).collect()
     languages = sorted({r.lang for r in rows if r.function})
     number = {k: i for i, k in enumerate(languages)}
     words = sorted({r.word for r in rows})

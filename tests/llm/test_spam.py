@@ -88,6 +88,50 @@ def test_rare_languages_have_no_function_words(spark):
     assert {r.doc_id for r in spam.spam_pages(alone).collect()} == {2_000, 2_001, 2_002}
 
 
+def test_languages_that_no_document_knows_are_not_spam(spark):
+    """Honest text of a language that the labels do not know or name wrongly, in scripts with and without spaces."""
+    rng = random.Random(7)
+    rows = [(i, honest(rng, rng.randint(3, 12)), "en") for i in range(200)]
+    texts = {
+        "fi": "Kartta oli helppo oppia mutta vaikea lopettaa. Peli toimii vanhalla koneella todella hyvin ja se on ihan ok. En ole varma, mutta kun sain sen niin se oli jo aika hyvä. Me ja he ovat iloisia siitä. ",
+        "ko": "이 게임은 정말 재미있어요. 그래픽도 좋고 음악도 훌륭합니다. 친구들과 함께 하면 더 즐겁습니다. 하지만 가격이 조금 비싸요. 다음 업데이트를 기다리고 있습니다. ",
+        "th": "เกมนี้สนุกมากและกราฟิกสวยงาม เพลงประกอบก็ดีมาก ผมเล่นกับเพื่อนทุกวันและไม่เคยเบื่อ แต่ราคาแพงไปหน่อย รอการอัปเดตครั้งต่อไป ",
+        "tr": "Bu oyun çok iyi ama biraz pahalı. Ben ve arkadaşım her gün oynuyoruz. Daha ne olsun ki, bir de harita var ki çok büyük. Ne zaman yeni bir şey gelse hep bakarız. ",
+    }
+    odd = [(1_000 + k, t, label) for k, (t, label) in enumerate((t, label) for lang, t in texts.items() for label in (None, "en", lang))]
+    got = {r.doc_id: r.spam_share for r in spam.scored(spark.createDataFrame(rows + odd, "doc_id bigint, text string, lang string")).collect()}
+    assert max(v for k, v in got.items() if k >= 1_000) < 0.5, got
+    # keywords and links of such a language are found all the same
+    lists = [(2_000, ", ".join(["halpa peli", "ilmainen avain", "paras hinta", "tili myydään"] * 9), None), (2_001, "\n".join(f"- https://www.kauppa{i}.test/peli/{i}" for i in range(12)), None)]
+    got = {r.doc_id: r.spam_share for r in spam.scored(spark.createDataFrame(rows + lists, "doc_id bigint, text string, lang string")).collect()}
+    assert got[2_000] > 0.5 and got[2_001] > 0.5
+
+
+def test_statistics_are_those_of_each_page_alone():
+    """A batch gives every page what it gets alone, and counts agree with a plain loop."""
+    from collections import Counter
+
+    rng = random.Random(2)
+    texts = [honest(rng, 9), "", None, "one, two, three\nfour | five\n\nsix seven", "[gold farm](https://a.test/1) and www.b.test/x here", "说了又说说了又说。好玩", "a\r\nb\r\n", honest(rng, 40), "#tag #tag\n" * 5]
+    words = ["the", "is", "a", "to", "and", "it", "that"]
+    order = pages.word_hashes(words).argsort()
+    lexicon = pages.Lexicon(["en"], pages.word_hashes(words)[order], pages.np.ones((7, 1), dtype=bool), pages.np.ones((7, 1), dtype=bool))
+    whole = pages.measure(texts, lexicon)
+    at = [0, *pages.np.cumsum(whole.windows).tolist()]
+    for i, t in enumerate(texts):
+        alone = pages.measure([t], lexicon)
+        for name in ("size", "words", "content", "function", "variety", "repeated", "separators", "link_share"):
+            assert getattr(whole, name)[at[i] : at[i + 1]] == pytest.approx(getattr(alone, name)), (t, name)
+        assert (whole.links[i], whole.top[i], whole.again[i]) == pytest.approx((alone.links[0], alone.top[0], alone.again[0]))
+        for k, (a, b) in enumerate(pages.spans((t or "").replace("\r\n", "\n"))):
+            said = pages._WORD.findall(pages._LINK.sub(" ", (t or "").replace("\r\n", "\n")[a:b]).lower())
+            content = [w for w in said if w not in words]
+            assert alone.words[k] == len(said) and alone.content[k] == len(content)
+            assert alone.variety[k] == pytest.approx(len(set(content)) / len(content) if content else 1.0)
+            pairs = Counter(zip(said, said[1:]))
+            assert alone.repeated[k] == pytest.approx(sum(v for v in pairs.values() if v > 1) / (len(said) - 1) if len(said) > 1 else 0.0)
+
+
 def test_said_again():
     assert spam.said_again("") == 0 and spam.said_again("a b\nA  B\n\ncd") == pytest.approx(1 / 3)
 
