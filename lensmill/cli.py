@@ -336,7 +336,7 @@ def main(argv: list[str] | None = None) -> int:
             "transfer": lambda: call(transfer, a.encoder),
             "compare": lambda: (call(transfer, a.encoder), call(transfer, a.against)),
             "evaluate": lambda: [measure(spark, a.root, x, a.reference, None if a.all_labels else a.holdout) for x in a.apps],
-            "report": lambda: page(spark, a.root, a.apps, a.reference, a.out),
+            "report": lambda: page(spark, a.root, a.apps or files.apps_below(a.root), a.reference, a.out),
         }[a.command]()
         tables = {"crawl": terminal.crawls, "classify": terminal.classifications, "fit": terminal.fitted, "evaluate": terminal.evaluations, "transfer": terminal.transfers, "compare": lambda d: terminal.comparison(*d)}
         if a.command in tables and (not a.json or isinstance(done, (tuple, DataFrame))):

@@ -41,6 +41,11 @@ def snapshot_of(root: str | Path, app_id: int) -> str:
     return f"{below}/{max(found, key=lambda name: int(name.partition('=')[2]))}"
 
 
+def apps_below(root: str | Path) -> list[int]:
+    """Every app of which something was captured below ``root``, in order."""
+    return sorted({int(m[1]) for name, size in sizes_below(root).items() if size and (m := re.match(r"appid=(\d+)/snapshot=\d+/capture\.parquet/[^/]*\.parquet$", name))})
+
+
 def encoder_of(root: str | Path, app_id: int) -> str:
     """The encoder that a corpus was embedded with."""
     return read_json(f"{snapshot_of(root, app_id)}/embeddings.json")["model"]

@@ -154,4 +154,4 @@ def test_files_by_uri(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         files.read_json(f"{root}/none.json")
     spark.range(1).write.parquet(f"{root}/appid=1/snapshot=7/capture.parquet")
-    assert files.snapshot_of(root, 1) == f"{root}/appid=1/snapshot=7"
+    assert files.snapshot_of(root, 1) == f"{root}/appid=1/snapshot=7" and files.apps_below(root) == [1]
