@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from lensmill.arrays import mix64, powers, segment_sums  # noqa: F401  (used with these everywhere here)
 
-#: Characters handled at once; a longer text is handled alone, still whole.
-CHUNK_CHARS = 1_000_000
+#: Characters handled at once, such that arrays over them stay in a cache; a longer text is handled alone, still whole.
+CHUNK_CHARS = 200_000
 
 
 def chunks(texts: list[str | None], most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
