@@ -52,7 +52,7 @@ TOP_MULTIPLE = 2.0
 #: Bins of the histograms from which medians are read; top words have small shares and wider bins.
 BINS, TOP_SCALE = 200, 5
 #: Characters of which one batch of arrays is made.
-AT_ONCE = 400_000
+AT_ONCE = 200_000
 
 
 def windows(text: str) -> list[str]:
