@@ -282,12 +282,11 @@ def languages_of(rows: DataFrame, id_col: str, label_col: str, text_col: str, co
                 order = np.argsort(owner, kind="stable")
                 pick = lambda a, b, order=order: np.concatenate([a, b])[order]
                 zeros = np.zeros(len(none), dtype=np.int64)
-                language = np.array([*known.languages, None], dtype=object)[pick(lang[at], zeros - 1)]
                 owned = owner[order]
                 where = pa.array(owner[order] + lo)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["id"].take(where), batch["label"].take(where), pa.array(pick(begin, zeros)), pa.array(pick(stop, length[none])), pa.array(language, pa.string()),
-                     pa.array(pick(confidence, zeros.astype(float))), pa.array(pick(sentences, zeros)), pa.array(np.array([*known.languages, None], dtype=object)[main[owned]], pa.string()), pa.array(main_sure[owned])],
+                    [batch["id"].take(where), batch["label"].take(where), pa.array(pick(begin, zeros)), pa.array(pick(stop, length[none])), _names(known.languages, pick(lang[at], zeros - 1)),
+                     pa.array(pick(confidence, zeros.astype(float))), pa.array(pick(sentences, zeros)), _names(known.languages, main[owned]), pa.array(main_sure[owned])],
                     names=["id", "label", "start", "end", "language", "confidence", "sentences", "main", "main_confidence"],
                 )
 
@@ -295,6 +294,11 @@ def languages_of(rows: DataFrame, id_col: str, label_col: str, text_col: str, co
     return spread(slim).mapInArrow(run, f"id {kind}, label string, start bigint, end bigint, language string, confidence double, sentences bigint, main string, main_confidence double")
 
 
+def _names(languages: Sequence[str], number: np.ndarray) -> pa.Array:
+    """The languages of the given numbers; null for a number below 0."""
+    return pa.array(languages, pa.string()).take(pa.array(number, pa.int64(), mask=number < 0))
+
+
 def _main(doc: np.ndarray, lang: np.ndarray, sizes: np.ndarray, sure: np.ndarray, docs: int, languages: int) -> tuple[np.ndarray, np.ndarray]:
     """Number of the language of most sentences of each document (-1: none), and its confidence."""
     main, confidence = np.full(docs, -1), np.zeros(docs)
